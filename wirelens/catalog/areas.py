@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["traffic"]
+AREAS = ["traffic", "protocol"]
 
 
 def import_all() -> None:

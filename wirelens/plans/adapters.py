@@ -62,3 +62,112 @@ def packets(spark: SparkSession, sf_dir: str, sequenced: bool = False) -> DataFr
         "proto = 'esp' AND capture_id = 1 AS udp_encapsulated",
         "ike_message_id",
     )
+
+
+def cycle(index: str, values: list) -> str:
+    """SQL choosing ``values[index % n]``; the same text serves both engines."""
+    arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+    return f"CASE ({index}) % {len(values)} {arms} END"
+
+
+def portable(sql: str) -> str:
+    """Integer division as Spark spells it."""
+    return sql.replace("//", "div")
+
+
+# Key-exchange messages from orders: one negotiation per order, request and
+# (unless the status is F) response; proposal j of k, j from 1.
+IKE = {
+    "capture_id": "o_custkey % 5",
+    "version": "CASE WHEN o_orderkey % 3 = 0 THEN 'ikev1' ELSE 'ikev2' END",
+    "offers": "1 + o_custkey % 4",
+    "chosen": "1 + o_orderkey % (1 + o_custkey % 4)",
+    "ts_us": "(o_orderkey % 260) * 1000000",
+    "v1_exchange": cycle("o_custkey", [2, 4, 5]),
+}
+OFFER = {
+    "encr": "CASE WHEN o_orderkey % 3 = 0 THEN " + cycle("o_orderkey // 7 + j", [1, 5, 7])
+            + " ELSE " + cycle("o_orderkey // 7 + j", [12, 20, 3, 12, 18, 1]) + " END",
+    "bits": "128 + 128 * ((o_custkey + j) % 2)",
+    "prf": cycle("o_orderkey // 3 + j", [2, 5, 6, 99]),
+    "integ": "CASE WHEN o_orderkey % 3 = 0 THEN " + cycle("o_custkey // 5 + j", [1, 2, 4])
+             + " ELSE " + cycle("o_custkey // 5 + j", [2, 12, 13, 14, 0]) + " END",
+    "dh": "CASE WHEN o_orderkey % 3 = 0 THEN " + cycle("o_orderkey // 13 + j", [2, 5, 14])
+          + " ELSE " + cycle("o_orderkey // 11 + j", [2, 14, 19, 20]) + " END",
+    "esn": "CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey // 13 + j) % 2 END",
+    "auth": cycle("o_orderkey // 11 + j", [1, 3, 9, 7]),
+    "life_type": "1 + (o_orderkey // 17 + j) % 2",
+    "life": "3600 * (1 + (o_custkey + j) % 12)",
+}
+
+
+def ike_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as key-exchange messages with nested proposals."""
+    from wirelens.operators.ike import PROPOSALS_TYPE
+
+    def x(sql: str) -> str:
+        return f"cast({portable(sql)} as int)"
+
+    def tf(kind: int, code: str, attrs: str = "array()") -> str:
+        return f"struct({kind} AS transform_type, {code} AS transform_id, {attrs} AS attrs)"
+
+    def at(kind: int, value: str) -> str:
+        return f"struct({kind} AS attr_type, cast({value} as bigint) AS value)"
+
+    offer = {k: x(v) for k, v in OFFER.items()}
+    keyed = f"CASE WHEN {offer['encr']} IN (12, 20, 18, 7) AND NOT (version = 'ikev2' AND {offer['encr']} = 7) THEN array({at(14, offer['bits'])}) ELSE array() END"
+    v2 = (
+        f"filter(array({tf(1, offer['encr'], keyed)}, {tf(2, offer['prf'])}, {tf(3, offer['integ'])}, "
+        f"{tf(4, offer['dh'])}, {tf(5, offer['esn'])}), t -> t.transform_id IS NOT NULL)"
+    )
+    v1_attrs = (
+        f"concat(array({at(1, offer['encr'])}, {at(2, offer['integ'])}, {at(3, offer['auth'])}, "
+        f"{at(4, offer['dh'])}, {at(11, offer['life_type'])}, {at(12, offer['life'])}), "
+        f"CASE WHEN {offer['encr']} = 7 THEN array({at(14, offer['bits'])}) ELSE array() END)"
+    )
+    v1 = f"array({tf(-1, '1', v1_attrs)})"
+    offers = (
+        f"cast(transform(sequence(1, cast({IKE['offers']} as int)), j -> struct(j AS number, 1 AS protocol_id, "
+        f"CASE WHEN version = 'ikev1' THEN cast({v1} as array<struct<transform_type:int,transform_id:int,attrs:array<struct<attr_type:int,value:bigint>>>>) "
+        f"ELSE cast({v2} as array<struct<transform_type:int,transform_id:int,attrs:array<struct<attr_type:int,value:bigint>>>>) END AS transforms)) as {PROPOSALS_TYPE})"
+    )
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "*", f"{IKE['version']} AS version", f"{IKE['capture_id']} AS capture_id",
+        "lpad(lower(hex(o_orderkey)), 16, '0') AS init_spi")
+    o = o.withColumn("offers", F.expr(offers))
+    common = [
+        "capture_id", "init_spi", "version AS ike_version",
+        f"CASE WHEN version = 'ikev1' THEN {IKE['v1_exchange']} ELSE 34 END AS exchange_type",
+    ]
+    left, right = "concat('10.0.', capture_id, '.1')", "concat('10.0.', capture_id, '.2')"
+    turned = "o_orderkey % 2 = 1"
+    a = f"CASE WHEN {turned} THEN {right} ELSE {left} END"
+    b = f"CASE WHEN {turned} THEN {left} ELSE {right} END"
+    request = o.selectExpr(
+        *common, "2 * o_orderkey + 1 AS frame_index", f"{IKE['ts_us']} AS ts_us", f"{a} AS src", f"{b} AS dst",
+        "cast(null as string) AS resp_spi", "offers AS sa_payload", "o_orderkey % 4 = 0 AS nat_detected")
+    response = o.filter("o_orderstatus <> 'F'").selectExpr(
+        *common, "2 * o_orderkey + 2 AS frame_index", f"{IKE['ts_us']} + 1000000 AS ts_us", f"{b} AS src",
+        f"{a} AS dst", "lpad(lower(hex(o_orderkey + 1)), 16, '0') AS resp_spi",
+        f"array(offers[cast({portable(IKE['chosen'])} as int) - 1]) AS sa_payload", "o_orderkey % 8 = 1 AS nat_detected")
+    return request.unionByName(response)
+
+
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as encrypted exchanges with a type and a size."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey % 50 AS capture_id",
+        "concat('10.1.', l_partkey % 4, '.', 1 + l_orderkey % 2) AS src",
+        "concat('10.1.', l_partkey % 4, '.', 2 - l_orderkey % 2) AS dst",
+        "CASE WHEN l_suppkey % 7 = 0 THEN 'ikev1' ELSE 'ikev2' END AS ike_version",
+        "CASE WHEN l_linenumber % 3 = 2 THEN 35 ELSE 36 + l_linenumber % 2 END AS exchange_type",
+        "CASE WHEN l_partkey % 40 = 0 THEN 0 ELSE 200 + l_partkey % 300 END AS length")
+
+
+def groups_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key-exchange group per endpoint pair of ``exchanges``, some unknown or missing."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey % 50 AS capture_id", "cast(s_suppkey div 50 % 5 as int) AS pair_no", "s_suppkey",
+    ).selectExpr(
+        "capture_id", "concat('10.1.', pair_no, '.1') AS lo", "concat('10.1.', pair_no, '.2') AS hi",
+        f"cast({cycle('s_suppkey', [14, 19, 2, 99, 'NULL'])} as int) AS dh_group")
