@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["traffic", "protocol"]
+AREAS = ["traffic", "protocol", "assessment"]
 
 
 def import_all() -> None:

@@ -129,7 +129,8 @@ sqlviews.view("exchanges", "", """
   SELECT l_suppkey % 50 AS capture_id, '10.1.' || (l_partkey % 4) || '.1' AS lo, '10.1.' || (l_partkey % 4) || '.2' AS hi,
          CASE WHEN l_suppkey % 7 = 0 THEN 'ikev1' ELSE 'ikev2' END AS ike_version,
          CASE WHEN l_linenumber % 3 = 2 THEN 35 ELSE 36 + l_linenumber % 2 END AS exchange_type,
-         CASE WHEN l_partkey % 40 = 0 THEN 0 ELSE 200 + l_partkey % 300 END AS length
+         CASE WHEN l_partkey % 40 = 0 THEN 0 ELSE 200 + l_partkey % 300 END AS length,
+         100 + l_partkey * 3 % 200 AS plain
   FROM lineitem""")
 sqlviews.view("sizes", "exchanges", """
   SELECT capture_id, lo, hi, CASE exchange_type WHEN 36 THEN 'create_child' ELSE 'informational' END AS kind, length
@@ -152,7 +153,7 @@ def exchange_medians(spark, sf):
 WITH g AS (SELECT s_suppkey % 50 AS capture_id, '10.1.' || (s_suppkey // 50 % 5) || '.1' AS lo, '10.1.' || (s_suppkey // 50 % 5) || '.2' AS hi,
              CAST({adapters.cycle('s_suppkey', [14, 19, 2, 99, 'NULL'])} AS INTEGER) AS dh_group FROM supplier),
 c AS (SELECT capture_id, lo, hi, median(length) AS m FROM sizes WHERE kind = 'create_child' GROUP BY ALL),
-b AS (SELECT capture_id, lo, hi, median(length) AS m FROM sizes WHERE kind = 'informational' AND length % 5 = 0 AND length < 290 GROUP BY ALL),
+b AS (SELECT capture_id, lo, hi, median(plain) AS m FROM exchanges GROUP BY ALL),
 j AS (SELECT g.*, c.m AS cm, b.m AS bm, d.public_bytes + 8 AS expected FROM g LEFT JOIN c USING (capture_id, lo, hi)
       LEFT JOIN b USING (capture_id, lo, hi) LEFT JOIN dh_sizes d ON d.dh_group = g.dh_group),
 k AS (SELECT *, CASE WHEN dh_group IS NULL OR expected IS NULL OR cm IS NULL OR bm IS NULL THEN FALSE ELSE TRUE END AS ok FROM j)
@@ -165,11 +166,12 @@ SELECT capture_id, lo, hi, coalesce(dh_group, -1) AS dh_group,
        WHEN cm IS NULL THEN 'no rekey exchange in this capture' ELSE 'no exchange without a key exchange to measure from' END AS reason
 FROM k""")
 def pfs_inference(spark, sf):
-    """Small informational sizes stand in for the known key-exchange-free series."""
-    s = pfs.exchange_sizes(adapters.exchanges(spark, sf))
+    e = adapters.exchanges(spark, sf)
+    s = pfs.exchange_sizes(e)
+    plain = e.groupBy("capture_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"),
+                      F.col("plain").alias("length")).agg(F.count(F.lit(1)).alias("messages"))
     r = pfs.infer_pfs(s.filter("kind = 'create_child'"),
-                      s.filter("kind = 'informational' and length % 5 = 0 and length < 290"),
-                      adapters.groups_seen(spark, sf))
+                      plain, adapters.groups_seen(spark, sf))
     reason = F.when(F.col("pfs_enabled.provenance") == "unavailable", F.col("pfs_enabled.note")).otherwise("")
     return r.select("capture_id", "lo", "hi", F.coalesce("dh_group", F.lit(-1)).alias("dh_group"),
                     *flat("pfs_enabled"), reason.alias("reason"))

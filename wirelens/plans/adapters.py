@@ -154,14 +154,15 @@ def ike_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as encrypted exchanges with a type and a size."""
+    """Line items as encrypted exchanges: type, size, and a size known to hold no key exchange."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey % 50 AS capture_id",
         "concat('10.1.', l_partkey % 4, '.', 1 + l_orderkey % 2) AS src",
         "concat('10.1.', l_partkey % 4, '.', 2 - l_orderkey % 2) AS dst",
         "CASE WHEN l_suppkey % 7 = 0 THEN 'ikev1' ELSE 'ikev2' END AS ike_version",
         "CASE WHEN l_linenumber % 3 = 2 THEN 35 ELSE 36 + l_linenumber % 2 END AS exchange_type",
-        "CASE WHEN l_partkey % 40 = 0 THEN 0 ELSE 200 + l_partkey % 300 END AS length")
+        "CASE WHEN l_partkey % 40 = 0 THEN 0 ELSE 200 + l_partkey % 300 END AS length",
+        "100 + l_partkey * 3 % 200 AS plain")
 
 
 def groups_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,3 +172,77 @@ def groups_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr(
         "capture_id", "concat('10.1.', pair_no, '.1') AS lo", "concat('10.1.', pair_no, '.2') AS hi",
         f"cast({cycle('s_suppkey', [14, 19, 2, 99, 'NULL'])} as int) AS dh_group")
+
+
+# Declared associations from orders: one per order, each parameter with a value
+# and a provenance that cycle with the keys.
+DECLARED = {
+    "ike_version": cycle("o_orderkey", ["'ikev1'", "'ikev2'"]),
+    "ike_exchange_mode": cycle("o_orderkey // 2", ["'main'", "'aggressive'"]),
+    "encryption_alg": cycle("o_orderkey // 3", ["'aes-cbc'", "'3des-cbc'", "'des-cbc'", "'null'", "'aes-gcm-16'", "'unknown'"]),
+    "encryption_keylen": "128 * (1 + o_custkey % 2)",
+    "integrity_alg": cycle("o_custkey", ["'none'", "'hmac-md5-96'", "'hmac-sha1-96'", "'hmac-sha256-128'"]),
+    "prf_alg": cycle("o_custkey // 2", ["'hmac-sha1'", "'hmac-sha256'"]),
+    "dh_group": cycle("o_orderkey // 5", [1, 2, 5, 14, 19, 20]),
+    "operating_mode": cycle("o_orderkey // 4", ["'tunnel'", "'transport'"]),
+    "pfs_enabled": "o_custkey % 2 = 0",
+    "auth_method": cycle("o_custkey // 3", ["'psk'", "'rsa_sig'"]),
+    "negotiated_lifetime_s": "CAST(floor(o_totalprice) AS BIGINT) % 60000",
+    "observed_rekey_s": "o_custkey % 4000",
+    "esn_negotiated": "o_orderkey % 7 = 0",
+    "replay_sane": "o_custkey % 3 = 0",
+    "nat_traversal": "o_custkey % 5 = 0",
+    "downgrade_available": "o_orderkey % 4 = 1",
+}
+
+
+def declared_provenance(position: int) -> str:
+    return cycle(f"o_orderkey // {position + 2} + {position}", ["'observed'", "'inferred'", "'unavailable'"])
+
+
+DECLARED_CONFIDENCE = "(o_custkey % 100) / 100.0"
+PREDICTIONS = "o_orderkey % 4"
+PREDICTED_PROBABILITY = "((o_orderkey * 7 + i * 13) % 100) / 100.0"
+
+
+def declared_sas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as associations with all sixteen parameters and some predictions."""
+    from wirelens import dims
+    from wirelens.functions import attrs
+
+    o = table(spark, sf_dir, "orders")
+    cols = [
+        F.expr("o_custkey % 50").alias("capture_id"), F.col("o_orderkey").alias("pair_id"),
+        F.lpad(F.lower(F.hex("o_orderkey")), 8, "0").alias("spi_initiator"),
+        F.when(F.expr("o_orderkey % 2 = 0"), F.lpad(F.lower(F.hex(F.expr("o_orderkey + 1"))), 8, "0")).alias("spi_responder"),
+        F.lit("10.0.0.1").alias("src"), F.lit("10.0.0.2").alias("dst"), F.lit(4).alias("ip_version"),
+        F.lit("esp").alias("protocol"), F.lit(0).cast("bigint").alias("first_us"),
+        F.expr("(o_orderkey % 20000) * 1000000").alias("last_us"),
+        F.expr("o_orderkey % 300").alias("packet_count"), F.expr("o_orderkey % 300 * 100").alias("byte_count"),
+    ]
+    for i, (name, _, typ) in enumerate(dims.PARAMETERS):
+        value = F.expr(portable(DECLARED[name]))
+        prov = F.expr(portable(declared_provenance(i)))
+        level = F.expr(DECLARED_CONFIDENCE).cast("double")
+        cols.append(
+            F.when(prov == "observed", attrs.observed(value, typ))
+            .when(prov == "inferred", attrs.inferred(value, typ, level))
+            .otherwise(attrs.unavailable("not in this view", typ)).alias(name))
+    label = cycle("o_orderkey + i", [f"'{c}'" for c in dims.TRAFFIC_CLASSES])
+    cols.append(F.expr(portable(
+        f"transform(filter(sequence(0, 3), i -> i < {PREDICTIONS}), i -> struct({label} AS label, "
+        f"cast({PREDICTED_PROBABILITY} as double) AS probability, cast(i * 5000000 as bigint) AS start_us, "
+        "cast(i * 5000000 + 10000000 as bigint) AS end_us))")).alias("inner_traffic"))
+    return o.select(*cols)
+
+
+def predictions(sas: DataFrame) -> DataFrame:
+    """The predictions held inside associations, one per row."""
+    return sas.select("capture_id", "pair_id", F.explode("inner_traffic").alias("p")).select(
+        "capture_id", "pair_id", "p.*")
+
+
+def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as comparisons of two captures each."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS cmp_id", "cast(n_nationkey as bigint) AS a", "cast(49 - n_nationkey as bigint) AS b")
