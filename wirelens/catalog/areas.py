@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["traffic", "protocol", "assessment"]
+AREAS = ["traffic", "protocol", "assessment", "evaluation"]
 
 
 def import_all() -> None:

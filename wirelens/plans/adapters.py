@@ -246,3 +246,52 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as comparisons of two captures each."""
     return table(spark, sf_dir, "nation").selectExpr(
         "n_nationkey AS cmp_id", "cast(n_nationkey as bigint) AS a", "cast(49 - n_nationkey as bigint) AS b")
+
+
+SESSION = {
+    "config_name": "'cfg' || (doc_id // 4)",
+    "session_name": "'cfg' || (doc_id // 4) || CASE WHEN doc_id % 4 > 0 THEN '-r' || (doc_id % 4) ELSE '' END",
+    "traffic_class": cycle("doc_id // 4", ["'email'", "'file_transfer'", "'icmp'", "'messaging'", "'video'", "'voip'", "'web'"]),
+}
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sessions: up to four repeats of a configuration, one class each."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", *[f"{portable(v)} AS {k}" for k, v in SESSION.items()], "n_chars AS start_us")
+
+
+NEXT_TYPE = ("CASE event_type WHEN 'click' THEN 'error' WHEN 'error' THEN 'purchase' WHEN 'purchase' THEN 'signup' "
+             "WHEN 'signup' THEN 'view' ELSE 'click' END")
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as classified windows: every seventh is wrong."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type AS truth",
+        f"CASE WHEN event_id % 7 = 0 THEN {NEXT_TYPE} ELSE event_type END AS predicted",
+        "0.5D + (event_id % 50) / 100D AS confidence")
+
+
+FILE_STEMS = ["vpn_youtube", "email1a", "skype_file1", "voipbuzz2", "torTwitter", "facebook_chat", "VPN-icq_chat",
+              "ftps_up", "browsing", "hangouts_audio", "p2p_multi", "netflix3", "ping6"]
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as capture files whose names carry a label, flows and readability."""
+    stem = cycle("doc_id", [f"'{s}'" for s in FILE_STEMS])
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"concat('/data/', source, '/', {stem}, doc_id, '.pcap') AS name",
+        "n_chars % 5 AS flows", "n_chars % 11 = 0 AS unreadable")
+
+
+MAGIC_CYCLE = ["a1b2c3d4", "4d3cb2a1", "0a0d0d0a", "00000000", "d4c3b2a1"]
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as capture bytes: a magic number, then the text."""
+    magic = cycle("length(text)", [f"'{m}'" for m in MAGIC_CYCLE])
+    return table(spark, sf_dir, "documents").selectExpr(
+        "concat('f', lpad(cast(doc_id as string), 12, '0')) AS path",
+        f"concat(unhex({magic}), encode(text, 'utf-8')) AS content")
