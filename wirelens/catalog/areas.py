@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["traffic", "protocol", "assessment", "evaluation"]
+AREAS = ["traffic", "protocol", "assessment", "evaluation", "auditing"]
 
 
 def import_all() -> None:

@@ -80,6 +80,10 @@ def apply_temperature(df: DataFrame, temperature: float, column: str = "logits")
     return df.withColumn("probabilities", softmax(F.col(column), temperature))
 
 
+def _scaled_exp(top: Column, t: float):
+    return lambda v: F.exp((v - top) / t)
+
+
 def nll_by_temperature(scored: DataFrame, log_ts: list[float]) -> DataFrame:
     """(log_t, nll): the summed loss at each candidate, all in one pass over the rows."""
     top = F.array_max("logits")
@@ -87,7 +91,7 @@ def nll_by_temperature(scored: DataFrame, log_ts: list[float]) -> DataFrame:
     sums = []
     for j, lt in enumerate(log_ts):
         t = math.exp(lt)
-        z = F.aggregate("logits", F.lit(0.0), lambda acc, v, t=t: acc + F.exp((v - top) / t))
+        z = F.aggregate(F.transform("logits", _scaled_exp(top, t)), F.lit(0.0), lambda acc, v: acc + v)
         sums.append(F.sum(F.log(z) - (own - top) / t).alias(f"n{j}"))
     one = scored.agg(*sums)
     return one.select(F.explode(F.array(*[

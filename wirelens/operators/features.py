@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from wirelens import dims
 from wirelens.functions import scalars
+from wirelens.operators import ordered
 from wirelens.operators.windows import WINDOW_KEYS
+from wirelens.session import materialise
 
 BURST_GAP_US = 200_000
 PATH_MTU = 1500
@@ -105,73 +107,82 @@ def extract_features(windowed: DataFrame, min_packets: int = 1) -> DataFrame:
     return wide.select(*WINDOW_KEYS, "start_us", *dims.FEATURES)
 
 
+def _moments(prefix: str, value: Column, scale: float = 1.0) -> list[Column]:
+    """Mean, std, min and max: mergeable, so reduced on the map side."""
+    parts = {"mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
+    return [(c.cast("double") / scale).alias(f"{prefix}_{n}") for n, c in parts.items()]
+
+
+def histogram_percentiles(hist: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Nearest-rank percentiles from a ``(keys, v, c)`` value histogram.
+
+    ``bucket`` splits the cumulative count of wide value ranges over tasks.
+    """
+    cum = ordered.running_sum(hist, keys, ["v"], bucket, F.col("c"), "cum", "total")
+    cols = []
+    for p in dims.PERCENTILES:
+        rank = scalars.nearest_rank(F.col("total"), p)
+        hit = (F.col("cum") >= rank) & (F.col("cum") - F.col("c") < rank)
+        cols.append(F.max(F.when(hit, F.col("v"))).cast("double").alias(f"p{p}"))
+    return cum.groupBy(*keys).agg(*cols)
+
+
 def pair_features(tagged: DataFrame, min_packets: int = 1) -> DataFrame:
     """The same 74 features over whole pairs instead of windows.
 
     A pair can hold a third of all rows, so nothing here sorts a whole pair in
-    one task: lengths are reduced to value histograms and gaps to a histogram of
-    microsecond values before the per-pair step.
+    one task: moments are mergeable aggregates, gaps cross ten-second buckets by
+    a carry, and percentiles are read off value histograms.
     """
-    from wirelens.operators import ordered
-
     keys = ["capture_id", "pair_id"]
     base = tagged.select(*keys, "paired", "ts_us", "index",
                          F.coalesce("esp_payload_len", F.lit(0)).alias("length"), "up")
-    hist = base.groupBy(*keys, "up", "length").agg(
-        F.count(F.lit(1)).alias("c"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"),
-        F.max("paired").alias("paired"),
-    )
+    length, up = F.col("length"), F.col("up")
+    facts = base.groupBy(*keys).agg(
+        F.max("paired").alias("paired"), F.count(F.lit(1)).alias("n"),
+        F.sum("length").cast("double").alias("byte_count"),
+        F.greatest(F.lit(1e-6), (F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_s"),
+        *_moments("esp_len", length), *_moments("up_len", F.when(up, length)),
+        *_moments("down_len", F.when(~up, length)),
+        *[F.avg(F.when(length % 16 == r, 1.0).otherwise(0.0)).alias(f"esp_len_mod16_{r}") for r in range(16)],
+        F.count_if(up).cast("double").alias("up_packets"), F.count_if(~up).cast("double").alias("down_packets"),
+        F.coalesce(F.sum(F.when(up, length)), F.lit(0)).cast("double").alias("_ub"),
+        F.coalesce(F.sum(F.when(~up, length)), F.lit(0)).cast("double").alias("_db"),
+    ).filter(F.col("n") >= min_packets)
+
     gaps = ordered.lagged(base.select(*keys, "ts_us", "index"), keys, ["ts_us", "index"],
                           F.expr("ts_us div 10000000"), ["ts_us"])
-    gaps = (
-        gaps.select(*keys, (F.col("ts_us") - F.col("prev_ts_us")).alias("v"))
-        .filter(F.col("v").isNotNull())
-    )
-    # Gap percentiles read a cumulative histogram; equal-rank buckets keep it split.
-    gap_hist = gaps.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-
-    every = hist.groupBy(*keys, "length").agg(F.sum("c").alias("c"))
-    facts = hist.groupBy(*keys).agg(
-        F.max("paired").alias("paired"),
-        F.sum("c").alias("n"),
-        F.count_if(F.col("up")).alias("_any_up"),
-        F.sum(F.col("c") * F.col("length")).cast("double").alias("byte_count"),
-        F.greatest(F.lit(1e-6), (F.max("hi") - F.min("lo")) / 1e6).alias("duration_s"),
-        *[F.sum(F.when(F.col("length") % 16 == r, F.col("c")).otherwise(0)).alias(f"_r{r}") for r in range(16)],
-        F.coalesce(F.sum(F.when(F.col("up"), F.col("c"))), F.lit(0)).cast("double").alias("up_packets"),
-        F.coalesce(F.sum(F.when(~F.col("up"), F.col("c"))), F.lit(0)).cast("double").alias("down_packets"),
-        F.coalesce(F.sum(F.when(F.col("up"), F.col("c") * F.col("length"))), F.lit(0)).cast("double").alias("_ub"),
-        F.coalesce(F.sum(F.when(~F.col("up"), F.col("c") * F.col("length"))), F.lit(0)).cast("double").alias("_db"),
-    )
-    modal = every.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("esp_len_distinct"),
-        F.max_by(F.struct("length", "c"), F.struct("c", -F.col("length"))).alias("_modal"),
-    )
+    gaps = gaps.select(*keys, (F.col("ts_us") - F.col("prev_ts_us")).alias("v")).filter("v is not null")
     burst = F.col("v") > BURST_GAP_US
-    idle = gap_hist.groupBy(*keys).agg(
-        F.sum(F.when(burst, F.col("c")).otherwise(0)).cast("double").alias("burst_count"),
-        F.sum(F.when(burst, F.col("c") * F.col("v")).otherwise(0)).alias("_idle"),
-    )
-    out = (
-        facts.filter(F.col("n") >= min_packets)
-        .join(modal, keys)
-        .join(histogram_stats(every.withColumnRenamed("length", "v"), keys, "esp_len"), keys)
-        .join(histogram_stats(hist.filter("up").withColumnRenamed("length", "v"), keys, "up_len"), keys, "left")
-        .join(histogram_stats(hist.filter("not up").withColumnRenamed("length", "v"), keys, "down_len"), keys, "left")
-        .join(histogram_stats(gap_hist, keys, "iat", 1e6, bucket=F.expr("v div 100000")), keys, "left")
-        .join(idle, keys, "left")
-    )
+    timing = gaps.groupBy(*keys).agg(
+        *_moments("iat", F.col("v"), 1e6), F.count_if(burst).cast("double").alias("burst_count"),
+        (F.sum(F.when(burst, F.col("v"))) / 1e6).alias("idle_total_s"),
+        (F.avg(F.when(burst, F.col("v"))) / 1e6).alias("idle_mean_s"))
+
+    # Packets and gaps reduce to counted values before anything is ordered.
+    kinds = F.array(F.lit("esp_len"), F.when(up, "up_len").otherwise("down_len"))
+    sizes = base.select(*keys, F.explode(kinds).alias("kind"), length.cast("bigint").alias("v")).unionByName(
+        gaps.select(*keys, F.lit("iat").alias("kind"), "v"))
+    hist = materialise(sizes.groupBy(*keys, "kind", "v").agg(F.count(F.lit(1)).alias("c")))
+    wide = F.when(F.col("kind") == "iat", F.expr("v div 100000")).otherwise(F.expr("v div 4096"))
+    pct = histogram_percentiles(hist, [*keys, "kind"], wide)
+    shapes = pct.groupBy(*keys).agg(*[
+        (F.max(F.when(F.col("kind") == kind, F.col(f"p{p}"))) / (1e6 if kind == "iat" else 1.0)).alias(f"{kind}_p{p}")
+        for kind in ("esp_len", "up_len", "down_len", "iat") for p in dims.PERCENTILES
+    ])
+    modal = hist.filter("kind = 'esp_len'").groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("esp_len_distinct"),
+        F.max_by(F.struct("v", "c"), F.struct("c", -F.col("v"))).alias("_modal"))
+
+    out = facts.join(shapes, keys).join(modal, keys).join(timing, keys, "left")
     c = F.col
     out = out.withColumns({
-        **{f"esp_len_mod16_{r}": c(f"_r{r}") / c("n") for r in range(16)},
-        "esp_len_modal": c("_modal.length").cast("double"),
+        "esp_len_modal": c("_modal.v").cast("double"),
         "esp_len_modal_share": c("_modal.c") / c("n"),
         "packet_count": c("n").cast("double"),
         "packets_per_s": c("n") / c("duration_s"),
         "bytes_per_s": c("byte_count") / c("duration_s"),
-        "iat_cv": _ratio(c("iat_std"), c("iat_mean")),
-        "idle_total_s": c("_idle") / 1e6,
-        "idle_mean_s": _ratio(c("_idle") / 1e6, c("burst_count")),
+        "iat_cv": _ratio(F.coalesce(c("iat_std"), F.lit(0.0)), F.coalesce(c("iat_mean"), F.lit(0.0))),
         "up_down_byte_ratio": _ratio(c("_ub"), c("_db")),
         "up_down_packet_ratio": _ratio(c("up_packets"), c("down_packets")),
         "sa_spi_count": F.when(c("paired"), 2.0).otherwise(1.0),
@@ -180,45 +191,6 @@ def pair_features(tagged: DataFrame, min_packets: int = 1) -> DataFrame:
     return out.select(*keys, *[F.coalesce(c(f), F.lit(0.0)).alias(f) for f in dims.FEATURES])
 
 
-def histogram_stats(hist: DataFrame, keys: list[str], prefix: str, scale: float = 1.0,
-                    bucket: Column | None = None) -> DataFrame:
-    """Ten statistics from a ``(keys, v, c)`` value histogram.
-
-    ``bucket`` splits the cumulative count of wide value ranges over tasks.
-    """
-    from wirelens.operators import ordered
-
-    cum = ordered.running_sum(hist, keys, ["v"], bucket if bucket is not None else F.expr("v div 4096"),
-                              F.col("c"), "cum")
-    total = hist.groupBy(*keys).agg(F.sum("c").alias("total"))
-    rows = cum.join(total, keys)
-    v, cnt = F.col("v").cast("double"), F.col("c")
-    agg = [
-        F.sum(v * cnt).alias("s1"),
-        F.max("total").alias("total"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
-    ]
-    for p in dims.PERCENTILES:
-        rank = scalars.nearest_rank(F.col("total"), p)
-        hit = (F.col("cum") >= rank) & (F.col("cum") - cnt < rank)
-        agg.append(F.max(F.when(hit, F.col("v"))).alias(f"p{p}"))
-    first = rows.groupBy(*keys).agg(*agg).withColumn("mean", F.col("s1") / F.col("total"))
-    dev = hist.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(
-        F.sum(cnt * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss")
-    )
-    std = F.when(F.col("total") > 1, F.sqrt(F.col("ss") / F.when(F.col("total") > 1, F.col("total") - 1)))
-    res = first.join(dev, keys)
-
-    def out(c: Column, name: str) -> Column:
-        return (c.cast("double") / scale).alias(f"{prefix}_{name}")
-
-    return res.select(
-        *keys, out(F.col("mean"), "mean"), out(F.coalesce(std, F.lit(0.0)), "std"),
-        out(F.col("lo"), "min"), out(F.col("hi"), "max"),
-        *[out(F.col(f"p{p}"), f"p{p}") for p in dims.PERCENTILES],
-    )
-
-
 def session_geometry(tagged: DataFrame) -> DataFrame:
     """(ip_version, min, max and modal length) per pair from a length histogram."""
     keys = ["capture_id", "pair_id"]

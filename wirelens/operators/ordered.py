@@ -80,16 +80,18 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                value: Column, name: str) -> DataFrame:
-    """Add the sum of ``value`` up to and including each row."""
+                value: Column, name: str, total: str | None = None) -> DataFrame:
+    """Add the sum of ``value`` up to and including each row, and per key as ``total``."""
     on = [*keys, "_bucket"]
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
     inside = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*on).agg(F.sum("_value").alias("_part"))
-        .select(*on, F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_offset"))
+        .select(*on, F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_offset"),
+                F.sum("_part").over(Window.partitionBy(*keys)).alias("_total"))
     )
     rows = rows.withColumn("_run", F.sum("_value").over(inside))
     joined = _attach(rows, carry, on)
-    return joined.select(*df.columns, (F.col("_run") + F.col("_offset")).alias(name))
+    extra = [F.col("_total").alias(total)] if total else []
+    return joined.select(*df.columns, (F.col("_run") + F.col("_offset")).alias(name), *extra)
