@@ -74,36 +74,36 @@ def inner_header_bytes(ip_version: Column) -> Column:
     return F.when(ip_version == 6, F.lit(40.0)).otherwise(F.lit(20.0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tolerant_int(text: Column) -> Column:
     """Integer from the renderings a dissector uses.
 
     Decimal, ``0x`` hex, colon-separated octets (big endian), or ``NAME (n)``;
-    anything else is null.
+    anything else is null. Values are read up to 60 bits, which covers every
+    field parsed here.
     """
-    t = F.trim(text)
-    plain = F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
-    hexa = F.when(
-        t.rlike(r"(?i)^0x[0-9a-f]{1,15}$"),
-        F.conv(F.substring(t, 3, 64), 16, 10).try_cast("bigint"),
-    )
-    # A 63-bit bound on the octets keeps the big-endian read inside LONG.
-    octets = F.when(
-        t.rlike(r"(?i)^(00:)*[0-9a-f]{2}(:[0-9a-f]{2}){0,6}$") & t.contains(":"),
-        F.conv(F.regexp_replace(t, ":", ""), 16, 10).try_cast("bigint"),
-    )
-    inner = F.regexp_extract(t, r"\(([^()]*)\)$", 1)
-    inner = F.trim(inner)
-    named = F.when(
-        t.rlike(r"\([^()]*\)$"),
-        F.coalesce(
-            F.when(inner.rlike(r"^[+-]?[0-9]+$"), inner.try_cast("bigint")),
-            F.when(
-                inner.rlike(r"(?i)^0x[0-9a-f]{1,15}$"),
-                F.conv(F.substring(inner, 3, 64), 16, 10).try_cast("bigint"),
-            ),
-        ),
-    )
-    return F.coalesce(plain, hexa, octets, named)
+    def hexa(t: Column) -> Column:
+        return F.when(t.rlike(r"(?i)^0x[0-9a-f]{1,15}$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("bigint"))
+
+    def plain(t: Column) -> Column:
+        return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+
+    def parse(t: Column) -> Column:
+        octets = F.when(
+            t.rlike(r"(?i)^(00:)*[0-9a-f]{2}(:[0-9a-f]{2}){0,6}$") & t.contains(":"),
+            F.conv(F.replace(t, F.lit(":"), F.lit("")), 16, 10).try_cast("bigint"),
+        )
+        named = F.when(
+            t.endswith(")"),
+            let(F.trim(F.regexp_extract(t, r"\(([^()]*)\)$", 1)), lambda n: F.coalesce(plain(n), hexa(n))),
+        )
+        return F.coalesce(plain(t), hexa(t), octets, named)
+
+    return let(F.trim(text), parse)
 
 
 def algorithm(version: Column, code: Column, kinds: dict[str, str]) -> Column:

@@ -295,3 +295,72 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
         "concat('f', lpad(cast(doc_id as string), 12, '0')) AS path",
         f"concat(unhex({magic}), encode(text, 'utf-8')) AS content")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as raw frames: four link types, IPv4 and IPv6, UDP-wrapped ESP, a VLAN tag."""
+    def hx(value: str, digits: int) -> str:
+        return f"lpad(lower(hex({value})), {digits}, '0')"
+
+    p = packets(spark, sf_dir).selectExpr(
+        "*", "cast(substring_index(src, '.', -1) as bigint) AS a", "cast(substring_index(dst, '.', -1) as bigint) AS b")
+    esp = f"concat({hx('spi', 8)}, {hx('index', 8)}, repeat('00', cast(esp_payload_len as int)))"
+    ike = f"concat('01f401f4', '0024', '0000', repeat('ab', 16), '21202208', {hx('ike_message_id', 8)}, '0000001c')"
+    p = p.withColumn("upper", F.expr(
+        f"CASE WHEN proto = 'esp' AND capture_id = 1 THEN concat('11941194', {hx('esp_payload_len + 16', 4)}, '0000', {esp}) "
+        f"WHEN proto = 'esp' THEN {esp} WHEN proto = 'isakmp' THEN {ike} ELSE repeat('00', 20) END"))
+    p = p.withColumn("number", F.expr(
+        "CASE WHEN proto = 'isakmp' OR (proto = 'esp' AND capture_id = 1) THEN '11' WHEN proto = 'esp' THEN '32' ELSE '06' END"))
+    four = (f"concat('4500', {hx('20 + length(upper) div 2', 4)}, '00000000', '40', number, '0000', "
+            f"'0a00', {hx('capture_id', 2)}, {hx('a', 2)}, '0a00', {hx('capture_id', 2)}, {hx('b', 2)})")
+    six = (f"concat('60000000', {hx('length(upper) div 2', 4)}, number, '40', "
+           f"'fd00', repeat('0000', 5), {hx('capture_id', 4)}, {hx('a', 4)}, 'fd00', repeat('0000', 5), {hx('capture_id', 4)}, {hx('b', 4)})")
+    link = ("CASE capture_id WHEN 0 THEN concat(repeat('ff', 12), '0800') WHEN 1 THEN concat(repeat('00', 14), '0800') "
+            "WHEN 2 THEN concat('86dd', repeat('00', 18)) WHEN 3 THEN '' ELSE concat(repeat('ee', 12), '810000070800') END")
+    return p.selectExpr(
+        "capture_id", "index", "ts_us",
+        f"cast({cycle('capture_id', [1, 113, 276, 101, 1])} as int) AS linktype",
+        f"unhex(concat({link}, CASE WHEN capture_id = 2 THEN {six} ELSE {four} END, upper)) AS frame",
+    ).selectExpr("*", "octet_length(frame) AS captured_len", "octet_length(frame) AS orig_len")
+
+
+def dissected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key-exchange messages as dissector packets: nested payload pairs, octet values."""
+    octets = ("CASE WHEN {v} < 65536 THEN concat_ws(':', substr(lpad(lower(hex({v})), 4, '0'), 1, 2), substr(lpad(lower(hex({v})), 4, '0'), 3, 2)) "
+              "ELSE concat_ws(':', substr(lpad(lower(hex({v})), 8, '0'), 1, 2), substr(lpad(lower(hex({v})), 8, '0'), 3, 2), "
+              "substr(lpad(lower(hex({v})), 8, '0'), 5, 2), substr(lpad(lower(hex({v})), 8, '0'), 7, 2)) END").format(v="a.value")
+
+    def attrs_of(container: str) -> str:
+        return (f"transform(t.attrs, a -> named_struct('{container}.format', '1', '{container}.type', cast(a.attr_type as string), "
+                f"'{container}.value', {octets}))")
+
+    ids = {1: "encr", 2: "prf", 3: "integ", 4: "dh", 5: "esn"}
+    v2 = "ike_version = 'ikev2'"
+    fields = [f"'isakmp.tf.type', CASE WHEN {v2} THEN cast(t.transform_type as string) END"]
+    fields += [f"'isakmp.tf.id.{n}', CASE WHEN {v2} AND t.transform_type = {k} THEN concat('NAME (', t.transform_id, ')') END" for k, n in ids.items()]
+    fields += [f"'isakmp.trans.id', CASE WHEN NOT ({v2}) THEN cast(t.transform_id as string) END",
+               f"'isakmp.ike2.attr', CASE WHEN {v2} AND size(t.attrs) > 0 THEN {attrs_of('isakmp.ike2.attr')} END",
+               f"'isakmp.ike.attr', CASE WHEN NOT ({v2}) THEN {attrs_of('isakmp.ike.attr')} END"]
+    proposal = ("named_struct('isakmp.prop.number', cast(p.number as string), 'isakmp.prop.protoid', cast(p.protocol_id as string), "
+                "'isakmp.typepayload', transform(p.transforms, t -> '3'), "
+                f"'isakmp.typepayload_tree', transform(p.transforms, t -> named_struct({', '.join(fields)})))")
+    sa = (f"named_struct('isakmp.notify.msgtype', cast(null as string), 'isakmp.typepayload', transform(sa_payload, p -> '2'), "
+          f"'isakmp.typepayload_tree', transform(sa_payload, p -> {proposal}))")
+    m = ike_messages(spark, sf_dir).withColumn("sa", F.expr(sa))
+    m = m.withColumn("nat", F.when(F.col("nat_detected"), F.struct(
+        F.when(F.expr(v2), "16388").alias("isakmp.notify.msgtype"),
+        F.lit(None).cast("array<string>").alias("isakmp.typepayload"),
+        F.lit(None).cast(m.schema["sa"].dataType["isakmp.typepayload_tree"].dataType).alias("isakmp.typepayload_tree"))))
+    first = "CASE WHEN ike_version = 'ikev2' THEN '33' ELSE '1' END"
+    second = "CASE WHEN ike_version = 'ikev2' THEN '41' ELSE '20' END"
+    isakmp = (
+        "named_struct('isakmp.ispi', init_spi, 'isakmp.rspi', resp_spi, "
+        "'isakmp.version', CASE WHEN ike_version = 'ikev2' THEN '0x20' ELSE '0x10' END, "
+        "'isakmp.exchangetype', cast(exchange_type as string), 'isakmp.messageid', '0x00000000', 'isakmp.length', '300', "
+        f"'isakmp.typepayload', CASE WHEN nat_detected THEN array({first}, {second}) ELSE array({first}) END, "
+        "'isakmp.typepayload_tree', CASE WHEN nat_detected THEN array(sa, nat) ELSE array(sa) END)")
+    packet = (
+        "named_struct('_source', named_struct('layers', named_struct("
+        "'frame', named_struct('frame.number', cast(frame_index as string), 'frame.time_epoch', concat(cast(ts_us div 1000000 as string), '.000000')), "
+        f"'ip', named_struct('ip.src', src, 'ip.dst', dst), 'isakmp', {isakmp})))")
+    return m.select("capture_id", F.parse_json(F.to_json(F.expr(packet))).alias("packet"))
