@@ -21,7 +21,11 @@ def packets(spark: SparkSession, sf_dir: str, sequenced: bool = False) -> DataFr
 
     Sequence numbers cost a ranking of every flow, so they are made on request.
     """
-    e = table(spark, sf_dir, "events")
+    return packets_of(table(spark, sf_dir, "events"), sequenced)
+
+
+def packets_of(e: DataFrame, sequenced: bool = False) -> DataFrame:
+    """``packets`` of any batch or stream of events."""
     micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"
     p = e.select(
         F.expr("user_id % 5").alias("capture_id"),
