@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["traffic", "protocol", "assessment", "evaluation", "auditing", "landing", "streams"]
+AREAS = ["traffic", "protocol", "assessment", "evaluation", "auditing", "landing", "streams", "learning"]
 
 
 def import_all() -> None:
