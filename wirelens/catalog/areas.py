@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-AREAS = ["traffic", "protocol", "assessment", "evaluation", "auditing", "landing", "streams", "learning"]
+AREAS = ["traffic", "protocol", "assessment", "evaluation", "auditing", "landing", "streams", "learning",
+         "reports"]
 
 
 def import_all() -> None:
