@@ -466,9 +466,9 @@ SELECT g.capture_id, g.pair_id, round(hi / 1500.0::DOUBLE, 6) AS max_len_over_mt
        20.0::DOUBLE AS inner_header_bytes FROM g JOIN c USING (capture_id)""")
 def mode_features(spark, sf):
     p = adapters.packets(spark, sf)
-    pairs = flows.pair_flows(flows.summarise_flows(p))
+    pairs, t = flows.pair_and_tag(p)
     base = spark.createDataFrame(BASELINE, "traffic_class string, ip_version int, base_min double, base_modal double")
-    return rounded(features.mode_classifier_features(flows.tag_packets(p, pairs), p, capture_distribution(pairs), base))
+    return rounded(features.mode_classifier_features(t, p, capture_distribution(pairs), base))
 
 
 # --- catalogue ----------------------------------------------------------------------

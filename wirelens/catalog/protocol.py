@@ -11,12 +11,18 @@ from wirelens.catalog.traffic import rounded
 from wirelens.functions import scalars
 from wirelens.operators import flows, ike, lattice, pfs, quality, replay
 from wirelens.plans import adapters
+from wirelens.session import materialise
 
 
 def pairs_of(spark, sf):
     return flows.pair_flows(flows.summarise_flows(adapters.packets(spark, sf)))
 
 
+def messages_of(spark, sf):
+    """The message table, written once as a landing job would leave it."""
+    return materialise(adapters.ike_messages(spark, sf))
+
+
 def flat(column: str) -> list:
     """An attribute as value, provenance and confidence columns."""
     c = F.col(column)
@@ -43,7 +49,7 @@ sqlviews.view("ranked_survivors", "survivors", """
 SELECT capture_id, pair_id, place, suite, encryption, integrity FROM ranked_survivors""")
 def suite_survivors(spark, sf):
     p = adapters.packets(spark, sf)
-    t = flows.tag_packets(p, flows.pair_flows(flows.summarise_flows(p)))
+    t = flows.pair_and_tag(p)[1]
     return lattice.suite_long(lattice.length_histogram(t))
 
 
@@ -63,7 +69,7 @@ SELECT capture_id, pair_id,
 FROM g""")
 def suite_detection(spark, sf):
     p = adapters.packets(spark, sf)
-    t = flows.tag_packets(p, flows.pair_flows(flows.summarise_flows(p)))
+    t = flows.pair_and_tag(p)[1]
     found = lattice.detect_suite(lattice.suite_survivors(lattice.length_histogram(t)), quality.capture_quality(p))
     return found.select("capture_id", "pair_id", *flat("suite"), *flat("encryption_alg"), *flat("integrity_alg"))
 
@@ -82,7 +88,7 @@ SELECT capture_id, pair_id, src, dst, spi, packets, duplicates, out_of_order, fi
        round(gap_ratio, 6) AS gap_ratio FROM seq_stats""")
 def sequence_stats(spark, sf):
     p = adapters.packets(spark, sf, sequenced=True)
-    return rounded(replay.sequence_stats(flows.tag_packets(p, pairs_of(spark, sf))))
+    return rounded(replay.sequence_stats(flows.pair_and_tag(p)[1]))
 
 
 @query("sequence_health", "A14", views="seq_stats", sql="""
@@ -96,7 +102,7 @@ SELECT capture_id, pair_id, CAST(packets AS BIGINT) AS packets, CAST(duplicates
 FROM p""")
 def sequence_health(spark, sf):
     p = adapters.packets(spark, sf, sequenced=True)
-    h = replay.sequence_health(replay.sequence_stats(flows.tag_packets(p, pairs_of(spark, sf))))
+    h = replay.sequence_health(replay.sequence_stats(flows.pair_and_tag(p)[1]))
     return h.select("capture_id", "pair_id", "packets", "duplicates", "out_of_order", "missing", *flat("replay_sane"))
 
 
@@ -243,7 +249,7 @@ def no_nulls(df):
 
 @query("negotiations", "J3 W8 W11 P15 P16 P17 P26 P28 P29 P30", views="negotiations", sql=NEG_SQL)
 def negotiations(spark, sf):
-    n = ike.build_negotiations(adapters.ike_messages(spark, sf)).drop("proposed", "selected")
+    n = ike.build_negotiations(messages_of(spark, sf)).drop("proposed", "selected")
     n = n.withColumn("esn", F.when(F.col("esn"), 1).when(~F.col("esn"), 0))
     return no_nulls(n)
 
@@ -275,7 +281,7 @@ sqlviews.view("correlated", "pairs negotiations", """
 @query("flow_negotiation_asof", "J2 W11", views="correlated", sql="""
 SELECT capture_id, pair_id, coalesce(init_spi, '') AS init_spi, coalesce(ts_us, -1) AS ts_us FROM correlated""")
 def flow_negotiation_asof(spark, sf):
-    c = ike.correlate(flows.sa_rollup(pairs_of(spark, sf)), ike.build_negotiations(adapters.ike_messages(spark, sf)))
+    c = ike.correlate(flows.sa_rollup(pairs_of(spark, sf)), ike.build_negotiations(messages_of(spark, sf)))
     return c.select("capture_id", "pair_id", F.coalesce("negotiation.init_spi", F.lit("")).alias("init_spi"),
                     F.coalesce("negotiation.ts_us", F.lit(-1)).alias("ts_us"))
 
@@ -310,7 +316,7 @@ def _sa_columns() -> str:
 
 def sas_of(spark, sf):
     roll = flows.sa_rollup(pairs_of(spark, sf))
-    return ike.assemble_sas(roll, ike.correlate(roll, ike.build_negotiations(adapters.ike_messages(spark, sf))))
+    return ike.assemble_sas(roll, ike.correlate(roll, ike.build_negotiations(messages_of(spark, sf))))
 
 
 sqlviews.view("sas_base", "correlated pairs", "SELECT c.*, p.udp_encapsulated FROM correlated c JOIN pairs p USING (capture_id, pair_id)")
@@ -363,11 +369,11 @@ SELECT capture_id, pair_id, CASE WHEN known THEN encryption_alg WHEN sieved THEN
 FROM j""")
 def association_overlay(spark, sf):
     p = adapters.packets(spark, sf)
-    pairs = flows.pair_flows(flows.summarise_flows(p))
+    pairs, tagged = flows.pair_and_tag(p)
     roll = flows.sa_rollup(pairs)
-    sas = ike.assemble_sas(roll, ike.correlate(roll, ike.build_negotiations(adapters.ike_messages(spark, sf))))
+    sas = ike.assemble_sas(roll, ike.correlate(roll, ike.build_negotiations(messages_of(spark, sf))))
     sieve = lattice.detect_suite(
-        lattice.suite_survivors(lattice.length_histogram(flows.tag_packets(p, pairs))), quality.capture_quality(p))
+        lattice.suite_survivors(lattice.length_histogram(tagged)), quality.capture_quality(p))
     return ike.overlay(sas, sieve).select("capture_id", "pair_id", *flat("encryption_alg"))
 
 

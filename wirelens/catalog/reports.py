@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wirelens.catalog.protocol import messages_of
 from wirelens.catalog.registry import query
 from wirelens.plans import adapters, assess
 from wirelens.sources import sinks
 
 
 def assessed(spark, sf):
-    return assess.assess(adapters.packets(spark, sf, sequenced=True), adapters.ike_messages(spark, sf).withColumn("length", F.lit(0)))
+    return assess.assess(adapters.packets(spark, sf, sequenced=True), messages_of(spark, sf).withColumn("length", F.lit(0)))
 
 
 CONDITIONS = [

@@ -19,8 +19,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def tagged(spark, sf):
-    p = adapters.packets(spark, sf)
-    return flows.tag_packets(p, flows.pair_flows(flows.summarise_flows(p)))
+    return flows.pair_and_tag(adapters.packets(spark, sf))[1]
 
 
 def windowed(spark, sf):

@@ -6,7 +6,7 @@ and every sort, rank and aggregate below runs on that clustering.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens import dims
@@ -19,26 +19,18 @@ BURST_GAP_US = 200_000
 PATH_MTU = 1500
 
 
-def _stats(prefix: str, value: Column, rank: Column, n: Column, use: Column | None = None,
-           scale: float = 1.0) -> list[Column]:
-    """Ten statistics of ``value`` where ``use`` holds; zero when there is none."""
-    def pick(v: Column) -> Column:
-        return v if use is None else F.when(use, v)
+def _stats_sql(prefix: str, value: str, rank: str, n: str, use: str | None = None, scale: float = 1.0) -> list[str]:
+    """Ten statistics of ``value`` where ``use`` holds; zero when there is none.
 
-    def out(c: Column, name: str) -> Column:
-        d = c.cast("double")
-        return F.coalesce(d / scale if scale != 1.0 else d, F.lit(0.0)).alias(f"{prefix}_{name}")
-
-    cols = [
-        out(F.avg(pick(value)), "mean"),
-        out(F.stddev_samp(pick(value)), "std"),
-        out(F.min(pick(value)), "min"),
-        out(F.max(pick(value)), "max"),
-    ]
+    As SQL text: one parse per statistic instead of a dozen column calls.
+    """
+    v = value if use is None else f"if({use}, {value}, null)"
+    cond = "" if use is None else f"{use} and "
+    parts = {"mean": f"avg({v})", "std": f"stddev_samp({v})", "min": f"min({v})", "max": f"max({v})"}
     for p in dims.PERCENTILES:
-        hit = rank == scalars.nearest_rank(n, p)
-        cols.append(out(F.max(F.when(hit if use is None else hit & use, value)), f"p{p}"))
-    return cols
+        # Nearest rank: round((n-1)*q)+1 in integers.
+        parts[f"p{p}"] = f"max(if({cond}{rank} = (({n} - 1) * {p} + 50) div 100 + 1, {value}, null))"
+    return [f"coalesce(cast({e} as double), 0.0D) / {scale}D AS {prefix}_{name}" for name, e in parts.items()]
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -47,64 +39,54 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def extract_features(windowed: DataFrame, min_packets: int = 1) -> DataFrame:
     """One row per (pair, window) with the 74 features in model order."""
-    window = Window.partitionBy(*WINDOW_KEYS)
-    by_time = window.orderBy("ts_us", "index")
-    by_len = window.orderBy("length")
-    by_gap = window.orderBy(F.col("gap_us").asc_nulls_last())
-    direction = Window.partitionBy(*WINDOW_KEYS, "up")
-    same_len = Window.partitionBy(*WINDOW_KEYS, "length")
-
+    key = ", ".join(WINDOW_KEYS)
     rows = (
         windowed.repartition(*WINDOW_KEYS)
-        .withColumn("n", F.count(F.lit(1)).over(window))
-        .withColumn("n_up", F.count_if("up").over(window))
-        .filter((F.col("n_up") > 0) & (F.col("n") >= min_packets))
-        .withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(by_time))
-        .withColumn("len_rank", F.row_number().over(by_len))
-        .withColumn("len_no", F.dense_rank().over(by_len))
-        .withColumn("len_n", F.count(F.lit(1)).over(same_len))
-        .withColumn("dir_n", F.count(F.lit(1)).over(direction))
-        .withColumn("dir_rank", F.row_number().over(direction.orderBy("length")))
-        .withColumn("gap_rank", F.row_number().over(by_gap))
+        .selectExpr("*", f"count(*) over (partition by {key}) AS n", f"count_if(up) over (partition by {key}) AS n_up")
+        .filter(f"n_up > 0 and n >= {min_packets}")
+        .selectExpr(
+            *WINDOW_KEYS, "paired", "start_us", "ts_us", "length", "up", "n",
+            f"ts_us - lag(ts_us) over (partition by {key} order by ts_us, index) AS gap_us",
+            f"row_number() over (partition by {key} order by length) AS len_rank",
+            f"dense_rank() over (partition by {key} order by length) AS len_no",
+            f"count(*) over (partition by {key}, length) AS len_n",
+            f"count(*) over (partition by {key}, up) AS dir_n",
+            f"row_number() over (partition by {key}, up order by length) AS dir_rank")
+        .selectExpr("*", f"row_number() over (partition by {key} order by gap_us nulls last) AS gap_rank")
     )
-    n, length, gap, up = F.col("n"), F.col("length"), F.col("gap_us"), F.col("up")
-    has_gap = gap.isNotNull()
-    burst = has_gap & (gap > BURST_GAP_US)
+    burst = f"gap_us > {BURST_GAP_US}"
     agg = [
-        F.min("start_us").alias("start_us"),
-        F.max("paired").alias("paired"),
-        *_stats("esp_len", length, F.col("len_rank"), n),
-        *[F.avg(F.when(length % 16 == r, 1.0).otherwise(0.0)).alias(f"esp_len_mod16_{r}") for r in range(16)],
-        F.max("len_no").cast("double").alias("esp_len_distinct"),
-        F.max_by(F.struct("length", "len_n"), F.struct("len_n", -length)).alias("_modal"),
-        F.count(F.lit(1)).cast("double").alias("packet_count"),
-        F.sum("length").cast("double").alias("byte_count"),
-        F.greatest(F.lit(1e-6), (F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_s"),
-        *_stats("iat", gap, F.col("gap_rank"), n - 1, has_gap, 1e6),
-        F.count_if(burst).cast("double").alias("burst_count"),
-        F.coalesce(F.sum(F.when(burst, gap)) / 1e6, F.lit(0.0)).alias("idle_total_s"),
-        F.coalesce(F.avg(F.when(burst, gap)) / 1e6, F.lit(0.0)).alias("idle_mean_s"),
-        F.count_if(up).cast("double").alias("up_packets"),
-        F.count_if(~up).cast("double").alias("down_packets"),
-        F.coalesce(F.sum(F.when(up, length)), F.lit(0)).cast("double").alias("_up_bytes"),
-        F.coalesce(F.sum(F.when(~up, length)), F.lit(0)).cast("double").alias("_down_bytes"),
-        *_stats("up_len", length, F.col("dir_rank"), F.col("dir_n"), up),
-        *_stats("down_len", length, F.col("dir_rank"), F.col("dir_n"), ~up),
+        "min(start_us) AS start_us", "max(paired) AS paired",
+        *_stats_sql("esp_len", "length", "len_rank", "n"),
+        *[f"cast(count_if(length % 16 = {r}) as double) / count(*) AS esp_len_mod16_{r}" for r in range(16)],
+        "cast(max(len_no) as double) AS esp_len_distinct",
+        # Most frequent, then smallest: one number, since a length is below 2^20.
+        "max(len_n * 1048576L + 1048575L - length) AS _modal",
+        "cast(count(*) as double) AS packet_count", "cast(sum(length) as double) AS byte_count",
+        "greatest(0.000001D, (max(ts_us) - min(ts_us)) / 1000000D) AS duration_s",
+        *_stats_sql("iat", "gap_us", "gap_rank", "(n - 1)", "gap_us is not null", 1e6),
+        f"cast(count_if({burst}) as double) AS burst_count",
+        f"coalesce(sum(if({burst}, gap_us, null)) / 1000000D, 0D) AS idle_total_s",
+        f"coalesce(avg(if({burst}, gap_us, null)) / 1000000D, 0D) AS idle_mean_s",
+        "cast(count_if(up) as double) AS up_packets", "cast(count_if(not up) as double) AS down_packets",
+        "cast(coalesce(sum(if(up, length, null)), 0) as double) AS _ub",
+        "cast(coalesce(sum(if(not up, length, null)), 0) as double) AS _db",
+        *_stats_sql("up_len", "length", "dir_rank", "dir_n", "up"),
+        *_stats_sql("down_len", "length", "dir_rank", "dir_n", "not up"),
     ]
-    wide = rows.groupBy(*WINDOW_KEYS).agg(*agg)
-    c = F.col
-    wide = wide.withColumns({
-        "esp_len_modal": c("_modal.length").cast("double"),
-        "esp_len_modal_share": c("_modal.len_n") / c("packet_count"),
-        "packets_per_s": c("packet_count") / c("duration_s"),
-        "bytes_per_s": c("byte_count") / c("duration_s"),
-        "iat_cv": _ratio(c("iat_std"), c("iat_mean")),
-        "up_down_byte_ratio": _ratio(c("_up_bytes"), c("_down_bytes")),
-        "up_down_packet_ratio": _ratio(c("up_packets"), c("down_packets")),
-        "sa_spi_count": F.when(c("paired"), 2.0).otherwise(1.0),
-        "sa_paired": F.when(c("paired"), 1.0).otherwise(0.0),
-    })
-    return wide.select(*WINDOW_KEYS, "start_us", *dims.FEATURES)
+    wide = rows.groupBy(*WINDOW_KEYS).agg(*[F.expr(a) for a in agg])
+    late = {
+        "esp_len_modal": "cast(1048575L - _modal % 1048576L as double)",
+        "esp_len_modal_share": "(_modal div 1048576L) / packet_count",
+        "packets_per_s": "packet_count / duration_s",
+        "bytes_per_s": "byte_count / duration_s",
+        "iat_cv": "coalesce(iat_std / nullif(iat_mean, 0D), 0D)",
+        "up_down_byte_ratio": "coalesce(_ub / nullif(_db, 0D), 0D)",
+        "up_down_packet_ratio": "coalesce(up_packets / nullif(down_packets, 0D), 0D)",
+        "sa_spi_count": "if(paired, 2D, 1D)",
+        "sa_paired": "if(paired, 1D, 0D)",
+    }
+    return wide.selectExpr(*WINDOW_KEYS, "start_us", *[f"{late[f]} AS {f}" if f in late else f for f in dims.FEATURES])
 
 
 def _moments(prefix: str, value: Column, scale: float = 1.0) -> list[Column]:

@@ -14,6 +14,8 @@ GROUP = ["capture_id", "lo", "hi", "proto"]
 
 # Flows of one endpoint pair matched in a single array; larger groups are split.
 MAX_GROUP_FLOWS = 4096
+# Flow sides sent to every executor; about 50 MB.
+MAX_BROADCAST_FLOWS = 500_000
 
 
 def summarise_flows(packets: DataFrame) -> DataFrame:
@@ -141,11 +143,19 @@ def pair_flows(flows: DataFrame, max_group: int = MAX_GROUP_FLOWS, bucket_us: in
     is planned only when the summaries hold such a pair. The earlier flow of a
     pair becomes ``fwd``; flows without a partner keep a null ``rev``.
     """
-    f = materialise(
-        flows.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
-    )
+    f = materialise(_with_ends(flows))
+    return _pair(f, f.count(), max_group, bucket_us, bucket_rows)
+
+
+def _with_ends(flows: DataFrame) -> DataFrame:
+    return flows.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
+
+
+def _pair(f: DataFrame, rows: int, max_group: int = MAX_GROUP_FLOWS, bucket_us: int = 3_600_000_000,
+          bucket_rows: int = 1_000_000) -> DataFrame:
     big = f.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group)
-    if big.isEmpty():
+    # Fewer flows in all than one group may hold need no look at the groups.
+    if rows <= max_group or big.isEmpty():
         matched = _match_arrays(_collect(f, GROUP), GROUP)
     else:
         big = materialise(big.select(*GROUP))
@@ -161,31 +171,41 @@ def pair_flows(flows: DataFrame, max_group: int = MAX_GROUP_FLOWS, bucket_us: in
     )
 
 
-def tag_packets(packets: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_and_tag(packets: DataFrame, max_broadcast: int = MAX_BROADCAST_FLOWS) -> tuple[DataFrame, DataFrame]:
+    """(pairs, tagged packets) of one packet table; the flows are counted once for both."""
+    f = materialise(_with_ends(summarise_flows(packets)))
+    rows = f.count()
+    pairs = _pair(f, rows)
+    return pairs, _tag(packets, _sides(pairs), rows <= max_broadcast)
+
+
+def tag_packets(packets: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_BROADCAST_FLOWS) -> DataFrame:
     """Packets of both directions with their pair's id, anchor and direction.
 
-    The pair table has one row per flow; whether it is broadcast is decided from
-    its measured size at run time.
+    The flow sides are written once and counted. Up to ``max_broadcast`` of them
+    (about 100 bytes each) are broadcast, so packets are not shuffled to find
+    their pair; beyond that the join shuffles, and AQE splits hot flows.
     """
+    sides = materialise(_sides(pairs))
+    return _tag(packets, sides, sides.count() <= max_broadcast)
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    """One row per directed flow of each pair."""
     first = F.least("fwd.start_ts_us", "rev.start_ts_us")
     last = F.greatest("fwd.end_ts_us", "rev.end_ts_us")
-    sides = pairs.select(
-        "capture_id", "pair_id", "proto", "paired",
-        first.alias("first_us"), last.alias("last_us"),
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.lit(True).alias("up"), F.col("fwd.src").alias("src"),
-                             F.col("fwd.dst").alias("dst"), F.col("fwd.spi").alias("spi")),
-                    F.when(F.col("paired"), F.struct(
-                        F.lit(False).alias("up"), F.col("rev.src").alias("src"),
-                        F.col("rev.dst").alias("dst"), F.col("rev.spi").alias("spi"))),
-                ),
-                lambda s: s.isNotNull(),
-            )
-        ).alias("s"),
-    ).select("capture_id", "s.src", "s.dst", "s.spi", "proto", "pair_id", "paired",
-             "first_us", "last_us", "s.up")
+    ends = ["src", "dst", "spi"]
+    forward = F.struct(F.lit(True).alias("up"), *[F.col(f"fwd.{c}").alias(c) for c in ends])
+    reverse = F.struct(F.lit(False).alias("up"), *[F.col(f"rev.{c}").alias(c) for c in ends])
+    both = F.filter(F.array(forward, F.when(F.col("paired"), reverse)), lambda s: s.isNotNull())
+    return pairs.select(
+        "capture_id", "pair_id", "proto", "paired", first.alias("first_us"), last.alias("last_us"),
+        F.explode(both).alias("s"),
+    ).select("capture_id", "s.src", "s.dst", "s.spi", "proto", "pair_id", "paired", "first_us", "last_us", "s.up")
+
+
+def _tag(packets: DataFrame, sides: DataFrame, small: bool) -> DataFrame:
+    sides = F.broadcast(sides) if small else sides.hint("merge")
     rows = packets.filter(scalars.is_flow_packet(F.col("proto"), F.col("spi")))
     return rows.join(sides, FLOW_KEYS)
 

@@ -29,14 +29,21 @@ def _typed(proposal: Column, transform_type: int) -> Column:
     return _first(proposal["transforms"], lambda t: t["transform_type"] == transform_type)
 
 
-def _cipher(transform: Column, version: Column) -> Column:
-    """(alg, bits) one transform offers; null alg when it offers no cipher."""
-    code = F.when(version == "ikev2", F.when(
+def _cipher_code(transform: Column, version: Column) -> Column:
+    """Registry id of the cipher a transform offers, null when it offers none."""
+    return F.when(version == "ikev2", F.when(
         transform["transform_type"] == dims.TF_ENCR, transform["transform_id"]
     ).cast("bigint")).otherwise(_attr(transform, dims.AT_V1_ENCR))
-    alg = scalars.algorithm(version, code, {"ikev2": "encr", "ikev1": "encr"})
-    return F.struct(alg.alias("alg"),
-                    scalars.key_bits(_attr(transform, dims.AT_KEY_LENGTH), alg).alias("bits"))
+
+
+def _cipher(transform: Column, version: Column) -> Column:
+    """(alg, bits) one transform offers; null alg when it offers no cipher."""
+    def named(code: Column) -> Column:
+        return scalars.algorithm(version, code, {"ikev2": "encr", "ikev1": "encr"})
+
+    return scalars.let(
+        scalars.let(_cipher_code(transform, version), named),
+        lambda alg: F.struct(alg.alias("alg"), scalars.key_bits(_attr(transform, dims.AT_KEY_LENGTH), alg).alias("bits")))
 
 
 def exchange_mode(version: Column, exchange_type: Column) -> Column:
@@ -70,16 +77,20 @@ def build_negotiations(messages: DataFrame) -> DataFrame:
     n = n.withColumn("t0", F.get(F.col("selected.transforms"), F.lit(0)))
     v, sel, t0 = F.col("version"), F.col("selected"), F.col("t0")
     v2 = v == "ikev2"
-    n = n.withColumn("cipher", _cipher(F.when(v2, _typed(sel, dims.TF_ENCR)).otherwise(t0), v))
-    integ = F.when(v2, _typed(sel, dims.TF_INTEG)["transform_id"].cast("bigint")).otherwise(
-        _attr(t0, dims.AT_V1_HASH))
-    prf = F.when(v2, _typed(sel, dims.TF_PRF)["transform_id"])
-    dh = F.when(v2, _typed(sel, dims.TF_DH)["transform_id"].cast("bigint")).otherwise(
-        _attr(t0, dims.AT_V1_GROUP))
-    esn = _typed(sel, dims.TF_ESN)["transform_id"]
-    life = F.when(~v2 & (_attr(t0, dims.AT_V1_LIFE_TYPE) == dims.LIFE_TYPE_SECONDS),
-                  _attr(t0, dims.AT_V1_LIFE_DURATION))
-    auth = F.when(~v2, _attr(t0, dims.AT_V1_AUTH))
+    n = n.withColumn("encr", F.when(v2, _typed(sel, dims.TF_ENCR)).otherwise(t0))
+    # Registry ids first, as columns: each is looked up in several places below.
+    n = n.withColumns({
+        "c_encr": _cipher_code(F.col("encr"), v),
+        "c_bits": _attr(F.col("encr"), dims.AT_KEY_LENGTH),
+        "c_integ": F.when(v2, _typed(sel, dims.TF_INTEG)["transform_id"].cast("bigint")).otherwise(_attr(t0, dims.AT_V1_HASH)),
+        "c_prf": F.when(v2, _typed(sel, dims.TF_PRF)["transform_id"]),
+        "c_dh": F.when(v2, _typed(sel, dims.TF_DH)["transform_id"].cast("bigint")).otherwise(_attr(t0, dims.AT_V1_GROUP)),
+        "c_esn": _typed(sel, dims.TF_ESN)["transform_id"],
+        "c_auth": F.when(~v2, _attr(t0, dims.AT_V1_AUTH)),
+        "c_life": F.when(~v2 & (_attr(t0, dims.AT_V1_LIFE_TYPE) == dims.LIFE_TYPE_SECONDS),
+                         _attr(t0, dims.AT_V1_LIFE_DURATION)),
+    })
+    n = n.withColumn("alg", scalars.algorithm(v, F.col("c_encr"), {"ikev2": "encr", "ikev1": "encr"}))
     return n.select(
         "capture_id", "init_spi", F.col("res.resp_spi").alias("resp_spi"),
         v.alias("ike_version"),
@@ -89,12 +100,12 @@ def build_negotiations(messages: DataFrame) -> DataFrame:
         F.col("req.frame_index").alias("request_frame"),
         F.col("res.frame_index").alias("response_frame"),
         F.col("req.sa_payload").alias("proposed"), sel.alias("selected"),
-        F.col("cipher.alg").alias("encryption_alg"), F.col("cipher.bits").alias("encryption_keylen"),
-        scalars.algorithm(v, integ, {"ikev2": "integ", "ikev1": "hash"}).alias("integrity_alg"),
-        scalars.algorithm(v, prf, {"ikev2": "prf"}).alias("prf_alg"),
-        dh.cast("int").alias("dh_group"), life.cast("int").alias("lifetime_s"),
-        scalars.algorithm(v, auth, {"ikev1": "auth"}).alias("auth_method"),
-        (esn == 1).alias("esn"),
+        F.col("alg").alias("encryption_alg"), scalars.key_bits(F.col("c_bits"), F.col("alg")).alias("encryption_keylen"),
+        scalars.algorithm(v, F.col("c_integ"), {"ikev2": "integ", "ikev1": "hash"}).alias("integrity_alg"),
+        scalars.algorithm(v, F.col("c_prf"), {"ikev2": "prf"}).alias("prf_alg"),
+        F.col("c_dh").cast("int").alias("dh_group"), F.col("c_life").cast("int").alias("lifetime_s"),
+        scalars.algorithm(v, F.col("c_auth"), {"ikev1": "auth"}).alias("auth_method"),
+        (F.col("c_esn") == 1).alias("esn"),
         (F.col("req.nat_detected") | F.coalesce(F.col("res.nat_detected"), F.lit(False))).alias("nat_detected"),
     ).transform(downgrade_available)
 
@@ -104,11 +115,8 @@ def downgrade_available(negotiations: DataFrame) -> DataFrame:
     chosen = scalars.strength(F.col("encryption_alg"), F.col("encryption_keylen"))
 
     def weaker(t: Column) -> Column:
-        c = _cipher(t, F.col("ike_version"))
-        return (
-            c["alg"].isNotNull() & (c["alg"] != "unknown")
-            & (scalars.strength(c["alg"], c["bits"]) < chosen)
-        )
+        return scalars.let(_cipher(t, F.col("ike_version")), lambda c: (
+            c["alg"].isNotNull() & (c["alg"] != "unknown") & (scalars.strength(c["alg"], c["bits"]) < chosen)))
 
     offered = F.flatten(F.transform("proposed", lambda p: p["transforms"]))
     possible = F.col("encryption_alg").isNotNull() & (F.col("encryption_alg") != "unknown")

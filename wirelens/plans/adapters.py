@@ -16,12 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A task reads whole row groups; below this size a file is likely to be one.
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``table`` for CPU-heavy views: a single small file is dealt out to all cores."""
+    df = table(spark, sf_dir, name)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < ROW_GROUP_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def packets(spark: SparkSession, sf_dir: str, sequenced: bool = False) -> DataFrame:
     """Events as packets: five captures, three SPI generations, two directions.
 
     Sequence numbers cost a ranking of every flow, so they are made on request.
     """
-    return packets_of(table(spark, sf_dir, "events"), sequenced)
+    return packets_of(spread_table(spark, sf_dir, "events"), sequenced)
 
 
 def packets_of(e: DataFrame, sequenced: bool = False) -> DataFrame:
@@ -135,7 +148,7 @@ def ike_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN version = 'ikev1' THEN cast({v1} as array<struct<transform_type:int,transform_id:int,attrs:array<struct<attr_type:int,value:bigint>>>>) "
         f"ELSE cast({v2} as array<struct<transform_type:int,transform_id:int,attrs:array<struct<attr_type:int,value:bigint>>>>) END AS transforms)) as {PROPOSALS_TYPE})"
     )
-    o = table(spark, sf_dir, "orders").selectExpr(
+    o = spread_table(spark, sf_dir, "orders").selectExpr(
         "*", f"{IKE['version']} AS version", f"{IKE['capture_id']} AS capture_id",
         "lpad(lower(hex(o_orderkey)), 16, '0') AS init_spi")
     o = o.withColumn("offers", F.expr(offers))
@@ -214,7 +227,7 @@ def declared_sas(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wirelens import dims
     from wirelens.functions import attrs
 
-    o = table(spark, sf_dir, "orders")
+    o = spread_table(spark, sf_dir, "orders")
     cols = [
         F.expr("o_custkey % 50").alias("capture_id"), F.col("o_orderkey").alias("pair_id"),
         F.lpad(F.lower(F.hex("o_orderkey")), 8, "0").alias("spi_initiator"),

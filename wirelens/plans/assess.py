@@ -58,8 +58,9 @@ def infer(packets: DataFrame, pairs: DataFrame, rollup: DataFrame, flow_table: D
         matrix = features.extract_features(windows.assign_windows(tagged), windows.MIN_PACKETS)
         spans = models.score_windows(model, matrix)
     out = rollup.select(*keys)
+    # One row per association each; written once, so the joins below stay a short plan.
     for part in (sieve.drop("suite"), health, rekey, pfs_rows, inner_traffic(spans)):
-        out = out.join(part, keys, "left")
+        out = out.join(materialise(part), keys, "left")
     return out, spans
 
 

@@ -30,6 +30,9 @@ def get_spark(app: str = "wirelens", master: str | None = None, **conf: str) ->
             builder.master(master)
             .config("spark.ui.enabled", "false")
             .config("spark.sql.shuffle.partitions", str(parts))
+            # Small inputs are CPU-bound here: keep all cores busy below 1 MB per task.
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+            .config("spark.sql.files.openCostInBytes", "262144")
         )
     for key, value in conf.items():
         builder = builder.config(key, value)
