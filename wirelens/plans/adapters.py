@@ -376,8 +376,8 @@ def dissected(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'isakmp.exchangetype', cast(exchange_type as string), 'isakmp.messageid', '0x00000000', 'isakmp.length', '300', "
         f"'isakmp.typepayload', CASE WHEN nat_detected THEN array({first}, {second}) ELSE array({first}) END, "
         "'isakmp.typepayload_tree', CASE WHEN nat_detected THEN array(sa, nat) ELSE array(sa) END)")
-    packet = (
-        "named_struct('_source', named_struct('layers', named_struct("
+    layers = (
+        "named_struct("
         "'frame', named_struct('frame.number', cast(frame_index as string), 'frame.time_epoch', concat(cast(ts_us div 1000000 as string), '.000000')), "
-        f"'ip', named_struct('ip.src', src, 'ip.dst', dst), 'isakmp', {isakmp})))")
-    return m.select("capture_id", F.parse_json(F.to_json(F.expr(packet))).alias("packet"))
+        f"'ip', named_struct('ip.src', src, 'ip.dst', dst), 'isakmp', {isakmp})")
+    return m.select("capture_id", F.parse_json(F.to_json(F.expr(layers))).alias("layers"))

@@ -15,16 +15,17 @@ DEPTH = 4  # message, association, proposal, transform
 
 
 def read_ike_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per dissected packet: capture_id (file stem) and the packet as VARIANT.
+    """One row per dissected packet: capture_id (file stem) and its ``layers`` as VARIANT.
 
-    The reader streams the elements of each dump's array.
+    The reader streams the elements of each dump's array, so a dump is never
+    held whole.
     """
     rows = (
         spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
-        .option("singleVariantColumn", "packet").json(path)
+        .schema("_source struct<layers:variant>").json(path)
     )
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
-    return rows.select(stem.alias("capture_id"), "packet")
+    return rows.select(stem.alias("capture_id"), F.col("_source.layers").alias("layers"))
 
 
 def _path(*keys: str) -> str:
@@ -138,12 +139,11 @@ def _spi(isakmp: Column, *names: str) -> Column:
 
 
 def parse_messages(packets: DataFrame) -> DataFrame:
-    """Typed messages of (capture_id, packet VARIANT); other packets are dropped."""
-    df = packets.withColumn("_layers", _node(F.col("packet"), "_source", "layers"))
-    df = df.withColumn("_ike", _node(F.col("_layers"), "isakmp"))
+    """Typed messages of (capture_id, layers VARIANT); other packets are dropped."""
+    df = packets.withColumn("_ike", _node(F.col("layers"), "isakmp"))
     df = df.filter(F.try_variant_get("_ike", "$", "map<string,variant>").isNotNull())
     df = df.withColumn("_payloads", _payloads(F.col("_ike"))).withColumn("ike_version", ike_version(F.col("_ike")))
-    layers, ike = F.col("_layers"), F.col("_ike")
+    layers, ike = F.col("layers"), F.col("_ike")
     seconds = F.coalesce(_text(layers, "frame", "frame.time_epoch").try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
     proposals = F.when(F.col("ike_version") == "ikev2", _proposals(F.col("_payloads"), _transform_v2).cast(PROPOSALS_TYPE)).otherwise(
         _proposals(F.col("_payloads"), _transform_v1).cast(PROPOSALS_TYPE))
