@@ -17,15 +17,20 @@ FLOW = ["capture_id", "pair_id", "src", "dst", "spi"]
 def sequence_stats(tagged: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
     """Duplicates, reordering and gaps of each directed flow, in capture order.
 
-    Distinct numbers are found by grouping on (flow, number), and the previous
-    number crosses bucket borders by a carry, so a flow of any size is spread.
+    Distinct numbers are counted exactly in bitmaps of 32,768 numbers, which the
+    map side merges, so the shuffle carries bitmaps instead of packets; the
+    previous number crosses bucket borders by a carry. A flow of any size is
+    spread by both.
     """
     rows = tagged.filter(F.col("seq").isNotNull()).select(*FLOW, "index", "seq")
-    numbers = rows.groupBy(*FLOW, "seq").agg(F.count(F.lit(1)).alias("c"))
-    counts = numbers.groupBy(*FLOW).agg(
-        F.sum("c").alias("packets"), F.sum(F.col("c") - 1).alias("duplicates"),
-        F.count(F.lit(1)).alias("distinct_seqs"),
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
+    # Bitmap positions start at one, sequence numbers at zero.
+    one = (F.col("seq") + 1).cast("bigint")
+    spans = rows.groupBy(*FLOW, F.bitmap_bucket_number(one).alias("span")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("seq").alias("lo"), F.max("seq").alias("hi"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(one))).alias("d"))
+    counts = spans.groupBy(*FLOW).agg(
+        F.sum("c").alias("packets"), F.sum(F.col("c") - F.col("d")).alias("duplicates"),
+        F.sum("d").alias("distinct_seqs"), F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"),
     )
     prev = ordered.lagged(rows, FLOW, ["index"], F.expr(f"index div {bucket_rows}"), ["seq"])
     late = prev.groupBy(*FLOW).agg(F.count_if(F.col("seq") < F.col("prev_seq")).alias("out_of_order"))

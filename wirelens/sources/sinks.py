@@ -5,42 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelens import dims
+from wirelens.operators import ordered
+from wirelens.session import materialise
+
 
 DYNAMIC = {"partitionOverwriteMode": "dynamic"}
 
 
+# Associations in one document; larger captures continue in further parts.
+PART_ASSOCIATIONS = 10_000
+
+
 def assessment_documents(quality: DataFrame, sas: DataFrame, findings: DataFrame, scores: DataFrame,
-                         exposure: DataFrame, threats: DataFrame, ids: DataFrame) -> DataFrame:
-    """One JSON document per capture, with the promoted scalars beside it.
+                         exposure: DataFrame, threats: DataFrame, ids: DataFrame,
+                         part_associations: int = PART_ASSOCIATIONS) -> DataFrame:
+    """JSON documents per capture, with the promoted scalars beside them.
 
     ``ids``: capture_id, assessment_id, generated_at, engine_version,
     policy_version, model_versions (supplied by the caller, so runs repeat
-    byte for byte). The lists of one capture form one document by definition;
-    captures with more associations than fit one document should be read from
-    the normalised tables instead.
+    byte for byte). A capture is one document unless it holds more than
+    ``part_associations`` associations; then it continues in numbered parts,
+    each with its associations and their findings, so no list is unbounded.
     """
+    key = ["capture_id", "part"]
+
     def listed(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
-        rest = [c for c in df.columns if c != "capture_id"]
+        rest = [c for c in df.columns if c not in key]
         item = F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("v"))
-        return df.groupBy("capture_id").agg(F.transform(F.array_sort(F.collect_list(item), _by_order), lambda i: i["v"]).alias(name))
+        return df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item), _by_order), lambda i: i["v"]).alias(name))
 
-    from wirelens import dims
+    def whole(df: DataFrame, name: str) -> DataFrame:
+        return df.select("capture_id", F.struct(*[c for c in df.columns if c != "capture_id"]).alias(name))
 
+    numbered = ordered.numbered(sas.select("capture_id", "pair_id"), ["capture_id"], ["pair_id"],
+                                F.expr("pair_id div 1000000"), "place")
+    parts = materialise(numbered.select("capture_id", "pair_id", F.expr(f"(place - 1) div {part_associations}").alias("part")))
+    last = parts.groupBy("capture_id").agg(F.max("part").alias("_last"))
+    heads = ids.join(last, "capture_id", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_last", F.lit(0).cast("bigint"))))).drop("_last")
     worst = [dims.severity_rank(F.col("severity")).alias("a"), (-F.col("penalty")).alias("b"), F.col("id").alias("c"),
              F.coalesce("sa_spi", F.lit("")).alias("d")]
+    # Techniques of a capture are few: at most one row per rule and technique.
+    threat_list = listed(threats.withColumn("part", F.lit(0).cast("bigint")), "threat_matrix",
+                         [F.col("technique_id").alias("a")]).drop("part")
+    pairs = ["capture_id", "pair_id"]
     doc = (
-        ids.join(quality.select("capture_id", F.struct(*[c for c in quality.columns if c != "capture_id"]).alias("capture_quality")), "capture_id")
-        .join(listed(_dated(sas), "security_associations", [F.col("pair_id").alias("a")]), "capture_id", "left")
-        .join(listed(findings, "findings", worst), "capture_id", "left")
+        heads.join(whole(quality, "capture_quality"), "capture_id")
+        .join(listed(_dated(sas).join(parts, pairs), "security_associations", [F.col("pair_id").alias("a")]), key, "left")
+        .join(listed(findings.join(parts, pairs), "findings", worst), key, "left")
         .join(scores.select("capture_id", F.struct("total", "category_penalties", "rating").alias("score")), "capture_id", "left")
-        .join(exposure.select("capture_id", F.struct(*[c for c in exposure.columns if c != "capture_id"]).alias("metadata_exposure")), "capture_id", "left")
-        .join(listed(threats, "threat_matrix", [F.col("technique_id").alias("a")]), "capture_id", "left")
+        .join(whole(exposure, "metadata_exposure"), "capture_id", "left")
+        .join(threat_list, "capture_id", "left")
     )
     body = ["assessment_id", "capture_id", "generated_at", "engine_version", "policy_version", "model_versions",
             "capture_quality", "security_associations", "findings", "score", "metadata_exposure", "threat_matrix"]
     text = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), *body), {"ignoreNullFields": "false"})
     return doc.select(
-        "assessment_id", "capture_id", "generated_at", "engine_version", "policy_version",
+        "assessment_id", "capture_id", "part", "generated_at", "engine_version", "policy_version",
         F.col("score.total").alias("score_total"), F.col("score.rating").alias("rating"),
         F.col("metadata_exposure.score").alias("exposure_score"), text.alias("document"))
 
