@@ -134,8 +134,8 @@ def association_scores(spark, sf):
 
 @query("exposure", "A22 A23", views="predictions", sql="""
 WITH m AS (SELECT capture_id, avg(probability) AS mean, count(*) AS n FROM predictions GROUP BY capture_id),
-l AS (SELECT capture_id, label, min(pair_id * 100 + i) AS at FROM predictions GROUP BY capture_id, label),
-s AS (SELECT capture_id, string_agg(label, ', ' ORDER BY at) AS labels FROM l GROUP BY capture_id)
+l AS (SELECT capture_id, label, min(pair_id * 100 + i) AS pos FROM predictions GROUP BY capture_id, label),
+s AS (SELECT capture_id, string_agg(label, ', ' ORDER BY pos) AS labels FROM l GROUP BY capture_id)
 SELECT m.capture_id, CAST(round_even(100 * greatest(0, (mean - 1/7.0::DOUBLE) / (1 - 1/7.0::DOUBLE)), 0) AS INTEGER) AS score,
        round(mean, 6) AS mean_classifier_confidence, labels AS identified_classes,
        'identified as ' || labels || ' with mean confidence ' || printf('%.2f', mean) || ' over ' || n || ' windows' AS rationale

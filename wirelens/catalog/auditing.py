@@ -154,3 +154,15 @@ def capped_evidence(spark, sf):
     o = adapters.table(spark, sf, "orders").selectExpr("o_orderkey AS pair_id", "array_repeat(1L, cast(o_orderkey % 45 as int)) AS idx")
     e = o.withColumn("e", attrs.evidence("listing", F.col("idx")))
     return e.select("pair_id", F.size("e.packet_indices").alias("listed"), F.coalesce("e.total_matching", F.lit(-1)).alias("total"))
+
+
+@query("column_anomalies", "X9", sql="""
+SELECT 'ratio' AS feature, count(*) FILTER (l_discount = 0) AS bad FROM lineitem UNION ALL
+SELECT 'share', count(*) FILTER (l_tax = 0) FROM lineitem UNION ALL SELECT 'line', count(*) FILTER (l_linenumber = 3) FROM lineitem""")
+def column_anomalies(spark, sf):
+    """Line items with an infinite, an undefined and a missing measure, and a sound one."""
+    m = adapters.table(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_discount = 0 THEN double('Infinity') ELSE l_tax / l_discount END AS ratio",
+        "CASE WHEN l_tax = 0 THEN double('NaN') ELSE l_discount / l_tax END AS share",
+        "CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS line", "l_quantity AS sound")
+    return constraints.bad_features(m, ["ratio", "share", "line", "sound"])
