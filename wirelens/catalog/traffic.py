@@ -15,7 +15,7 @@ from wirelens.plans import adapters
 
 def rounded(df: DataFrame) -> DataFrame:
     """Every double rounded to six places, as the SQL twins do."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}`, 6) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def tagged(spark, sf):

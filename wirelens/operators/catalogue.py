@@ -33,9 +33,9 @@ def artefact_versions(files: DataFrame) -> DataFrame:
 
 def page(captures: DataFrame, key: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page, newest key first, with the total on every row."""
-    total = captures.agg(F.count(F.lit(1)).alias("total"))
+    total = captures.agg(F.count(F.lit(1))).scalar()
     rows = captures.orderBy(F.col(key).desc()).offset(offset).limit(limit)
-    return rows.join(total, F.lit(True))  # a page and one row
+    return rows.select("*", total.alias("total"))
 
 
 def record_outcomes(log: DataFrame) -> DataFrame:

@@ -40,12 +40,12 @@ def f1_table(predictions: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def evaluation(predictions: DataFrame, labels: list[str]) -> DataFrame:
-    """Macro-F1 over the fixed labels and accuracy over all rows."""
-    f1 = f1_table(predictions, labels).agg(F.avg("f1").alias("macro_f1"))
-    acc = predictions.agg(
-        F.coalesce(F.avg(F.when(F.col("truth") == F.col("predicted"), 1.0).otherwise(0.0)), F.lit(0.0)).alias("accuracy"),
-        F.count(F.lit(1)).alias("rows"))
-    return f1.join(acc, F.lit(True))  # two one-row tables
+    """Macro-F1 over the fixed labels and accuracy over all rows, from one pass."""
+    rows = F.sum("support")
+    return f1_table(predictions, labels).agg(
+        F.avg("f1").alias("macro_f1"),
+        F.coalesce(F.sum("tp") / F.nullif(rows, F.lit(0)), F.lit(0.0)).alias("accuracy"),
+        rows.alias("rows"))
 
 
 def edges(bins: int = BINS) -> list[float]:
@@ -97,8 +97,8 @@ def feature_means(matrix: DataFrame, names: list[str]) -> DataFrame:
 def class_weights(rows: DataFrame, label: str = "traffic_class") -> DataFrame:
     """total / (count * classes) per class."""
     c = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    t = c.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-    return c.join(t, F.lit(True)).select(label, "n", (F.col("total") / (F.col("n") * F.col("k"))).alias("weight"))
+    total, k = c.agg(F.sum("n")).scalar(), c.agg(F.count(F.lit(1))).scalar()
+    return c.select(label, "n", (total / (F.col("n") * k)).alias("weight"))
 
 
 def class_distribution(scored: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:

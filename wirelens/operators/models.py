@@ -68,9 +68,8 @@ def balanced(train: DataFrame) -> DataFrame:
     The network takes no row weights, so a class's weight becomes its repeats.
     """
     c = train.groupBy("traffic_class").agg(F.count(F.lit(1)).alias("_n"))
-    top = c.agg(F.max("_n").alias("_top"))
-    w = c.join(top, F.lit(True)).select(
-        "traffic_class", F.greatest(F.lit(1), F.bround(F.col("_top") / F.col("_n"), 0)).cast("int").alias("_copies"))
+    top = c.agg(F.max("_n")).scalar()
+    w = c.select("traffic_class", F.greatest(F.lit(1), F.bround(top / F.col("_n"), 0)).cast("int").alias("_copies"))
     # At most one row per class.
     return train.join(F.broadcast(w), "traffic_class").withColumn(
         "_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_i", "_copies")
@@ -244,10 +243,12 @@ def predict_mode(model: ModeModel, rows: DataFrame) -> DataFrame:
 def evaluate_rows(scored: DataFrame, labels: list[str], model: str) -> DataFrame:
     """Macro-F1, accuracy and calibration error of one scored fold, in long form."""
     rows = scored.select(F.col("traffic_class").alias("truth"), "predicted", "confidence")
-    both = evalm.evaluation(rows, labels).join(evalm.ece(rows).select("ece"), F.lit(True))  # one-row tables
-    return both.select(F.lit(model).alias("model"), F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("macro_f1", "accuracy", "ece", "rows")
-    ])).alias("m")).select("model", "m.*")
+    def long(one_row: DataFrame, names: list[str]) -> DataFrame:
+        return one_row.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "metric", "value")
+
+    metrics = long(evalm.evaluation(rows, labels), ["macro_f1", "accuracy", "rows"]).unionByName(
+        long(evalm.ece(rows), ["ece"]))
+    return metrics.select(F.lit(model).alias("model"), "metric", "value")
 
 
 def train_all(matrix: DataFrame, kind: str = "forest", sequence: bool = True) -> tuple[dict[str, TrafficModel], DataFrame]:
@@ -280,10 +281,7 @@ def score_external(model: TrafficModel, flows: DataFrame, tunnelled_only: bool =
 def generalisation_gap(internal: DataFrame, scored: DataFrame, labels: list[str]) -> DataFrame:
     """Internal and external macro-F1 side by side with their difference."""
     rows = scored.select(F.col("label").alias("truth"), "predicted", "confidence")
-    ext = evalm.evaluation(rows, labels).select(F.col("macro_f1").alias("external_macro_f1"), F.col("rows").alias("flows"))
-    own = internal.filter((F.col("model") == "traffic") & (F.col("metric") == "macro_f1")).select(
-        F.col("value").alias("internal_macro_f1"))
-    return own.join(ext, F.lit(True)).withColumn(
-        "gap", F.col("internal_macro_f1") - F.col("external_macro_f1"))
-
-
+    own = internal.filter((F.col("model") == "traffic") & (F.col("metric") == "macro_f1")).agg(F.max("value")).scalar()
+    return evalm.evaluation(rows, labels).select(
+        own.alias("internal_macro_f1"), F.col("macro_f1").alias("external_macro_f1"), F.col("rows").alias("flows"),
+        (own - F.col("macro_f1")).alias("gap"))

@@ -58,8 +58,9 @@ def session_results(results: DataFrame) -> DataFrame:
 
 def batch_result(sessions: DataFrame, unreadable: DataFrame) -> DataFrame:
     """One row: the batch passes when every session does and none is unreadable."""
-    s = sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(~F.col("passed")).alias("failed"))
-    u = unreadable.agg(F.count(F.lit(1)).alias("unreadable"))
-    # Two one-row tables.
-    return s.join(u, F.lit(True)).withColumn(
-        "passed", (F.col("failed") == 0) & (F.col("unreadable") == 0))
+    zero = F.lit(0).cast("bigint")
+    s = sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(~F.col("passed")).alias("failed"),
+                     zero.alias("unreadable"))
+    u = unreadable.agg(zero.alias("sessions"), zero.alias("failed"), F.count(F.lit(1)).alias("unreadable"))
+    both = s.unionByName(u).agg(*[F.sum(c).alias(c) for c in ("sessions", "failed", "unreadable")])
+    return both.withColumn("passed", (F.col("failed") == 0) & (F.col("unreadable") == 0))
