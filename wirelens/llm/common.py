@@ -120,3 +120,36 @@ def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
     if n <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+
+
+#: Size of a membership filter: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def maybe_among(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_maybe``: false only where ``key`` is surely not in the one column of ``ids``.
+
+    The ids become hashed bitmaps of a fixed total size, which are broadcast; wide rows
+    stay where they are. With very many ids the filter lets more rows pass, none less.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)) + 1
+    name = ids.columns[0]
+    marks = ids.select(spot(name).alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_marks"))
+    rows = docs.withColumn("_spot", spot(key)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    rows = rows.join(F.broadcast(marks), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_marks, cast(bitmap_bit_position(_spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_spot) % 8 as int)) & 1")
+    return rows.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).select(*docs.columns, "_maybe")
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one column of ``gone``; null keys stay.
+
+    Only rows that pass the membership filter are shuffled for the exact comparison.
+    """
+    flagged = maybe_among(docs, key, gone)
+    sure = flagged.filter(~F.col("_maybe")).drop("_maybe")
+    gone = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
+    rest = flagged.filter("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(gone, rest[key].cast("long") == F.col("_gone"), "left_anti"))

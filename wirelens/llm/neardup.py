@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import Scratch, WordIds, as_bytes, mixed, slices
+from wirelens.llm.common import Scratch, WordIds, as_bytes, mixed, slices, without
 from wirelens.llm.graph import components
 
 
@@ -264,5 +264,6 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """``docs`` with one document of each group, all columns unchanged."""
-    gone = near_duplicates(docs, forest).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.keep(near_duplicates(docs, forest).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return without(docs, "doc_id", gone)
