@@ -37,7 +37,7 @@ class Training:
     support: int = 4
     share: float = 0.01
     rounds: int = 40
-    ridge: float = 0.05
+    ridge: float = 0.002
 
 
 @dataclass(frozen=True)
