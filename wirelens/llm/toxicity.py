@@ -33,11 +33,12 @@ class Training:
     rows: int = 8000
     mined: int = 3000
     voters: int = 300
-    precision: float = 0.9
+    precision: float = 0.95
     support: int = 4
-    share: float = 0.01
+    share: float = 0.02
     rounds: int = 40
-    ridge: float = 0.002
+    ridge: float = 0.02
+    alone: int = 3
 
 
 @dataclass(frozen=True)
@@ -239,6 +240,13 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -
         votes[i, [place[c] for c in r["words"] if c in place]] = True
         votes[i, [len(chosen) + k for k in r["shapes"]]] = True
     q = label_model(votes, np.arange(votes.shape[1]) < len(chosen), training.rounds, training.precision)
+    # A text that only one voter marks may not be in the sample: each voter also stands
+    # alone, with the stems that always go with it, ``alone`` times.
+    v = votes[:, : len(chosen)].astype(float)
+    always = np.zeros((len(chosen), votes.shape[1]), bool)
+    always[:, : len(chosen)] = (v.T @ v).T >= 0.999 * v.sum(axis=0)[:, None]
+    votes = np.r_[votes, np.repeat(always, training.alone, axis=0)]
+    q = np.r_[q, np.ones(len(chosen) * training.alone)]
     w = _logistic(votes, q, training.ridge)
     return Model(float(w[-1]), {mined[c]: float(w[j]) for c, j in place.items()},
                  {name: float(w[len(chosen) + k]) for k, name in enumerate(PATTERNS)})
