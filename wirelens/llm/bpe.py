@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import MEMORY, slices
+from wirelens.llm.common import slices
 
 #: A space with white space (or a border of the text) on both sides: the text can't be cut there.
 ODD_SPACE = re.compile(r"\s \s|^ \s|\s $")
 #: Longer pieces are not remembered.
 LONGEST = 128
+#: Pieces that a Python worker remembers from task to task, about 200 bytes each.
+MEMORY = 1_000_000
 
 
 class PerfectHash:
@@ -82,36 +84,44 @@ class Codec:
         return self.ids[at] if at >= 0 else self.merged(data)
 
     def merged(self, data: bytes) -> bytes:
-        """Ids of a pre-token that is no entry: the lowest-ranked, then leftmost pair merges first."""
-        n, ranks = len(data), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        at = [ranks.get(data[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that begins here
+        """Ids of a pre-token that is no entry: the lowest-ranked, then leftmost pair merges first.
+
+        ``after`` and ``before`` link the parts by where they begin; a heap entry is the
+        pair's rank and place in one number, stale once the pair at that place has changed.
+        """
+        n, get = len(data), self.ranks.get
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        at = [get(data[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that begins here
         at.append(-1)
-        heap = [(r, i) for i, r in enumerate(at) if r >= 0]
+        heap = [r * n + i for i, r in enumerate(at) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i = heapq.heappop(heap)
+            r, i = divmod(pop(heap), n)
             if at[i] != r:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            at[j] = -1
+            at[j] = at[i] = -1
             if k < n:
                 before[k] = i
-                at[i] = ranks.get(data[i : after[k]], -1)
-                if at[i] >= 0:
-                    heapq.heappush(heap, (at[i], i))
-            else:
-                at[i] = -1
-            h = before[i]
-            if h >= 0:
-                at[h] = ranks.get(data[h:k], -1)
-                if at[h] >= 0:
-                    heapq.heappush(heap, (at[h], h))
-        out, i = [], 0
+                r = get(data[i : after[k]])
+                if r is not None:
+                    at[i] = r
+                    push(heap, r * n + i)
+            if i:
+                h = before[i]
+                r = get(data[h:k])
+                if r is None:
+                    at[h] = -1
+                else:
+                    at[h] = r
+                    push(heap, r * n + h)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[data[i : after[i]]])
-            i = after[i]
+            k = after[i]
+            out.append(ranks[data[i:k]])
+            i = k
         return struct.pack(f"<{len(out)}I", *out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -160,6 +170,12 @@ class Encoder:
         return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+@functools.lru_cache(1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One a worker process: later tasks find what earlier ones have learnt."""
+    return Encoder(codec(path, pattern))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text).
 
@@ -168,9 +184,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
-        encoder = Encoder(codec(path, pattern))
+        known = encoder(path, pattern)
         for part in slices(batches):
-            ids = [encoder.encode(text) for text in part.column(1).to_pylist()]
+            ids = [known.encode(text) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")

@@ -74,7 +74,7 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
             if 0 < j < n - 1:
                 ok &= ~gap[j : j + m]
         out.append((h[ok] >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1))
-        where.append(at[:m][ok])
+        where.append(np.where(gap[:m], at[1 : m + 1], at[:m])[ok])  # a letter's place
     return np.concatenate(out), np.concatenate(where)
 
 
