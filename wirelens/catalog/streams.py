@@ -25,9 +25,9 @@ def fresh_folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def collected(spark, stream, mode: str):
+def collected(spark, stream):
     folder = fresh_folder(spark)
-    live.run_available(stream, folder, mode)
+    live.run_available(stream, folder)
     return spark.read.parquet(f"{folder}/rows")
 
 
@@ -43,23 +43,23 @@ SELECT capture_id, lo, hi, start_us, count(*) AS packet_count, CAST(sum(len) AS
     f"count(*) FILTER (len % 16 = {r}) AS mod16_{r}" for r in range(16)) + """
 FROM x WHERE start_us + 10000000 <= (SELECT mark FROM w) GROUP BY capture_id, lo, hi, start_us""")
 def stream_windows(spark, sf):
-    return rounded(collected(spark, live.stream_windows(packet_stream(spark, sf)), "append"))
+    return rounded(collected(spark, live.stream_windows(packet_stream(spark, sf))))
 
 
 @query("stream_sequence", "T2", views="packets", sql="""
-WITH s AS (SELECT *, (idx - CASE WHEN idx % 97 = 0 THEN 2 ELSE 0 END) // 7 AS n FROM packets WHERE proto = 'esp')
-SELECT capture_id, src, dst, spi, n // 65536 AS span, count(*) AS packets, count(*) - count(DISTINCT n) AS duplicates, min(n) AS first_seq, max(n) AS last_seq
-FROM s GROUP BY ALL""")
+WITH s AS (SELECT *, (idx - CASE WHEN idx % 97 = 0 THEN 2 ELSE 0 END) // 7 AS n FROM packets WHERE proto = 'esp'),
+o AS (SELECT *, lag(n) OVER (PARTITION BY capture_id, src, dst, spi, n // 65536 ORDER BY ts_us, idx) AS p FROM s),
+t AS (SELECT capture_id, src, dst, spi, count(*) AS packets, count(*) - count(DISTINCT n) AS duplicates, count(*) FILTER (n < p) AS out_of_order,
+             min(n) AS first_seq, max(n) AS last_seq FROM o GROUP BY ALL)
+SELECT *, last_seq - first_seq + 1 - (packets - duplicates) AS missing,
+       round((last_seq - first_seq + 1 - (packets - duplicates)) / (last_seq - first_seq + 1), 6) AS gap_ratio FROM t""")
 def stream_sequence(spark, sf):
     p = packet_stream(spark, sf).withColumn(
         "seq", F.expr("CASE WHEN spi IS NOT NULL THEN (index - CASE WHEN index % 97 = 0 THEN 2 ELSE 0 END) div 7 END"))
-    rows = collected(spark, live.stream_sequence(p), "update")
-    keys = ["capture_id", "src", "dst", "spi", "span"]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct("packets", "duplicates", "first_seq", "last_seq"), "batch").alias("l"))
-    return last.select(*keys, "l.*")
+    return live.sequence_totals(collected(spark, live.stream_sequence(p)))
 
 
 @query("stream_rekey", "T3", views="spi_series", sql="""
 SELECT capture_id, src, dst, spi, start_ts_us AS start_us, coalesce(gap_s, -1) AS gap_s FROM spi_series""")
 def stream_rekey(spark, sf):
-    return collected(spark, live.stream_rekey(packet_stream(spark, sf)), "append")
+    return live.rekey_gaps(collected(spark, live.stream_starts(packet_stream(spark, sf))))

@@ -79,24 +79,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def tolerant_int(text: Column) -> Column:
-    """Integer from the renderings a dissector uses.
+def tolerant_number(text: Column) -> Column:
+    """Integer from the renderings a dissector uses, as ``decimal(38,0)``.
 
     Decimal, ``0x`` hex, colon-separated octets (big endian), or ``NAME (n)``;
-    anything else is null. Values are read up to 60 bits, which covers every
-    field parsed here.
+    anything else is null, and so are values of more than 38 digits.
     """
+    number = "decimal(38,0)"
+
+    def wide(digits: Column) -> Column:
+        """Hex digits of any number, fifteen at a time."""
+        d = F.regexp_replace(digits, "^0+(?=.)", "")
+        part = lambda start: F.coalesce(F.conv(F.substring(F.lpad(d, 45, "0"), start, 15), 16, 10).cast(number), F.lit(0).cast(number))
+        unit = F.lit(str(16**15)).cast("decimal(19,0)")
+        high = (part(1) * unit).try_cast(number)
+        value = ((high + part(16)).try_cast("decimal(19,0)") * unit).try_cast(number) + part(31)
+        return F.when(F.length(d) <= 31, value.try_cast(number))
+
     def hexa(t: Column) -> Column:
-        return F.when(t.rlike(r"(?i)^0x[0-9a-f]{1,15}$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("bigint"))
+        return F.when(t.rlike(r"(?i)^0x[0-9a-f]+$"), wide(F.substring(t, 3, 1_000_000)))
 
     def plain(t: Column) -> Column:
-        return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+        return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast(number))
 
     def parse(t: Column) -> Column:
-        octets = F.when(
-            t.rlike(r"(?i)^(00:)*[0-9a-f]{2}(:[0-9a-f]{2}){0,6}$") & t.contains(":"),
-            F.conv(F.replace(t, F.lit(":"), F.lit("")), 16, 10).try_cast("bigint"),
-        )
+        octets = F.when(t.rlike(r"(?i)^[0-9a-f]{2}(:[0-9a-f]{2})+$"), wide(F.replace(t, F.lit(":"), F.lit(""))))
         named = F.when(
             t.endswith(")"),
             let(F.trim(F.regexp_extract(t, r"\(([^()]*)\)$", 1)), lambda n: F.coalesce(plain(n), hexa(n))),
@@ -106,6 +113,11 @@ def tolerant_int(text: Column) -> Column:
     return let(F.trim(text), parse)
 
 
+def tolerant_int(text: Column) -> Column:
+    """``tolerant_number`` for fields of fixed width; null where 64 bits do not hold it."""
+    return tolerant_number(text).try_cast("bigint")
+
+
 def algorithm(version: Column, code: Column, kinds: dict[str, str]) -> Column:
     """Registry name for ``code``; ``kinds`` maps version to registry kind.
 

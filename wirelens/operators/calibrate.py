@@ -4,26 +4,25 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Knots = list[dict[str, list[float]]]
-MAX_KNOTS = 100_000
 
 
-def _interp(p: Column, xs: list[float], ys: list[float]) -> Column:
-    """Clamped linear interpolation over constant knots."""
-    if len(xs) == 1:
-        return F.lit(float(ys[0]))
-    x = F.array(*[F.lit(float(v)) for v in xs])
-    y = F.array(*[F.lit(float(v)) for v in ys])
-    i = F.size(F.filter(x, lambda v: v <= p))  # knots at or below p
-    x0, x1 = F.get(x, i - 1), F.get(x, i)
-    y0, y1 = F.get(y, i - 1), F.get(y, i)
-    return (
-        F.when(p < xs[0], float(ys[0])).when(p >= xs[-1], float(ys[-1]))
-        .otherwise(y0 + (y1 - y0) * (p - x0) / F.nullif(x1 - x0, F.lit(0.0)))
-    )
+def _interpolated(knots: Knots):
+    """Clamped linear interpolation, class by class, by binary search in Arrow batches."""
+    tables = [(np.asarray(k["x"], float), np.asarray(k["y"], float)) for k in knots]
+
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        p = np.array(rows.tolist(), float).reshape(len(rows), -1)
+        out = np.stack([np.interp(p[:, i], x, y) for i, (x, y) in enumerate(tables)], axis=1)
+        return pd.Series(list(out))
+
+    return run
 
 
 def normalise(raw: Column, calibrated: Column) -> Column:
@@ -33,13 +32,10 @@ def normalise(raw: Column, calibrated: Column) -> Column:
 
 
 def apply_knots(df: DataFrame, knots: Knots, column: str = "probabilities") -> DataFrame:
-    """Calibrate an array of class probabilities by exported knots, natively."""
+    """Calibrate an array of class probabilities by exported knots, however many; null arrays stay null."""
     if not knots:
         return df
-    if sum(len(k["x"]) for k in knots) > MAX_KNOTS:
-        raise ValueError("too many knots to inline; thin the calibration fold's distinct scores")
-    parts = F.array(*[_interp(F.get(column, F.lit(i)), k["x"], k["y"]) for i, k in enumerate(knots)])
-    out = df.withColumn("_cal", parts)
+    out = df.withColumn("_cal", F.when(F.col(column).isNotNull(), _interpolated(knots)(F.coalesce(column, F.array_repeat(F.lit(0.0), len(knots))))))
     return out.withColumn(column, normalise(F.col(column), F.col("_cal"))).drop("_cal")
 
 

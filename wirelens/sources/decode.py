@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 ETHERNET, SLL, SLL2 = 1, 113, 276
 ESP, AH, UDP = 50, 51, 17
-# IPv6 extension headers walked before ESP or AH.
+# IPv6 extension headers that may stand before ESP or AH.
 OPTION_HEADERS = (0, 43, 60)
 FRAGMENT = 44
-WALK = 4
 
 
 def _bytes(at: Column, n: int) -> Column:
-    return F.substring(F.col("frame"), at + 1, F.lit(n))
+    return F.substring(F.col("frame"), (at + 1).cast("int"), F.lit(n))
 
 
 def _uint(at: Column, n: int) -> Column:
@@ -90,21 +89,29 @@ def _network(df: DataFrame) -> DataFrame:
 
 
 def _extensions(df: DataFrame) -> DataFrame:
-    """Walk IPv6 extension headers; an AH is remembered and walked past."""
-    df = df.withColumn("_ah", F.when(F.col("_p") == AH, F.col("_at")))
-    for _ in range(WALK):
-        p, at, six = F.col("_p"), F.col("_at"), F.col("_v") == 6
-        step = (
+    """Walk all IPv6 extension headers; an AH is remembered and walked past.
+
+    Every header takes eight bytes at least, which bounds the steps by the packet's length.
+    """
+    end = F.col("_end")
+    kind = "struct<p:bigint,at:bigint,ah:bigint,go:boolean>"
+
+    def step(s: Column, _: Column) -> Column:
+        p, at = s["p"], s["at"]
+        size = (
             F.when(p.isin(*OPTION_HEADERS), (_uint(at + 1, 1) + 1) * 8).when(p == FRAGMENT, F.lit(8))
             .when(p == AH, (_uint(at + 1, 1) + 2) * 4)
         )
-        move = six & step.isNotNull() & (at + step <= F.col("_end"))
-        df = df.withColumns({
-            "_p": F.when(move, _uint(at, 1)).otherwise(p),
-            "_at": F.when(move, at + step).otherwise(at),
-        })
-        df = df.withColumn("_ah", F.coalesce("_ah", F.when(F.col("_p") == AH, F.col("_at"))))
-    return df
+        move = s["go"] & F.coalesce(at + size <= end, F.lit(False))
+        p, at = F.when(move, _uint(at, 1)).otherwise(p), F.when(move, at + size).otherwise(at)
+        return F.struct(p, at, F.coalesce(s["ah"], F.when(p == AH, at)), move).cast(kind)
+
+    ah = F.when(F.col("_p") == AH, F.col("_at"))
+    start = F.struct(F.col("_p"), F.col("_at"), ah, F.lit(True)).cast(kind)
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), ((end - F.col("_at")) / 8).cast("int")))
+    walks = (F.col("_v") == 6) & F.col("_p").isin(*OPTION_HEADERS, FRAGMENT, AH)
+    df = df.withColumn("_walk", F.when(walks, F.aggregate(steps, start, step)).otherwise(start))
+    return df.withColumns({"_p": F.col("_walk.p"), "_at": F.col("_walk.at"), "_ah": F.col("_walk.ah")}).drop("_walk")
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:

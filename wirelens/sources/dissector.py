@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.functions.scalars import let, tolerant_int
+from wirelens.functions.scalars import tolerant_int
 from wirelens.operators.ike import PROPOSALS_TYPE
 
 SA_TYPES, NOTIFY_TYPES = (1, 33), (11, 41)
 PROPOSAL, TRANSFORM, NAT_D = 2, 3, 20
 NAT_NOTIFIES = (16388, 16389)
-DEPTH = 4  # message, association, proposal, transform
 
 
 def read_ike_json(spark: SparkSession, path: str) -> DataFrame:
@@ -125,13 +124,20 @@ def ike_version(isakmp: Column) -> Column:
     return F.when(two, "ikev2").otherwise("ikev1")
 
 
-def _any_payload(payloads: Column, test, depth: int = DEPTH) -> Column:
-    """Whether any payload passes, at every level of the protocol's nesting."""
-    here = F.exists(payloads, test)
-    if depth == 1:
-        return here
-    below = F.flatten(F.transform(payloads, lambda p: _payloads(p["tree"])))
-    return here | let(below, lambda level: _any_payload(level, test, depth - 1))
+def _any_payload(node: Column, test) -> Column:
+    """Whether any payload below ``node`` passes, at whatever depth.
+
+    A level that holds payloads writes its list's name once at least, so the number of
+    names bounds the levels.
+    """
+    levels = F.coalesce(F.regexp_count(F.to_json(node), F.lit("isakmp[.]typepayload_tree")), F.lit(0))
+    start = F.struct(_payloads(node).alias("level"), F.lit(False).alias("hit"))
+
+    def down(s: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(s["level"], lambda p: _payloads(p["tree"])))
+        return F.struct(below.alias("level"), (s["hit"] | F.coalesce(F.exists(s["level"], test), F.lit(False))).alias("hit"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), levels)), start, down)["hit"]
 
 
 def _spi(isakmp: Column, *names: str) -> Column:
@@ -147,7 +153,7 @@ def parse_messages(packets: DataFrame) -> DataFrame:
     seconds = F.coalesce(_text(layers, "frame", "frame.time_epoch").try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
     proposals = F.when(F.col("ike_version") == "ikev2", _proposals(F.col("_payloads"), _transform_v2).cast(PROPOSALS_TYPE)).otherwise(
         _proposals(F.col("_payloads"), _transform_v1).cast(PROPOSALS_TYPE))
-    nat = _any_payload(F.col("_payloads"), lambda p: (p["kind"] == NAT_D) | (
+    nat = _any_payload(F.col("_ike"), lambda p: (p["kind"] == NAT_D) | (
         p["kind"].isin(*NOTIFY_TYPES) & F.coalesce(_int(p["tree"], "isakmp.notify.msgtype").isin(*NAT_NOTIFIES), F.lit(False))))
 
     def number(*names: str) -> Column:

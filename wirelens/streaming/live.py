@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wirelens.operators import flows
+
 ENDS = ["capture_id", "src", "dst"]
 SEQ_SPAN = 65_536
 
@@ -47,17 +50,17 @@ def stream_windows(packets: DataFrame, window: str = "10 seconds", stride: str =
 
 SEQUENCE_OUT = ("capture_id long, src string, dst string, spi long, span long, packets long, duplicates long, "
                 "out_of_order long, first_seq long, last_seq long")
-SEQUENCE_STATE = "seen binary, packets long, duplicates long, out_of_order long, first_seq long, last_seq long, previous long"
+SEQUENCE_STATE = "seen binary, previous long"
 
 
-def stream_sequence(packets: DataFrame, delay: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
-    """Running counts per (SPI, span of 65,536 sequence numbers).
+def stream_sequence(packets: DataFrame, delay: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """What each micro-batch adds to every (SPI, span of 65,536 sequence numbers).
 
     Equal numbers fall into one span, so duplicates are found exactly while the
     state of a span is one 8 KB bitmap, and a busy SPI is spread over its spans.
-    A span's state is dropped after ``idle_ms`` of event time without packets.
-    Rows are updates: the latest one per span counts. Reordering is judged
-    inside a span.
+    Rows are increments: ``sequence_totals`` sums them, so nothing is lost when a span's
+    state goes after ``idle_ms`` of event time without packets; only repeats of
+    numbers from before that pause then count as new. Reordering is judged inside a span.
     """
     keys = ["capture_id", "src", "dst", "spi", "span"]
 
@@ -65,71 +68,71 @@ def stream_sequence(packets: DataFrame, delay: str = "10 seconds", idle_ms: int
         if state.hasTimedOut:
             state.remove()
             return
-        if state.exists:
-            seen, packets_n, dup, late, first, last, prev = state.get
-            seen = bytearray(seen)
-        else:
-            seen, packets_n, dup, late, first, last, prev = bytearray(SEQ_SPAN // 8), 0, 0, 0, None, None, None
-        base = key[4] * SEQ_SPAN
-        for batch in batches:
-            for seq in batch.sort_values(["ts_us", "index"])["seq"]:
-                at = int(seq) - base
-                bit = 1 << (at & 7)
-                dup += 1 if seen[at >> 3] & bit else 0
-                seen[at >> 3] |= bit
-                late += 1 if prev is not None and seq < prev else 0
-                prev = int(seq)
-                packets_n += 1
-                first = prev if first is None else min(first, prev)
-                last = prev if last is None else max(last, prev)
-        state.update((bytes(seen), packets_n, dup, late, first, last, prev))
+        seen, previous = state.get if state.exists else (bytes(SEQ_SPAN // 8), None)
+        rows = pd.concat(list(batches)).sort_values(["ts_us", "index"])
+        seq = rows["seq"].to_numpy(np.int64)
+        flags = np.unpackbits(np.frombuffer(seen, np.uint8))
+        fresh = np.unique(seq - key[4] * SEQ_SPAN)
+        new = int((flags[fresh] == 0).sum())
+        flags[fresh] = 1
+        late = int((seq[1:] < seq[:-1]).sum()) + int(previous is not None and seq[0] < previous)
+        state.update((np.packbits(flags).tobytes(), int(seq[-1])))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
-        yield pd.DataFrame([(*key, packets_n, dup, late, first, last)],
+        yield pd.DataFrame([(*key, len(seq), len(seq) - new, late, int(seq.min()), int(seq.max()))],
                            columns=[c.split()[0] for c in SEQUENCE_OUT.split(", ")])
 
     rows = with_event_time(packets.filter("spi is not null and seq is not null"), delay).withColumn(
         "span", F.expr(f"seq div {SEQ_SPAN}"))
     return rows.select(*keys, "seq", "ts_us", "index", "event_time").groupBy(*keys).applyInPandasWithState(
-        step, SEQUENCE_OUT, SEQUENCE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        step, SEQUENCE_OUT, SEQUENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def sequence_totals(increments: DataFrame) -> DataFrame:
+    """One row per SPI from the rows of ``stream_sequence``: counts, missing numbers and their share."""
+    sums = increments.groupBy(*ENDS, "spi").agg(
+        F.sum("packets").alias("packets"), F.sum("duplicates").alias("duplicates"), F.sum("out_of_order").alias("out_of_order"),
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+    width = F.col("last_seq") - F.col("first_seq") + 1
+    missing = F.greatest(F.lit(0), width - (F.col("packets") - F.col("duplicates")))
+    return sums.withColumn("missing", missing.cast("bigint")).withColumn("gap_ratio", F.round(F.col("missing") / width, 6))
 
-REKEY_OUT = "capture_id long, src string, dst string, spi long, start_us long, gap_s long"
 
+START_OUT = "capture_id long, src string, dst string, spi long, start_ts_us long, first_index long"
 
-def stream_rekey(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """The gap to the previous SPI whenever a direction starts a new one.
 
-    SPIs are reduced to their first packet by a keyed deduplication, so the
-    per-direction state sees one row per SPI. Packets below the watermark are
-    dropped and counted in the query's progress.
+def stream_starts(packets: DataFrame, delay: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """The first packet of every SPI, once for as long as the SPI lives.
+
+    State is one number per (direction, SPI), so busy directions spread over their
+    SPIs. It goes after ``idle_ms`` of event time without packets; a later packet then
+    starts the SPI anew. Packets below the watermark are dropped and counted in the
+    query's progress.
     """
+    keys = [*ENDS, "spi"]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous = state.get[0] if state.exists else None
-        out = []
-        for batch in batches:
-            for row in batch.sort_values(["ts_us"]).itertuples(index=False):
-                gap = -1 if previous is None else round((row.ts_us - previous) / 1e6)
-                previous = int(row.ts_us)
-                out.append((*key, int(row.spi), previous, gap))
-        state.update((previous,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REKEY_OUT.split(", ")])
-
-    firsts = (
-        with_event_time(packets.filter("spi is not null"), delay)
-        .select(*ENDS, "spi", "ts_us", "event_time").dropDuplicatesWithinWatermark([*ENDS, "spi"])
-    )
-    return firsts.groupBy(*ENDS).applyInPandasWithState(
-        step, REKEY_OUT, "previous long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = [b.sort_values(["ts_us", "index"]).iloc[0] for b in batches if len(b)]
+        known = state.exists
+        state.update((1,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
+        if not known and rows:
+            first = min((int(r["ts_us"]), int(r["index"])) for r in rows)
+            yield pd.DataFrame([(*key, *first)], columns=[c.split()[0] for c in START_OUT.split(", ")])
+
+    rows = with_event_time(packets.filter("spi is not null"), delay).select(*keys, "ts_us", "index", "event_time")
+    return rows.groupBy(*keys).applyInPandasWithState(step, START_OUT, "known int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, folder: str, mode: str) -> None:
+def rekey_gaps(starts: DataFrame) -> DataFrame:
+    """Gap to the previous SPI of the direction for every row of ``stream_starts``; -1 for the first."""
+    return flows.spi_series(starts).select(*ENDS, "spi", F.col("start_ts_us").alias("start_us"), F.coalesce("gap_s", F.lit(-1)).alias("gap_s"))
+
+
+def run_available(stream: DataFrame, folder: str) -> None:
     """Process what is there and stop; results and progress go below ``folder``."""
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start()
-    else:
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch_no={number}")
-
-        query = writer.outputMode(mode).foreachBatch(keep).start()
+    query = writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start()
     query.awaitTermination()
