@@ -5,6 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from wirelens.functions import scalars
 from wirelens.sources import captures, decode, dissector, sidecars, sinks
 
 
@@ -60,6 +61,25 @@ def test_ipv6_extension_headers(spark):
     assert (r["proto"], r["esp_payload_len"]) == ("esp", 24)
 
 
+def test_any_number_of_extension_headers(spark):
+    for n in (5, 40):
+        chain = b"".join(bytes([60 if k + 1 < n else 50, 0]) + b"\0" * 6 for k in range(n))
+        r = decoded(spark, ip6(chain + ESP, 60))
+        assert (r["proto"], r["spi"], r["esp_payload_len"]) == ("esp", 0xCAFE, 24)
+    assert decoded(spark, ip6(bytes([60, 200]) + b"\0" * 6 + ESP, 0))["proto"] == "other"
+
+
+def test_integers_of_any_width(spark):
+    given = {"0x" + "f" * 16: 2**64 - 1, "ff:" * 15 + "ff": 16**32 - 1 if 16**32 < 10**38 else None, "0x1" + "0" * 25: 16**25, "12:34": 0x1234,
+             "9" * 38: 10**38 - 1, "NAME (0x1ffffffffffffffff)": 0x1FFFFFFFFFFFFFFFF, "0" * 50 + "7": 7, "0x": None, "x": None, " 5 ": 5,
+             "0x0" + "0" * 40 + "a": 10, "-3": -3, "": None}
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    got = {r["t"]: None if r["n"] is None else int(r["n"]) for r in df.select("t", scalars.tolerant_number(F.col("t")).alias("n")).collect()}
+    assert got == given
+    small = {r["t"]: r["n"] for r in df.select("t", scalars.tolerant_int(F.col("t")).alias("n")).collect()}
+    assert small["12:34"] == 0x1234 and small["0x" + "f" * 16] is None and small[" 5 "] == 5
+
+
 def test_link_types(spark):
     body = ip4(ESP, 50)
     for link, head in ((1, ETH + b"\x08\x00"), (1, ETH + b"\x81\x00\x00\x07\x08\x00"), (113, b"\0" * 14 + b"\x08\x00"), (276, b"\x08\x00" + b"\0" * 18)):
@@ -117,6 +137,12 @@ def test_dissector_json(spark, tmp_path):
                 {"isakmp.tf.type": "4", "isakmp.tf.id.dh": "19"}]}}, {"isakmp.notify.msgtype": "16388"}]})
     plain = packet({"isakmp.ispi": "03", "isakmp.version": "2.0", "isakmp.exchangetype": "36"}, "9")
     other = {"_source": {"layers": {"frame": {"frame.number": "1"}}}}
+    deep = {"isakmp.typepayload": "20", "isakmp.typepayload_tree": {}}
+    for _ in range(9):
+        deep = {"isakmp.typepayload": ["9", "2"], "isakmp.typepayload_tree": [{}, deep]}
+    (tmp_path / "c2.json").write_text(json.dumps([packet({"isakmp.ispi": "04", "isakmp.version": "0x20", **deep})]))
+    assert [r["nat_detected"] for r in dissector.parse_messages(dissector.read_ike_json(spark, str(tmp_path / "c2.json"))).collect()] == [True]
+    (tmp_path / "c2.json").unlink()
     (tmp_path / "c1.json").write_text(json.dumps([v1, v2, plain, other]))
     rows = {r["init_spi"]: r for r in dissector.parse_messages(dissector.read_ike_json(spark, str(tmp_path))).collect()}
     assert set(rows) == {"aabb", "0102", "03"}
