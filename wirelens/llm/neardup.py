@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import Scratch, WordIds, as_bytes, mixed, slices, without
+from wirelens.llm.common import Scratch, WordIds, as_bytes, maybe_among, mixed, slices, without
 from wirelens.llm.graph import components
 
 
@@ -214,14 +214,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Sets of the wanted documents (and of a few others); no text is shuffled."""
+
     def run(batches):
         ids = WordIds()
         for part in slices(batches):
             sets = [shingle_set(text, words, ids).tobytes() for text in as_bytes(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    return texts.mapInArrow(run, "node long, hashes binary")
+    texts = maybe_among(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node", wanted)
+    return texts.filter("_maybe").drop("_maybe").mapInArrow(run, "node long, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
