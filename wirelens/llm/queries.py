@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontam, html, langid, license, neardup, quality, sharding, toxicity, wavelet
+from wirelens.llm import bpe, decontam, html, langid, license, neardup, quality, sharding, toxicity, twins, wavelet
 from wirelens.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +25,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_near_duplicates")
+@query("op1_near_duplicates", sql=twins.NEAR_DUPLICATES)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op2_byte_shards")
+@query("op2_byte_shards", sql=twins.BYTE_SHARDS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -39,9 +40,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(license.corpus_files(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", sql=twins.quality_rules())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @query("op5_html_text")
@@ -75,7 +77,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark).path("wavelet")
     wavelet.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return wavelet.crc32s(wavelet.documents(wavelet.open_files(spark, out)))
+    return wavelet.crc32s(wavelet.open_files(spark, out))
 
 
 @query("op10_decontamination")
