@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirelens import dims
 from wirelens.functions import attrs, scalars
+from wirelens.operators import ordered
 
 CORRELATION_US = 30_000_000
 SAME_FAMILY = 0.6
@@ -124,35 +125,34 @@ def downgrade_available(negotiations: DataFrame) -> DataFrame:
         "downgrade_available", F.coalesce(possible & F.exists(offered, weaker), F.lit(False)))
 
 
-def correlate(rollup: DataFrame, negotiations: DataFrame,
-              window_us: int = CORRELATION_US) -> DataFrame:
+def correlate(rollup: DataFrame, negotiations: DataFrame, window_us: int = CORRELATION_US,
+              bucket_us: int = 1_000_000) -> DataFrame:
     """Latest negotiation of the same endpoints at most ``window_us`` before each flow.
 
-    An as-of join without pairs: both sides go into buckets one window long,
-    negotiations into their own and the next, and the latest one before each
-    flow is read along the bucket. A busy endpoint pair is split by time.
+    An as-of join without pairs: times and frames of both sides lie on one line, on
+    which the last negotiation is carried forward from bucket to bucket, so a busy
+    endpoint pair is split by time. Only then the matched negotiations' columns are joined.
     """
     ends = ["capture_id", "lo", "hi"]
 
     def side(df: DataFrame) -> DataFrame:
         return df.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
 
-    whole = F.struct(*negotiations.columns)
-    neg = side(negotiations).select(
-        *ends, F.col("ts_us").alias("at"), F.lit(0).alias("kind"), F.col("request_frame").alias("frame"),
-        F.explode(F.expr(f"array(ts_us div {window_us}, ts_us div {window_us} + 1)")).alias("slot"),
-        whole.alias("n"), F.lit(None).cast("bigint").alias("pair_id"),
-    )
-    sa = side(rollup).select(
-        *ends, F.col("fwd_start_us").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("frame"),
-        F.expr(f"fwd_start_us div {window_us}").alias("slot"),
-        F.lit(None).cast(neg.schema["n"].dataType).alias("n"), "pair_id",
-    )
+    known = side(negotiations)
+    mark = F.struct(F.col("ts_us").alias("ts"), F.col("request_frame").alias("frame"))
     # Equal times: of two negotiations the one seen first wins, so it sorts last.
-    line = Window.partitionBy(*ends, "slot").orderBy("at", "kind", F.col("frame").desc())
-    found = neg.unionByName(sa).withColumn("m", F.last("n", ignorenulls=True).over(line))
-    near = F.when(F.col("at") - F.col("m.ts_us") <= window_us, F.col("m"))
-    return found.filter(F.col("kind") == 1).select("capture_id", "pair_id", near.alias("negotiation"))
+    neg = known.select(*ends, F.col("ts_us").alias("at"), F.lit(0).alias("kind"), (-F.col("request_frame")).alias("rank"),
+                       mark.alias("mark"), F.lit(None).cast("bigint").alias("pair_id"))
+    sa = side(rollup).select(*ends, F.col("fwd_start_us").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("rank"),
+                             F.lit(None).cast(neg.schema["mark"].dataType).alias("mark"), "pair_id")
+    line = ordered.last_value(neg.unionByName(sa), ends, ["at", "kind", "rank"], F.expr(f"at div {bucket_us}"), "mark", "_m")
+    near = F.when(F.col("at") - F.col("_m.ts") <= window_us, F.col("_m"))
+    flows = line.filter("kind = 1").select(*ends, "pair_id", near.alias("_m"))
+    keys = ["capture_id", "lo", "hi", "_ts", "_frame"]
+    flows = flows.select(*ends, "pair_id", F.col("_m.ts").alias("_ts"), F.col("_m.frame").alias("_frame"))
+    wide = known.select(*ends, F.col("ts_us").alias("_ts"), F.col("request_frame").alias("_frame"),
+                        F.struct(*negotiations.columns).alias("negotiation"))
+    return flows.join(wide, keys, "left").select("capture_id", "pair_id", "negotiation")
 
 
 def _proof() -> Column:

@@ -95,3 +95,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     joined = _attach(rows, carry, on)
     extra = [F.col("_total").alias(total)] if total else []
     return joined.select(*df.columns, (F.col("_run") + F.col("_offset")).alias(name), *extra)
+
+
+def last_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+               value: str, name: str) -> DataFrame:
+    """Add the last ``value`` that is not null up to and including each row, null before the first."""
+    on = [*keys, "_bucket"]
+    rows = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter(F.col(value).isNotNull()).groupBy(*on).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    # Buckets without a value take the carry too, so every bucket has a summary row.
+    last = rows.select(*on).distinct().join(last, on, "left")
+    carry = last.select(*on, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    rows = rows.withColumn("_run", F.last(value, ignorenulls=True).over(inside))
+    joined = _attach(rows, carry, on)
+    return joined.select(*df.columns, F.coalesce("_run", "_carry").alias(name))
