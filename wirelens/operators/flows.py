@@ -14,8 +14,6 @@ GROUP = ["capture_id", "lo", "hi", "proto"]
 
 # Flows of one endpoint pair matched in a single array; larger groups are split.
 MAX_GROUP_FLOWS = 4096
-# Flow sides sent to every executor; about 50 MB.
-MAX_BROADCAST_FLOWS = 500_000
 
 
 def summarise_flows(packets: DataFrame) -> DataFrame:
@@ -171,23 +169,21 @@ def _pair(f: DataFrame, rows: int, max_group: int = MAX_GROUP_FLOWS, bucket_us:
     )
 
 
-def pair_and_tag(packets: DataFrame, max_broadcast: int = MAX_BROADCAST_FLOWS) -> tuple[DataFrame, DataFrame]:
-    """(pairs, tagged packets) of one packet table; the flows are counted once for both."""
+def pair_and_tag(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, tagged packets) of one packet table."""
     f = materialise(_with_ends(summarise_flows(packets)))
-    rows = f.count()
-    pairs = _pair(f, rows)
-    return pairs, _tag(packets, _sides(pairs), rows <= max_broadcast)
+    pairs = _pair(f, f.count())
+    return pairs, tag_packets(packets, pairs)
 
 
-def tag_packets(packets: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_BROADCAST_FLOWS) -> DataFrame:
+def tag_packets(packets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Packets of both directions with their pair's id, anchor and direction.
 
-    The flow sides are written once and counted. Up to ``max_broadcast`` of them
-    (about 100 bytes each) are broadcast, so packets are not shuffled to find
-    their pair; beyond that the join shuffles, and AQE splits hot flows.
+    The flow sides are written once, so the planner knows their size: small ones are
+    broadcast, others joined by a shuffle in which AQE splits hot flows.
     """
-    sides = materialise(_sides(pairs))
-    return _tag(packets, sides, sides.count() <= max_broadcast)
+    rows = packets.filter(scalars.is_flow_packet(F.col("proto"), F.col("spi")))
+    return rows.join(materialise(_sides(pairs)), FLOW_KEYS)
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
@@ -204,12 +200,6 @@ def _sides(pairs: DataFrame) -> DataFrame:
     ).select("capture_id", "s.src", "s.dst", "s.spi", "proto", "pair_id", "paired", "first_us", "last_us", "s.up")
 
 
-def _tag(packets: DataFrame, sides: DataFrame, small: bool) -> DataFrame:
-    sides = F.broadcast(sides) if small else sides.hint("merge")
-    rows = packets.filter(scalars.is_flow_packet(F.col("proto"), F.col("spi")))
-    return rows.join(sides, FLOW_KEYS)
-
-
 def sa_rollup(pairs: DataFrame) -> DataFrame:
     """First/last seen, packets and bytes of each association."""
     def both(name: str) -> Column:
@@ -249,8 +239,3 @@ def spi_series(flows: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
     gap = F.bround((F.col("start_ts_us") - F.col("prev_start_ts_us")) / 1e6, 0).cast("bigint")
     return s.select("capture_id", "src", "dst", "spi", "start_ts_us", "first_index",
                     gap.alias("gap_s"))
-
-
-def nat_traversal(pairs: DataFrame) -> DataFrame:
-    """Whether any packet of an association travelled inside UDP."""
-    return sa_rollup(pairs).select("capture_id", "pair_id", F.col("udp_encapsulated").alias("nat_traversal"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,7 +57,25 @@ def checkpoint_ready(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+_KEPT: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and cut its lineage."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    That cuts the lineage, and later plans have the table's size and columns to prune.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables of ``materialise`` once no result reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(conf).delete(path, True)
