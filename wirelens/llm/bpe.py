@@ -18,7 +18,17 @@ from pyspark.sql import functions as F
 from wirelens.llm.common import slices
 
 #: A space with white space (or a border of the text) on both sides: the text can't be cut there.
-ODD_SPACE = re.compile(r"\s \s|^ \s|\s $")
+ODD_SPACE = re.compile(r"\s \s|^ \s|\s $|^ $")
+#: White space besides the space and the line feed.
+RARE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+
+
+def odd_space(text: str) -> bool:
+    """Whether a space of ``text`` has white space (or a border) on both sides."""
+    likely = ("  " in text or "\n \n" in text or text.startswith(" ") or text.endswith(" ") or any(c in text for c in RARE_SPACE))
+    return likely and ODD_SPACE.search(text) is not None
+
+
 #: Longer pieces are not remembered.
 LONGEST = 128
 #: Pieces that a Python worker remembers from task to task, about 200 bytes each.
@@ -164,7 +174,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
+        if odd_space(text):
             return b"".join(map(self.first.__getitem__, self.code.find(text)))
         head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))

@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.llm.bpe import ODD_SPACE
-from wirelens.llm.common import MEMORY, slices
+from wirelens.llm.bpe import odd_space
+from wirelens.llm.common import slices
 
 #: Bits between two entries of a rank directory.
 STEP = 512
 SHARD_TOKENS = 1 << 22
+#: Pieces that a Python worker remembers from task to task, about 200 bytes each.
+MEMORY = 1_600_000
 FILE = "part int, block int, n long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes binary, ranks binary"
 
 
@@ -38,7 +40,7 @@ class WaveletMatrix:
         n, zeros, planes, ranks = len(ids), [], [], []
         width = -(-n // STEP) * STEP // 8
         for level in range(bits):
-            one = ((ids >> np.asarray(bits - 1 - level, ids.dtype)) & np.asarray(1, ids.dtype)).view(np.bool_ if ids.itemsize == 1 else ids.dtype).astype(bool)
+            one = (ids & ids.dtype.type(1 << (bits - 1 - level))) != 0
             plane = np.zeros(width, np.uint8)
             packed = np.packbits(one, bitorder="little")
             plane[: len(packed)] = packed
@@ -138,11 +140,19 @@ class Encoder:
     def __init__(self, path: str):
         self.library = _tokenizer(path)
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        #: Which ids begin with a space; no piece has one inside.
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.library.get_vocab().items() if token[0] == "Ġ"]] = True
         #: Ids by first pieces and by pieces after a space.
         self.memory: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        width, whole, at, out = int(self.dtype[-1]), np.array(list(chain.from_iterable(ids)), self.dtype).tobytes(), 0, []
+        for one in ids:
+            start, at = at, at + width * len(one)
+            out.append(whole[start:at])
+        return out
 
     def _learn(self, memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
         if len(memory) + len(pieces) > MEMORY:
@@ -150,10 +160,22 @@ class Encoder:
         unknown = list(pieces - memory.keys())
         for at in range(0, len(unknown), 4096):
             these = unknown[at : at + 4096]
-            memory.update(zip(these, self._pack([lead + w for w in these]), strict=True))
+            memory.update(zip(these, self._spaced(these) if lead else self._pack(these), strict=True))
+
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space: one text, cut before the tokens that begin with a space."""
+        if any(not w or w[0].isspace() or w[-1].isspace() for w in pieces):
+            return self._pack([" " + w for w in pieces])
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids)
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) != len(pieces):
+            return self._pack([" " + w for w in pieces])
+        width, whole = int(self.dtype[-1]), ids.astype(self.dtype).tobytes()
+        ends = [*(cuts[1:] * width).tolist(), len(whole)]
+        return [whole[a:b] for a, b in zip((cuts * width).tolist(), ends, strict=True)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        rest = [t.split(" ") if t and not ODD_SPACE.search(t) else None for t in texts]
+        rest = [t.split(" ") if t and not odd_space(t) else None for t in texts]
         head = [words.pop(0) if words else None for words in rest]
         first, spaced = self.memory
         self._learn(first, {h for h in head if h is not None}, "")
@@ -167,6 +189,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One a worker process: later tasks find what earlier ones have learnt."""
+    return Encoder(path)
+
+
 def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Rows of the file format: consecutive documents as one wavelet matrix a row.
 
@@ -180,7 +208,7 @@ def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TO
 
     def run(batches):
         part, block = TaskContext.get().partitionId(), 0
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         bits = max(1, max(end_id, encoder.library.get_vocab_size() - 1).bit_length())
         end, width = np.array([end_id], encoder.dtype).tobytes(), int(encoder.dtype[-1])
         ids, names, sizes, total = [], [], [], 0
@@ -230,7 +258,10 @@ def starts(files: DataFrame) -> DataFrame:
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit, end id included), from the planes alone."""
+    """part, block, doc_id, inside, n_tokens, ids (little-endian unsigned 32-bit, end id included).
+
+    All ids are read off the planes; ``inside`` counts from the shard's first token.
+    """
 
     def run(batches):
         for batch in batches:
@@ -247,9 +278,13 @@ def documents(files: DataFrame) -> DataFrame:
                          pa.array([ids[a:b].tobytes() for a, b in zip(begin, stop, strict=True)], pa.binary())],
                         ["part", "block", "doc_id", "inside", "n_tokens", "ids"])
 
-    rows = files.mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids binary")
-    return rows.join(starts(files), ["part", "block"]).select(
-        "doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return files.mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids binary")
+
+
+def placed(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of ``documents`` with ``start``, their first token's number in the whole corpus."""
+    return found.join(starts(files), ["part", "block"]).withColumn("start", F.col("shard_start") + F.col("inside")).drop(
+        "part", "block", "inside", "shard_start")
 
 
 def occurrences(files: DataFrame, value: int) -> DataFrame:
@@ -271,5 +306,7 @@ def occurrences(files: DataFrame, value: int) -> DataFrame:
         "part", "block", "count", F.transform("at", lambda x: x + F.col("shard_start")).alias("positions"))
 
 
-def crc32s(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+def crc32s(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of the files; only digests are shuffled."""
+    found = documents(files).select("part", "block", "doc_id", "inside", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return placed(found, files).select("doc_id", "start", "n_tokens", "ids_crc32")
