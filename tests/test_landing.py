@@ -6,6 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from wirelens.functions import scalars
+from wirelens.operators import dataset
 from wirelens.sources import captures, decode, dissector, sidecars, sinks
 
 
@@ -177,3 +178,16 @@ def test_assessment_tables_replace_only_their_captures(spark, tmp_path):
     sinks.write_assessments(*tables([2], 20), str(tmp_path))
     rows = {r["capture_id"]: r["score"] for r in spark.read.parquet(f"{tmp_path}/assessments").collect()}
     assert rows == {1: 10, 2: 20}
+
+
+def test_matrix_metrics_and_documents_come_back(spark, tmp_path):
+    m = spark.createDataFrame([("a", "train", 1.0, [0.5]), ("b", "test", 2.0, [1.5])], "config_name string, fold string, iat_mean double, seq array<double>")
+    assert dataset.feature_columns(m) == ["iat_mean"] and dataset.sequence_columns(m) == ["seq"]
+    sinks.write_matrix(m, str(tmp_path / "matrix"))
+    sinks.write_matrix(m.filter("fold = 'test'").withColumn("iat_mean", F.lit(3.0)), str(tmp_path / "matrix"))  # replaces its fold only
+    back = {r["fold"]: (r["config_name"], r["iat_mean"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "matrix")).collect()}
+    assert back == {"train": ("a", 1.0, [0.5]), "test": ("b", 3.0, [1.5])}
+    sinks.write_metrics(spark.createDataFrame([("ece", 0.1)], "metric string, value double"), str(tmp_path / "metrics"), "calibration")
+    assert [r.asDict() for r in spark.read.json(str(tmp_path / "metrics")).collect()] == [{"metric": "ece", "value": 0.1, "title": "calibration"}]
+    sinks.write_documents(spark.createDataFrame([("c", '{"x": 1}')], "capture_id string, document string"), str(tmp_path / "docs"))
+    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "docs")).collect()] == [{"x": 1}]

@@ -243,10 +243,6 @@ def suites(spark: SparkSession) -> DataFrame:
     )
 
 
-def category_caps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATEGORY_CAPS.items()), "category string, cap int")
-
-
 def techniques(spark: SparkSession) -> DataFrame:
     rows = [(t, name, tactics) for t, (name, tactics) in TECHNIQUES.items()]
     return spark.createDataFrame(

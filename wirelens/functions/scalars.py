@@ -13,19 +13,10 @@ def spi_hex(spi: Column) -> Column:
     return F.lpad(F.lower(F.hex(spi)), 8, "0")
 
 
-def utc(ts_us: Column) -> Column:
-    return F.timestamp_micros(ts_us)
-
-
 def is_flow_packet(proto: Column, spi: Column) -> Column:
     return proto.isin("esp", "ah") & spi.isNotNull()
 
 
-def signed_size(length: Column, up: Column) -> Column:
-    """Size with the sign of its direction; a missing size counts as zero."""
-    return F.coalesce(length, F.lit(0)) * F.when(up, F.lit(1)).otherwise(F.lit(-1))
-
-
 def address_pair_id(src: Column, dst: Column) -> Column:
     """Stable 32-bit stand-in for an SPI: base-131 polynomial over ``src>dst``.
 

@@ -140,13 +140,19 @@ def score_windows(model: TrafficModel | None, matrix: DataFrame, explain: bool =
     rows = scored.select(
         "capture_id", "pair_id", "k", "start_us", (F.col("start_us") + windows.WINDOW_US).alias("end_us"),
         F.col("predicted").alias("label"), F.col("confidence").alias("probability"))
-    if explain:
-        top = occlusion_attribution(model, matrix)
-        rows = rows.join(top, ["capture_id", "pair_id", "k"], "left")
-    else:
-        rows = rows.withColumn("top_features", F.array().cast(
-            "array<struct<feature:string,contribution:double,observed_value:double>>"))
-    return windows.merge_spans(materialise(rows.drop("k")))
+    rows = rows.withColumn("top_features", F.array().cast(
+        "array<struct<feature:string,contribution:double,observed_value:double>>"))
+    spans = windows.merge_spans(materialise(rows.drop("k")))
+    if not explain:
+        return spans
+    # Only the first window of each span is explained.
+    spans = materialise(spans)
+    at = ["capture_id", "pair_id", "start_us"]
+    first = spans.select("capture_id", "pair_id", F.col("window_start_us").alias("start_us"))
+    heads = matrix.join(first, at, "left_semi")
+    top = occlusion_attribution(model, heads).join(heads.select(*at, "k"), ["capture_id", "pair_id", "k"])
+    top = top.withColumnRenamed("start_us", "window_start_us").drop("k")
+    return spans.drop("top_features").join(top, ["capture_id", "pair_id", "window_start_us"], "left").select(*spans.columns)
 
 
 def no_predictions(spark: SparkSession) -> DataFrame:
