@@ -22,6 +22,11 @@ def test_page_without_article_element():
     assert html.main_text(page).split("\n") == ["Head of it", LONG.strip(), "Well then.", LONG.strip()]
 
 
+def test_layout_classes_are_no_marks():
+    page = f'<div class="post has-sidebar comments-enabled"><p>{LONG}</p><div class="post-comments"><p>{LONG}</p></div></div>'
+    assert html.main_text(page) == LONG.strip()
+
+
 def test_broken_markup():
     assert html.main_text(f"<article><p><b>{LONG}<p>Second</i></div> part<footer>no") == LONG.strip() + "\nSecond\npart"
     assert html.main_text("<article><p>a < b &lt; c &#x41; &bogus; <!-- no --> x <!-- open") == "a < b < c A &bogus; x"

@@ -39,6 +39,8 @@ MARKS = frozenset(
     navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer footnav masthead topbar
     toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies
     pagination pager tags copyright legal disclaimer skip""".split())
+#: Beside these a mark speaks of the page's layout ("has-sidebar", "comments-enabled").
+LAYOUT = frozenset("has no with without enabled disabled free ready".split())
 SITE_HEADS = frozenset("header site-header page-header topnav".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -81,7 +83,7 @@ def _framed(tag: str, attributes: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(re.split(r"[-_]+", word)) | {word}
-                if parts & MARKS or word in SITE_HEADS and not in_article:
+                if parts & MARKS and not parts & LAYOUT or word in SITE_HEADS and not in_article:
                     return True
     return False
 

@@ -35,7 +35,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
-@query("op3_license_scan")
+@query("op3_license_scan", sql=twins.license_scan())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(license.corpus_files(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 

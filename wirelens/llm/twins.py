@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wirelens.llm.license import CUE, LICENCE_FILE, TEMPLATES, TERM, Vectors
 from wirelens.llm.quality import CLASSES, COMMON, Limits
 
 # All pairs that share a shingle are counted; groups by the smallest id reachable.
@@ -79,3 +80,32 @@ j AS (SELECT a.*, CASE WHEN n_words >= {limits.guard} THEN {distance('classes',
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(class_distance > {limits.classes} + {limits.noise} * sqrt({n_classes}.0 / word_chars), false)
        AND NOT coalesce(word_distance > {limits.words} + {limits.noise} * sqrt({k}.0 / n_words), false) AS kept, class_distance, word_distance FROM j"""
+
+
+def license_scan(threshold: float = 0.7) -> str:
+    """The derived tree, cosines by a table of template terms, and the nearest licensed ancestor."""
+    vectors = Vectors.of(TEMPLATES)
+    weights = ", ".join(f"({i}, '{t}', {w!r})" for i, ws in enumerate(vectors.weights) for t, w in ws.items())
+    idf = ", ".join(f"('{t}', {x!r})" for t, x in sorted(vectors.idf.items()))
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(vectors.names))
+    return rf"""
+WITH weight(i, term, w) AS (VALUES {weights}), idf(term, x) AS (VALUES {idf}), name(i, name) AS (VALUES {names}),
+f AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', source, 'k' || doc_id // 10000,
+        'c' || doc_id // 100, CASE WHEN regexp_matches(regexp_extract(text, '^[^\n]*'), '{CUE}') THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) END AS path
+      FROM documents),
+s AS (SELECT row, unnest(list_distinct(list_filter(list_concat(regexp_split_to_array(t, '\r?\n'), regexp_split_to_array(t, '\r?\n\s*\n'),
+        CASE WHEN regexp_matches(path, '{LICENCE_FILE}') THEN [t] ELSE [] END), lambda p: regexp_matches(p, '{CUE}')))) AS p FROM f),
+n AS (SELECT *, row_number() OVER () AS k FROM s),
+e AS (SELECT row, k, unnest(list_distinct(regexp_extract_all(lower(p), '{TERM}'))) AS term FROM n),
+m AS (SELECT k, sqrt(sum(pow(coalesce(x, {vectors.unseen!r}), 2))) AS norm FROM e LEFT JOIN idf USING (term) GROUP BY k),
+c AS (SELECT e.row, weight.i, round(sum(x * w) / any_value(norm), 9) AS score FROM e JOIN weight USING (term) JOIN idf USING (term) JOIN m USING (k) GROUP BY e.row, e.k, weight.i),
+b AS (SELECT row, i, score FROM c WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, i) = 1),
+o AS (SELECT f.row, doc_id, path, name AS own, score, regexp_replace(path, '/?[^/]*$', '') AS dir, coalesce(regexp_matches(path, '{LICENCE_FILE}'), false) AS is_file
+      FROM f LEFT JOIN b USING (row) LEFT JOIN name USING (i)),
+g AS (SELECT dir AS above, own AS given, score AS given_score FROM o WHERE is_file AND own IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, own) = 1),
+l AS (SELECT d.dir, g.* FROM (SELECT DISTINCT dir FROM o WHERE dir IS NOT NULL) d JOIN g ON d.dir = g.above OR g.above = '' OR starts_with(d.dir, g.above || '/')
+      QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(g.above) DESC) = 1)
+SELECT doc_id, path, coalesce(own, given) AS licence, CASE WHEN own IS NOT NULL THEN score ELSE given_score END AS score,
+       CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own IS NULL THEN above END AS from_dir FROM o LEFT JOIN l USING (dir)"""
