@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import slices
+from wirelens.llm.common import in_small_batches, slices
 
 #: A space with white space (or a border of the text) on both sides: the text can't be cut there.
 ODD_SPACE = re.compile(r"\s \s|^ \s|\s $|^ $")
@@ -32,7 +32,7 @@ def odd_space(text: str) -> bool:
 #: Longer pieces are not remembered.
 LONGEST = 128
 #: Pieces that a Python worker remembers from task to task, about 200 bytes each.
-MEMORY = 1_000_000
+MEMORY = 600_000
 
 
 class PerfectHash:
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [known.encode(text) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -16,7 +16,7 @@ from wirelens.session import checkpoint_ready
 #: Rows whose texts are Python objects at the same time.
 SLICE = 256
 #: Entries of a per-task memory of words; it starts anew when full, which only costs time.
-MEMORY = 400_000
+MEMORY = 150_000
 
 _LEFT: list[str] = []
 
@@ -84,6 +84,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with Arrow batches of at most a thousand rows unless the session names a number.
+
+    Texts are long: Spark's ten thousand rows would be held several times over in each task.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return docs
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
@@ -106,7 +117,7 @@ def filtered(docs: DataFrame, text: str, keep: Callable[[], Callable[[list[str |
         for part in slices(batches):
             yield part.filter(pa.array(test(part.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def remainder(column: str, modulus: int) -> F.Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import Scratch, WordIds, mixed, slices, without
+from wirelens.llm.common import Scratch, WordIds, in_small_batches, mixed, slices, without
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -95,7 +95,7 @@ def hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (names, ats, found)], ["doc_id", "doc_at", "hash"])
 
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    rows = in_small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, doc_at long, hash long")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import slices
+from wirelens.llm.common import in_small_batches, slices
 
 # Function words of the languages that pages come in.
 STOP_WORDS = frozenset(
@@ -254,5 +254,5 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(
+    return in_small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(
         run, "page_id long, url string, text string, n_chars long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import bounded, filtered, remainder, slices
+from wirelens.llm.common import bounded, filtered, in_small_batches, remainder, slices
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 [part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import Scratch, WordIds, as_bytes, maybe_among, mixed, slices, without
+from wirelens.llm.common import Scratch, WordIds, as_bytes, in_small_batches, maybe_among, mixed, slices, without
 from wirelens.llm.graph import components
 
 
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, forest: Forest) -> DataFrame:
                  pa.array(sig, pa.binary()), pa.array(sk, pa.binary())],
                 ["doc_id", "n_shingles", "k1", "k2", "sig", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + SETS)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + SETS)
 
 
 class _Rows:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import MEMORY, WordIds, bounded, filtered, mixed, remainder, slices
+from wirelens.llm.common import MEMORY, WordIds, bounded, filtered, in_small_batches, mixed, remainder, slices
 from wirelens.llm.neardup import shingle_set, signature
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def tolerable(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.llm.bpe import odd_space
-from wirelens.llm.common import slices
+from wirelens.llm.common import in_small_batches, slices
 
 #: Bits between two entries of a rank directory.
 STEP = 512
 SHARD_TOKENS = 1 << 22
 #: Pieces that a Python worker remembers from task to task, about 200 bytes each.
-MEMORY = 1_600_000
+MEMORY = 1_000_000
 FILE = "part int, block int, n long, doc_ids array<long>, lengths array<long>, bits int, zeros array<long>, planes binary, ranks binary"
 
 
@@ -203,7 +203,7 @@ def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TO
     fills it, so only a longer document makes a larger shard.
     """
     order = [F.asc_nulls_first("doc_id"), F.asc("_tie")]
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_tie"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_tie"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
