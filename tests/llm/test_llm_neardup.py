@@ -1,9 +1,11 @@
 """Near-duplicates against brute force: copies, near copies, chains, hot groups, odd rows."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import corpus
+import numpy as np
 from wirelens.llm import graph, neardup
 from wirelens.llm.common import Scratch
 
@@ -103,3 +105,45 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
     assert {(r["node"], r["label"]) for r in got} == {(i, 1) for i in range(1, 121)} | {(1000 + k, 1000) for k in range(300)}
     assert len(got) == 420
+
+
+def template_rows(n, seed=11):
+    """Texts of one template, pairwise at 0.80; every tenth has a partner at 0.875 far away by id."""
+    rng = random.Random(seed)
+    new = lambda k: [f"v{rng.randrange(10**12)}" for _ in range(k)]
+    base, texts, partners = new(124), [], []
+    for i in range(n):
+        w = base[:40] + new(9) + base[49:]
+        texts.append(w)
+        if i % 10 == 0:
+            partners.append(w[:90] + new(4) + w[94:])
+    return [(i, " ".join(w)) for i, w in enumerate(texts + partners)]
+
+
+def brute_by_counts(rows, percent):
+    """Component by id, from the counts of common shingles of all pairs."""
+    sets = [s for _, s in sets_of(rows)]
+    often = Counter(g for s in sets for g in s)
+    at = {g: k for k, g in enumerate(g for g, c in often.items() if c > 1)}
+    m = np.zeros((len(sets), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [at[g] for g in s if g in at]] = 1
+    n, both = np.array([len(s) for s in sets]), m @ m.T
+    top = list(range(len(rows)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in zip(*np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)), strict=True):
+        top[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_links_inside_a_large_region_of_one_template(spark):
+    rows = template_rows(4000)
+    want = brute_by_counts(rows, 85)
+    assert sum(i != c for i, c in want.items()) == 400
+    _, full = result(spark, rows)
+    assert {r["doc_id"]: r["component_id"] for r in full} == want

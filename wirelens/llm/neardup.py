@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.llm.common import Scratch, WordIds, as_bytes, in_small_batches, maybe_among, mixed, slices, without
@@ -226,13 +226,69 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.filter("_maybe").drop("_maybe").mapInArrow(run, "node long, hashes binary")
 
 
+def crowded(nodes: DataFrame, label: DataFrame, forest: Forest) -> DataFrame:
+    """node, component of every node in a region that its neighbours do not cover and that is not one component."""
+    wide = 4 * forest.depth
+    regions = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + t * wide, 4 * forest.least)) for t in range(forest.trees)])
+    rows = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("component"), F.explode(regions).alias("region"))
+    open_ = rows.groupBy("region").agg(F.count("node").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = open_.filter((F.col("n") > forest.reach + 1) & (F.col("low") < F.col("high"))).select("region")
+    return rows.join(open_, "region", "left_semi").select("node", "component").distinct()
+
+
+def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, component, n, rank of each set's rarest shingles, as many as a link can leave unshared."""
+
+    def run(batches):
+        for part in slices(batches):
+            for node, component, hashes in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                h = np.frombuffer(hashes, np.int64)
+                same = [pa.array(np.full(len(h), x)) for x in (node, component, len(h), h.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *same], ["token", "node", "component", "n", "key"])
+
+    # An id may repeat: with the same set it counts once, with another one each set has its own prefix.
+    rows = members.join(sets, "node").select("node", "component", "hashes").distinct().mapInArrow(
+        run, "token long, node long, component long, n long, key long")
+    share = rows.groupBy("token").agg(F.count("node").alias("df"))
+    rows = rows.join(share, "token")
+    rank = F.row_number().over(Window.partitionBy("node", "n", "key").orderBy("df", "token"))
+    rows = rows.withColumn("rank", rank).filter("df > 1")
+    return rows.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("df", "key")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of different components that can be a link: none is missed.
+
+    The first common shingle, rarest first, stands early in both sets: in the smaller one
+    before ``n - 2 p n / (1 + p) + 1``, so texts of one template meet by what is their own.
+    A shingle's largest component is not compared with itself.
+    """
+    counts = rows.groupBy("token", "component").agg(F.count("node").alias("c"))
+    main = counts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("c").alias("k")).filter("k > 1")
+    rows = rows.join(main.select("token", F.col("m.component").alias("main")), "token")
+    is_main = F.col("component") == F.col("main")
+    rows = rows.withColumn("size", F.struct("n", "node"))
+    # Sides: 0 main with others, 1 others with main, 2 others with others.
+    side = lambda mine, other: F.explode(F.when(is_main, F.array(F.lit(mine))).otherwise(F.array(F.lit(other), F.lit(2))))
+    least = F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    x = rows.filter(F.col("rank") <= F.col("n") - least + 1).select("token", side(0, 1).alias("side"), *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "rank", "size")])
+    y = rows.select("token", side(1, 0).alias("side"), *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "n", "rank", "size")])
+    room = F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank")) + 1
+    fits = ((F.col("x_size") < F.col("y_size")) & (F.col("x_component") != F.col("y_component")) & (100 * F.col("x_n") >= percent * F.col("y_n"))
+            & (room * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))))
+    found = x.join(y, ["token", "side"]).filter(fits)
+    return found.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).filter("a < b").distinct()
+
+
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Equal sets form one node, so copies never meet as pairs. A node's best candidate is
     confirmed first; of the rest only pairs between different components need a look.
-    Links are confirmed on full sets, so none is false; a true one is missed if no tree
-    brings it together (below 1 in 10,000 at the threshold in sparse regions).
+    Regions larger than the window that are not one component by then are joined exactly,
+    by prefixes of their rarest shingles. Links are confirmed on full sets, so none is
+    false; a true one is missed if no tree puts both in one region (below 1 in 10,000 at
+    the threshold), or in a small region by the sketch or a partition's border.
 
     Null or wordless texts have an empty set and are linked with nothing. Rows that repeat
     a doc_id with another text are judged on their own. A null doc_id has a null component and is kept.
@@ -256,7 +312,15 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         rest = rest.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     rest = rest.filter("ca <> cb").select("a", "b")
     second = scratch.keep(confirmed(rest, sets, forest.percent), "second")
-    label = components(first.unionByName(second), scratch)
+    links = first.unionByName(second)
+    label = scratch.keep(components(links, scratch), "label")
+    members = scratch.keep(crowded(nodes, label, forest), "crowded")
+    if not members.isEmpty():
+        own = scratch.keep(shingle_sets(docs, members.select("node").distinct(), forest.words), "own")
+        tokens = scratch.keep(prefixes(members, own, forest.percent), "prefixes")
+        third = scratch.keep(confirmed(prefix_pairs(tokens, forest.percent), own, forest.percent), "third")
+        label = components(links.unionByName(third), scratch)
+        scratch.drop("prefixes")
     named = groups.join(label, "node", "left").select(*key, F.coalesce("label", "node").alias("component_id"))
     out = seen.drop("sig", "sketch").join(named, key, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
