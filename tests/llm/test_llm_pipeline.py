@@ -50,6 +50,18 @@ def test_each_stage_does_what_its_operator_says(spark):
     assert 2002 not in {r["doc_id"] for r in docs.collect()} and 1 in {r["doc_id"] for r in docs.collect()}
 
 
+def test_near_dedup_stage_drops_copies_from_80_percent(spark):
+    rng = random.Random(6)
+    new = lambda k: [f"v{rng.randrange(10**12)}" for _ in range(k)]
+    rows = []
+    for i in range(60):  # a copy at 108 of 132 shingles, another text's copy at 106 of 134
+        w, v = new(124), new(124)
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w[:50] + new(8) + w[58:]))]
+        rows += [(200 + i, " ".join(v)), (300 + i, " ".join(v[:50] + new(10) + v[60:]))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus.frame(spark, rows), "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if not 100 <= i < 200}
+
+
 def test_membership_filter(spark):
     docs = corpus.frame(spark, [(i, "x") for i in range(500)] + [(None, "x"), (-5, "y"), (3, "again")])
     ids = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(-5,), (10**15,)], "id long")
