@@ -7,7 +7,7 @@ import corpus
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
-from wirelens.llm import wavelet
+from wirelens.llm import queries, wavelet
 from wirelens.llm.common import Scratch
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,30 @@ def test_files_equal_the_library(spark):
     assert set(r["start"] + r["n_tokens"] - 1 for r in got) <= set(ends)
 
 
+def test_query_equals_the_unmodified_library(spark):
+    rows = [(1, "end <|endoftext|> next"), (2, "plain words here"), (3, "a<|endoftext|>b  <|endoftext|>"), (4, "<|endoftext| > no"), (5, "plain next"), (6, None)]
+    folder = Scratch(spark).path("wavelet-docs")
+    corpus.frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    library, want, start = Tokenizer.from_file(PATH), [], 0
+    for i, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert 50256 in library.encode(rows[0][1], add_special_tokens=False).ids
+    assert sorted(map(tuple, queries.QUERIES["op9_wavelet_tokens"](spark, folder).collect())) == want
+
+
+def test_added_token_with_a_space_inside(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    library.add_tokens(["two words"])
+    library.save(str(tmp_path / "t.json"))
+    encoder, library = wavelet.Encoder(str(tmp_path / "t.json"), added=True), Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["one two three", "some words", "it is two words long", "words two", "two", "words"]
+    for _ in range(2):
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.batch(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty_table(spark):
     out = Scratch(spark).path("wavelet-empty")
     wavelet.write(corpus.frame(spark, []), out, PATH, 2)

@@ -76,7 +76,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_wavelet_tokens")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark).path("wavelet")
-    wavelet.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    wavelet.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
     return wavelet.crc32s(wavelet.open_files(spark, out))
 
 

@@ -121,12 +121,12 @@ class WaveletMatrix:
 
 
 @functools.lru_cache(2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, added: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.encode_special_tokens = not added
     return found
 
 
@@ -135,10 +135,13 @@ class Encoder:
 
     Texts are cut at spaces where a pre-token begins in any surroundings (see
     ``bpe.Encoder``); the library encodes each piece once and the ids are remembered.
+    With ``added`` the file counts as it is: a text that holds the content of an added
+    token goes to the library whole. Without it such contents are ordinary text.
     """
 
-    def __init__(self, path: str):
-        self.library = _tokenizer(path)
+    def __init__(self, path: str, added: bool = False):
+        self.library = _tokenizer(path, added)
+        self.contents = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         #: Which ids begin with a space; no piece has one inside.
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
@@ -166,7 +169,10 @@ class Encoder:
         """Ids of pieces after a space: one text, cut before the tokens that begin with a space."""
         if any(not w or w[0].isspace() or w[-1].isspace() for w in pieces):
             return self._pack([" " + w for w in pieces])
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids)
+        joined = " " + " ".join(pieces)
+        if self._holds_added(joined):  # a content with a space in it, made by the joining
+            return self._pack([" " + w for w in pieces])
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
         cuts = np.flatnonzero(self.opens[ids])
         if len(cuts) != len(pieces):
             return self._pack([" " + w for w in pieces])
@@ -174,8 +180,11 @@ class Encoder:
         ends = [*(cuts[1:] * width).tolist(), len(whole)]
         return [whole[a:b] for a, b in zip((cuts * width).tolist(), ends, strict=True)]
 
+    def _holds_added(self, text: str) -> bool:
+        return any(c in text for c in self.contents)
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        rest = [t.split(" ") if t and not odd_space(t) else None for t in texts]
+        rest = [t.split(" ") if t and not odd_space(t) and not self._holds_added(t) else None for t in texts]
         head = [words.pop(0) if words else None for words in rest]
         first, spaced = self.memory
         self._learn(first, {h for h in head if h is not None}, "")
@@ -190,12 +199,12 @@ class Encoder:
 
 
 @functools.lru_cache(1)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, added: bool = False) -> Encoder:
     """One a worker process: later tasks find what earlier ones have learnt."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
-def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS, added: bool = False) -> DataFrame:
     """Rows of the file format: consecutive documents as one wavelet matrix a row.
 
     Documents are range-partitioned and sorted by doc_id (null first, equal ids by
@@ -208,7 +217,7 @@ def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TO
 
     def run(batches):
         part, block = TaskContext.get().partitionId(), 0
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, added)
         bits = max(1, max(end_id, encoder.library.get_vocab_size() - 1).bit_length())
         end, width = np.array([end_id], encoder.dtype).tobytes(), int(encoder.dtype[-1])
         ids, names, sizes, total = [], [], [], 0
@@ -234,8 +243,8 @@ def shards(docs: DataFrame, path: str, end_id: int, shard_tokens: int = SHARD_TO
     return rows.mapInArrow(run, FILE)
 
 
-def write(docs: DataFrame, out: str, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS) -> None:
-    shards(docs, path, end_id, shard_tokens).write.option("compression", "zstd").parquet(out)
+def write(docs: DataFrame, out: str, path: str, end_id: int, shard_tokens: int = SHARD_TOKENS, added: bool = False) -> None:
+    shards(docs, path, end_id, shard_tokens, added).write.option("compression", "zstd").parquet(out)
 
 
 def open_files(spark, out: str) -> DataFrame:
