@@ -27,6 +27,27 @@ def test_layout_classes_are_no_marks():
     assert html.main_text(page) == LONG.strip()
 
 
+def test_marks_in_ids_of_an_article_are_in_doubt():
+    ids = ["related-work", "copyright-law", "legal-notice", "social-history", "comments-on-method"]
+    parts = "".join(f'<section id="{i}"><h2>On {i}</h2><p>{LONG}</p></section>' for i in ids)
+    page = f"""<article><p>{LONG}</p>{parts}<h2 id="related-work">Heading</h2><p>{LONG}</p>
+    <div class="social-share">Share this page</div><div class="related-posts"><p><a href=a>{LONG}</a></p></div>
+    <p>With <span id="legal-notice">a term</span> in it.</p></article>"""
+    want = [LONG.strip()]
+    for i in ids:
+        want += [f"On {i}", LONG.strip()]
+    assert html.main_text(page).split("\n") == [*want, "Heading", LONG.strip(), "With a term in it."]
+
+
+def test_pages_in_languages_without_stop_words():
+    polish = ("Historia miasta jest długa i opowiadana przez mieszkańców doliny na wiele sposobów, które różnią się między sobą, "
+              "ponieważ każdy pamięta inne wydarzenia, inne nazwiska oraz zupełnie inną kolejność zdarzeń sprzed wielu lat, kiedy rzeka zmieniła bieg.")
+    greek = "Η ιστορία της πόλης είναι μεγάλη και οι κάτοικοι της κοιλάδας τη διηγούνται με πολλούς τρόπους. " * 3
+    for text, tag in ((polish, '<html lang="pl">'), (polish, "<html>"), (greek, "<html>")):
+        page = f"{tag}<body><div>Menu</div><div><a href=a>Jeden</a> <a href=b>Dwa</a></div><div>{text}</div><nav>{text}</nav></body></html>"
+        assert text.strip() in html.main_text(page).split("\n") and "Jeden" not in html.main_text(page)
+
+
 def test_broken_markup():
     assert html.main_text(f"<article><p><b>{LONG}<p>Second</i></div> part<footer>no") == LONG.strip() + "\nSecond\npart"
     assert html.main_text("<article><p>a < b &lt; c &#x41; &bogus; <!-- no --> x <!-- open") == "a < b < c A &bogus; x"

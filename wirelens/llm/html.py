@@ -46,6 +46,11 @@ SITE_HEADS = frozenset("header site-header page-header topnav".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_LATIN = re.compile(r"[a-zà-öø-ÿœß]")
+#: Languages that STOP_WORDS holds; so many distinct words with hardly a stop word are another one.
+LISTED = frozenset("en de fr es".split())
+DISTINCT = 30
 
 
 @dataclass(frozen=True)
@@ -68,6 +73,19 @@ class Block:
     article: int
     heading: bool
     label: str = ""
+    marked: int = 0
+
+
+def _in_doubt(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether, inside an article, an id or a compound class name has a mark: ids are often made from headings."""
+    if not in_article or not attributes or tag in HEADINGS:
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        for word in (a or b or c).lower().split() if name.lower() in ("class", "id") else ():
+            parts = set(re.split(r"[-_]+", word)) | {word}
+            if parts & MARKS and not parts & LAYOUT and (tag in BLOCKS or name.lower() == "class"):
+                return True
+    return False
 
 
 def _framed(tag: str, attributes: str, in_article: bool) -> bool:
@@ -83,7 +101,9 @@ def _framed(tag: str, attributes: str, in_article: bool) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = set(re.split(r"[-_]+", word)) | {word}
-                if parts & MARKS and not parts & LAYOUT or word in SITE_HEADS and not in_article:
+                if in_article and name == "class" and word in MARKS:
+                    return True
+                if not in_article and (parts & MARKS and not parts & LAYOUT or word in SITE_HEADS):
                     return True
     return False
 
@@ -96,16 +116,16 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, framed, article
-    articles, links, at, skip = 0, 0, 0, ""
+    stack: list[tuple[str, bool, int, int]] = []  # name, framed, article, number of the mark in doubt
+    articles, marks, links, at, skip = 0, 0, 0, 0, ""
 
     def flush():
         nonlocal text, linked
         whole = " ".join(references.unescape("".join(text)).split())
         if whole:
             inner = " ".join(references.unescape(" ".join(linked)).split())
-            top = stack[-1] if stack else ("", False, 0)
-            found.append(Block(whole, len(inner), top[1], top[2], any(s[0] in HEADINGS for s in stack[-3:])))
+            top = stack[-1] if stack else ("", False, 0, 0)
+            found.append(Block(whole, len(inner), top[1], top[2], any(s[0] in HEADINGS for s in stack[-3:]), marked=top[3]))
         text, linked = [], []
 
     def put(piece: str):
@@ -141,10 +161,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in BLOCKS and tag not in FRAMES:
             # Inline; one that is marked (a notice in a span, say) stands for itself.
-            if not closing and m[4] and _framed(tag, m[4], bool(stack and stack[-1][2])):
+            inside = bool(stack and stack[-1][2])
+            if not closing and m[4] and _framed(tag, m[4], inside):
+                flush()
+                stack.append((tag, True, stack[-1][2] if stack else 0, 0))
+            elif not closing and m[4] and _in_doubt(tag, m[4], inside):
                 flush()
-                stack.append((tag, True, stack[-1][2] if stack else 0))
-            elif closing and any(s[0] == tag and s[1] for s in stack[-1:]):
+                marks += 1
+                stack.append((tag, stack[-1][1], stack[-1][2], marks))
+            elif closing and any(s[0] == tag for s in stack[-1:]):
                 flush()
                 stack.pop()
             continue
@@ -163,18 +188,47 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         elif stack and stack[-1][0] == "p":
             stack.pop()
-        framed, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        framed, article, mark = stack[-1][1:] if stack else (False, 0, 0)
         if tag in ("article", "main") and not article:
             articles += 1
             article = articles
-        stack.append((tag, framed or _framed(tag, m[4], bool(article)), article))
+        if _in_doubt(tag, m[4], bool(article)):
+            marks += 1
+            mark = marks
+        stack.append((tag, framed or _framed(tag, m[4], bool(article)), article, mark))
     put(page[at:] if at < len(page) else "")
     flush()
     return found
 
 
-def classify(found: list[Block], rules: Rules) -> None:
-    """First pass: good, bad, or still open (near-good, short)."""
+def has_stop_words(found: list[Block], lang: str, rules: Rules) -> bool:
+    """Whether stop-word density can judge this page: false for languages without a list."""
+    if any(b.article for b in found):
+        return True  # there, density decides nothing but what stands outside the article
+    if lang and lang not in LISTED:
+        return False
+    text = " ".join(b.text.lower() for b in found if not b.framed and b.linked <= rules.links * len(b.text) and len(b.text) >= rules.short)
+    words = _LETTERS.findall(text)
+    if 2 * len(_LATIN.findall(text)) < sum(map(len, words)):
+        return False
+    return len(set(words)) < DISTINCT or sum(w in STOP_WORDS for w in words) >= rules.low / 2 * len(words)
+
+
+def settle(found: list[Block], rules: Rules) -> None:
+    """What a mark in doubt holds is framed unless it has a block of some length and is mostly no links."""
+    held: dict[int, list[Block]] = {}
+    for b in found:
+        if b.marked:
+            held.setdefault(b.marked, []).append(b)
+    for members in held.values():
+        chars, linked = sum(len(b.text) for b in members), sum(b.linked for b in members)
+        if linked > rules.links * chars or not any(len(b.text) >= rules.short and b.linked <= rules.links * len(b.text) for b in members):
+            for b in members:
+                b.framed = True
+
+
+def classify(found: list[Block], rules: Rules, listed: bool = True) -> None:
+    """First pass: good, bad, or still open (near-good, short). Without a list of stop words length decides."""
     for b in found:
         n = len(b.text)
         words = _LETTERS.findall(b.text.lower())
@@ -185,7 +239,7 @@ def classify(found: list[Block], rules: Rules) -> None:
             b.label = "bad"
         elif n < rules.short or b.heading:
             b.label = "short" if not b.linked or b.article else "bad"
-        elif density >= rules.high or b.article and density >= rules.article_low:
+        elif not listed or density >= rules.high or b.article and density >= rules.article_low:
             b.label = "good" if n >= rules.long or b.article else "near"
         else:
             b.label = "near" if density >= rules.low else "bad"
@@ -235,7 +289,9 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     if not page:
         return ""
     found = blocks(page)
-    classify(found, rules)
+    settle(found, rules)
+    lang = _LANG.search(page)
+    classify(found, rules, has_stop_words(found, lang[1].lower() if lang else "", rules))
     inherit(found)
     return "\n".join(b.text for b in found if b.label == "good")
 
