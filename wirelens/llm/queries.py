@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import align, bpe, decontam, html, langid, license, neardup, quality, sharding, toxicity, twins, wavelet
+from wirelens.llm import align, bpe, compressor, decontam, html, langid, license, neardup, quality, sharding, toxicity, twins, wavelet
 from wirelens.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = align.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     return align.digests(table(spark, sf_dir, "documents"), names)
+
+
+@query("op12_compression_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compressor.train(docs, compressor.learnable(table(spark, sf_dir, "labels")))
+    return compressor.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
