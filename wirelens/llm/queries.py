@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import align, bpe, compressor, decontam, html, langid, license, neardup, quality, sharding, toxicity, twins, wavelet
+from wirelens.llm import align, bpe, compressor, decontam, html, langid, license, neardup, quality, resample, sharding, toxicity, twins, wavelet
 from wirelens.llm.common import Scratch, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
