@@ -56,7 +56,7 @@ def test_pairing_equals_brute_force_on_both_paths(spark, kind):
             rows.append((capture, a, b, i, "esp", i, start, start + life, 1, 1, 4, False))
         flat[capture] = brute_pairs(mine)
     df = spark.createDataFrame(rows, FLOW)
-    for limits in ({}, {"max_group": 1, "bucket_us": 50, "bucket_rows": 7}):
+    for limits in ({}, {"block_flows": 9, "numbered": 7}):
         got = {}
         for r in flows.pair_flows(df, **limits).collect():
             got.setdefault(r["capture_id"], []).append((r["pair_id"], r["rev"]["first_index"] if r["rev"] else None))

@@ -28,6 +28,8 @@ def compose(names: list[str], body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     text = body.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {ctes},\n{text[5:]}"
     return f"WITH {ctes}\n{text}"

@@ -66,14 +66,40 @@ def flow_pairs(spark, sf):
 @query("flow_pairs_split_groups", "J1", views="pairs", sql="""
 SELECT capture_id, pair_id, proto, src, dst, fwd_spi, coalesce(rev_spi, -1) AS rev_spi, paired FROM pairs""")
 def flow_pairs_split_groups(spark, sf):
-    """The same pairing through the path for groups too large for one array."""
-    p = flows.pair_flows(flows.summarise_flows(adapters.packets(spark, sf)), max_group=1,
-                         bucket_us=60_000_000, bucket_rows=1000)
+    """The same pairing with blocks of one flow, so that every open flow is handed on."""
+    p = flows.pair_flows(flows.summarise_flows(adapters.packets(spark, sf)), block_flows=1, numbered=1000)
     return p.select("capture_id", "pair_id", "proto", F.col("fwd.src").alias("src"),
                     F.col("fwd.dst").alias("dst"), F.col("fwd.spi").alias("fwd_spi"),
                     F.coalesce("rev.spi", F.lit(-1)).alias("rev_spi"), "paired")
 
 
+# Arrivals one by one: each takes the earliest open flow that runs the other way and overlaps it.
+sqlviews.view("crossing_flows", "", """
+  SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY first_index) AS n FROM (
+    SELECT user_id % 5 AS capture_id, CAST(user_id // 5 % 2 AS INTEGER) AS way, user_id * 1000 + (ts_us + user_id * 700000) // 20000000 AS spi,
+           min(event_id) AS first_index, min(ts_us) AS start_us, max(ts_us) AS end_us
+    FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 10000 AS ts_us FROM events) GROUP BY ALL)""")
+
+
+@query("flow_pairs_crossing", "J1", views="crossing_flows", sql="""
+WITH RECURSIVE sweep AS (
+  SELECT DISTINCT capture_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(i BIGINT, way INTEGER, s BIGINT, e BIGINT, spi BIGINT)[]) AS open,
+         CAST(NULL AS STRUCT(i BIGINT, way INTEGER, s BIGINT, e BIGINT, spi BIGINT)) AS hit, CAST(NULL AS BIGINT) AS rev_spi FROM crossing_flows
+  UNION ALL
+  SELECT capture_id, n, CASE WHEN hit IS NULL THEN list_append(open, {'i': first_index, 'way': way, 's': start_us, 'e': end_us, 'spi': spi})
+                        ELSE list_filter(open, lambda o: o.i <> hit.i) END, hit, spi
+  FROM (SELECT f.*, w.open, list_filter(w.open, lambda o: o.way <> f.way AND o.s <= f.end_us AND f.start_us <= o.e)[1] AS hit
+        FROM sweep w JOIN crossing_flows f ON f.capture_id = w.capture_id AND f.n = w.n + 1)),
+met AS (SELECT capture_id, hit.i AS pair_id, hit.spi AS fwd_spi, rev_spi FROM sweep WHERE hit IS NOT NULL)
+SELECT capture_id, pair_id, fwd_spi, rev_spi, TRUE AS paired FROM met
+UNION ALL SELECT capture_id, first_index, spi, -1, FALSE FROM crossing_flows f
+WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.capture_id = f.capture_id AND (m.fwd_spi = f.spi OR m.rev_spi = f.spi))""")
+def flow_pairs_crossing(spark, sf):
+    """Pairing where many generations of one endpoint pair are alive at a time, over several blocks."""
+    p = flows.pair_flows(flows.summarise_flows(adapters.crossing_packets(spark, sf)), block_flows=128)
+    return p.select("capture_id", "pair_id", F.col("fwd.spi").alias("fwd_spi"), F.coalesce("rev.spi", F.lit(-1)).alias("rev_spi"), "paired")
+
+
 @query("sa_rollup", "A4 P3 P4 P27", views="pairs", sql="""
 SELECT capture_id, pair_id, lpad(lower(to_hex(fwd_spi)), 8, '0') AS spi_initiator,
        coalesce(lpad(lower(to_hex(rev_spi)), 8, '0'), '') AS spi_responder, first_us, last_us,

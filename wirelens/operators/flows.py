@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions import scalars
@@ -12,9 +13,10 @@ from wirelens.session import materialise
 FLOW_KEYS = ["capture_id", "src", "dst", "spi", "proto"]
 GROUP = ["capture_id", "lo", "hi", "proto"]
 
-# Flows of one endpoint pair matched in a single array; larger groups are split.
-MAX_GROUP_FLOWS = 4096
-
+#: Flows of one endpoint pair that a task matches at once; longer lists are swept block by block.
+BLOCK_FLOWS = 8192
+#: Packet numbers within which the flows of an endpoint pair are counted together.
+NUMBERED = 1_000_000
 
 def summarise_flows(packets: DataFrame) -> DataFrame:
     """One row per directed flow, aggregated map-side before its only shuffle."""
@@ -40,139 +42,176 @@ def _flow_struct() -> Column:
     )
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start_ts_us"] <= b["end_ts_us"]) & (b["start_ts_us"] <= a["end_ts_us"])
+BLOCK = [*GROUP, "block"]
+#: What flows of later blocks could still overlap, by direction; null where none follow.
+LATER = ["up_from", "up_to", "down_from", "down_to"]
+FATE = "capture_id long, lo string, hi string, proto string, block long, first_index long, partner long, start_ts_us long, end_ts_us long, up boolean, open boolean"
 
 
-def _match_arrays(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matching of each group's ``flows`` array, in first-index order.
+def _swept(index, start, end, up, alone: bool, later) -> list[tuple]:
+    """(place, place of the partner or -1, still open) of the flows of one block, in arrival order.
 
-    Each arriving flow takes the earliest open flow that runs the other way and
-    overlaps it, else it stays open itself.
+    Each flow takes the earliest open flow that runs the other way and overlaps it, else
+    it stays open. Open flows that end before all that follows starts are out of the way.
     """
-    kind = groups.schema["flows"].dataType.elementType.simpleString()
-    state = f"struct<open:array<{kind}>,done:array<struct<fwd:{kind},rev:{kind}>>>"
-    start = F.struct(F.array().alias("open"), F.array().alias("done")).cast(state)
-
-    def step(acc: Column, flow: Column) -> Column:
-        fits = F.filter(
-            acc["open"],
-            lambda o: (o["src"] == flow["dst"]) & (o["dst"] == flow["src"]) & _overlap(o, flow),
-        )
-        found = F.size(fits) > 0
-        partner = F.when(found, fits[0])
-        return F.struct(
-            F.when(
-                found, F.filter(acc["open"], lambda o: o["first_index"] != partner["first_index"])
-            ).otherwise(F.array_append(acc["open"], flow)).alias("open"),
-            F.when(
-                found,
-                F.array_append(acc["done"], F.struct(partner.alias("fwd"), flow.alias("rev"))),
-            ).otherwise(acc["done"]).alias("done"),
-        ).cast(state)
-
-    folded = groups.select(*keys, F.aggregate("flows", start, step).alias("m"))
-    single = F.transform(
-        F.col("m.open"), lambda o: F.struct(o.alias("fwd"), F.lit(None).cast(kind).alias("rev"))
-    )
-    return folded.select(*keys, F.explode(F.concat("m.done", single)).alias("p")).select(
-        *keys, "p.fwd", "p.rev"
-    )
-
-
-def _collect(flows: DataFrame, keys: list[str]) -> DataFrame:
-    return flows.groupBy(*keys).agg(F.array_sort(F.collect_list(_flow_struct())).alias("flows"))
-
-
-def _match_hot(flows: DataFrame, bucket_us: int, bucket_rows: int) -> DataFrame:
-    """The same matching for groups too large for one array.
-
-    Flows that cannot overlap never pair, so a group is first cut where no flow
-    is alive. Inside a cut, the k-th flow of one direction is matched with the
-    k-th of the other by an equi-join; this equals the arrival-order matching
-    exactly when every such pair overlaps, because the earliest open flow is
-    then always a fitting one. Cuts where some pair does not overlap are matched
-    by the fold instead.
+    n = len(index)
+    soonest, latest = [None] * (n + 1), {True: (later[0], later[1]), False: (later[2], later[3])}
+    soonest[n] = min((x for x, _ in latest.values() if x is not None), default=None)
+    for i in range(n - 1, -1, -1):
+        soonest[i] = start[i] if soonest[i + 1] is None else min(start[i], soonest[i + 1])
+    waiting: dict[bool, dict[int, None]] = {True: {}, False: {}}
+    out = []
+    for i in range(n):
+        begin, until, past = start[i], end[i], []
+        others = waiting[up[i] if alone else not up[i]]
+        for j in others:
+            if start[j] <= until and begin <= end[j]:
+                out.append((j, i, False))
+                past.append(j)
+                break
+            if end[j] < soonest[i]:
+                out.append((j, -1, False))
+                past.append(j)
+        else:
+            waiting[up[i]][i] = None
+        for j in past:
+            del others[j]
+    for way, open_ in waiting.items():
+        from_, to = latest[way if alone else not way]
+        for j in open_:
+            out.append((j, -1, from_ is not None and from_ <= end[j] and start[j] <= to))
+    return out
+
+
+def _sweep(rows: DataFrame) -> DataFrame:
+    """``FATE`` of the flows of ``rows`` (BLOCK, first_index, start_ts_us, end_ts_us, up, LATER), each block in one task.
+
+    A flow matched here has its partner (or none) and is not open; an open one waits for the next block.
     """
-    by_time = F.expr(f"start_ts_us div {bucket_us}")
-    f = ordered.running_max(
-        flows, GROUP, ["start_ts_us", "first_index"], by_time, F.col("end_ts_us"), "_alive"
-    )
-    opens = F.col("_alive").isNull() | (F.col("start_ts_us") > F.col("_alive"))
-    f = ordered.running_max(
-        f, GROUP, ["start_ts_us", "first_index"], by_time,
-        F.when(opens, F.col("start_ts_us")), "island", inclusive=True,
-    ).drop("_alive")
-    f = materialise(f.withColumn("up", F.col("src") == F.col("lo")))
-    cut = [*GROUP, "island"]
-    f = ordered.numbered(
-        f, [*cut, "up"], ["first_index"], F.expr(f"first_index div {bucket_rows}"), "k"
-    )
-    f = materialise(f)
-    paired = f.groupBy(*cut, "k").agg(
-        F.max(F.when(F.col("up"), _flow_struct())).alias("a"),
-        F.max(F.when(~F.col("up"), _flow_struct())).alias("b"),
-    )
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    irregular = (
-        paired.filter((both & ~_overlap(F.col("a"), F.col("b"))) | (F.col("lo") == F.col("hi")))
-        .select(*cut).distinct()
-    )
-    first_is_a = F.col("b").isNull() | (F.col("a.first_index") < F.col("b.first_index"))
-    regular = (
-        paired.join(irregular, cut, "left_anti")
-        .select(
-            *GROUP,
-            F.when(first_is_a & F.col("a").isNotNull(), F.col("a")).otherwise(F.col("b")).alias("fwd"),
-            F.when(both, F.when(first_is_a, F.col("b")).otherwise(F.col("a"))).alias("rev"),
-        )
-    )
-    rest = _match_arrays(_collect(f.join(irregular, cut, "left_semi"), cut), cut)
-    return regular.unionByName(rest.select(*GROUP, "fwd", "rev"))
-
-
-def pair_flows(flows: DataFrame, max_group: int = MAX_GROUP_FLOWS, bucket_us: int = 3_600_000_000,
-               bucket_rows: int = 1_000_000) -> DataFrame:
+    columns = [*BLOCK, "first_index", "start_ts_us", "end_ts_us", "up", *LATER]
+    rows = rows.select(*columns).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "first_index")
+
+    def fates(key, held, later):
+        index, start, end, up = held
+        found = _swept(index, start, end, up, key[1] == key[2], later)
+        first = [j for j, _, _ in found]
+        n = len(found)
+        return [*([k] * n for k in key), [index[j] for j in first], [index[i] if i >= 0 else None for _, i, _ in found],
+                [start[j] for j in first], [end[j] for j in first], [up[j] for j in first], [o for _, _, o in found]]
+
+    def run(batches):
+        schema = None
+        key, held, later, out = None, ([], [], [], []), None, [[] for _ in range(11)]
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([pa.field(n, batch.schema.field(n).type) for n in BLOCK] + [
+                    pa.field("first_index", pa.int64()), pa.field("partner", pa.int64()), pa.field("start_ts_us", pa.int64()),
+                    pa.field("end_ts_us", pa.int64()), pa.field("up", pa.bool_()), pa.field("open", pa.bool_())])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:5] != key:
+                    if key is not None:
+                        for into, new in zip(out, fates(key, held, later), strict=True):
+                            into.extend(new)
+                        if len(out[0]) >= BLOCK_FLOWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+                            out = [[] for _ in range(11)]
+                    key, held, later = row[:5], ([], [], [], []), row[9:]
+                for into, value in zip(held, row[5:9], strict=True):
+                    into.append(value)
+        if key is not None:
+            for into, new in zip(out, fates(key, held, later), strict=True):
+                into.extend(new)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, FATE)
+
+
+def _blocks(f: DataFrame, block_flows: int, numbered: int) -> DataFrame:
+    """``f`` narrow, with its block (so many flows of a group in arrival order) and what later blocks of the group span."""
+    rows = f.select(*GROUP, "first_index", "start_ts_us", "end_ts_us", (F.col("src") == F.col("lo")).alias("up"))
+    rows = ordered.numbered(rows, GROUP, ["first_index"], F.expr(f"first_index div {numbered}"), "place")
+    rows = materialise(rows.withColumn("block", F.expr(f"(place - 1) div {block_flows}")).drop("place"))
+    if rows.filter("block > 0").isEmpty():  # no group fills a block
+        return rows.select("*", *[F.lit(None).cast("long").alias(c) for c in LATER])
+    spans = rows.groupBy(*BLOCK).agg(*[
+        fn(F.when(F.col("up") == way, F.col(f"{edge}_ts_us"))).alias(f"{name}_{to}")
+        for way, name in ((True, "up"), (False, "down")) for fn, edge, to in ((F.min, "start", "from"), (F.max, "end", "to"))])
+    after = Window.partitionBy(*GROUP).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*BLOCK, *[(F.min if c.endswith("from") else F.max)(c).over(after).alias(c) for c in LATER])
+    return materialise(rows.join(spans, BLOCK))
+
+
+def _arrivals(fates: DataFrame) -> DataFrame:
+    """Open flows as the next block's first rows, with a digest of what each block gets."""
+    return fates.filter("open").select(*GROUP, (F.col("block") + 1).alias("block"), "first_index", "start_ts_us", "end_ts_us", "up")
+
+
+def _digest(arrivals: DataFrame) -> DataFrame:
+    return arrivals.groupBy(*BLOCK).agg(F.sum(F.xxhash64("first_index").cast("decimal(38,0)")).alias("digest"))
+
+
+def _match(f: DataFrame, block_flows: int = BLOCK_FLOWS, numbered: int = NUMBERED) -> DataFrame:
+    """GROUP, first_index, partner of the flows ``f``, matched one to one in arrival order.
+
+    First every block is swept as if nothing were open before it. Then blocks whose
+    open flows from the block before are not those they were swept with are swept again,
+    until none is left. Block k is final after k more rounds at the latest; as flows that
+    overlap nothing to come are not handed on, two or three rounds usually do. A task holds
+    one block and the flows handed to it. A repeated sweep is the same sweep, so a lost
+    executor costs its tasks only.
+    """
+    rows = _blocks(f, block_flows, numbered)
+    fates = materialise(_sweep(rows))
+    names = [*GROUP, "first_index", "partner"]
+    used = None
+    # Only groups of several blocks hand anything on; the others are done.
+    given = materialise(_arrivals(fates))
+    if given.isEmpty():
+        return fates.select(*names)
+    while True:
+        now = _digest(given)
+        stale = now if used is None else now.withColumnRenamed("digest", "new").join(used, BLOCK, "full").filter(
+            ~F.col("new").eqNullSafe(F.col("digest")))
+        stale = materialise(stale.select(*BLOCK))
+        if stale.isEmpty():
+            return fates.filter("NOT open").select(*names)
+        mine = rows.join(stale, BLOCK, "left_semi")
+        spans = mine.select(*BLOCK, *LATER).distinct()
+        handed = given.join(stale, BLOCK, "left_semi").join(spans, BLOCK)
+        again = _sweep(mine.unionByName(handed))
+        used = materialise(now)
+        fates = materialise(fates.join(stale, BLOCK, "left_anti").unionByName(again))
+        given = materialise(_arrivals(fates))
+
+
+def pair_flows(flows: DataFrame, block_flows: int = BLOCK_FLOWS, numbered: int = NUMBERED) -> DataFrame:
     """Match each flow with the first later overlapping flow of the reverse direction.
 
-    Works on flow summaries only, which are written once to the checkpoint
-    folder: they are a small fraction of the packets and are read several times.
-    Endpoint pairs with more than ``max_group`` flows take the split path, which
-    is planned only when the summaries hold such a pair. The earlier flow of a
-    pair becomes ``fwd``; flows without a partner keep a null ``rev``.
+    Works on flow summaries only, which are written once to the checkpoint folder: they
+    are a small fraction of the packets and are read several times. An endpoint pair
+    of any number of flows is swept in blocks of ``block_flows`` (see ``_match``). The
+    earlier flow of a pair becomes ``fwd``; flows without a partner keep a null ``rev``.
     """
-    f = materialise(_with_ends(flows))
-    return _pair(f, f.count(), max_group, bucket_us, bucket_rows)
+    return _pair(materialise(_with_ends(flows)), block_flows, numbered)
 
 
 def _with_ends(flows: DataFrame) -> DataFrame:
     return flows.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
 
 
-def _pair(f: DataFrame, rows: int, max_group: int = MAX_GROUP_FLOWS, bucket_us: int = 3_600_000_000,
-          bucket_rows: int = 1_000_000) -> DataFrame:
-    big = f.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_group)
-    # Fewer flows in all than one group may hold need no look at the groups.
-    if rows <= max_group or big.isEmpty():
-        matched = _match_arrays(_collect(f, GROUP), GROUP)
-    else:
-        big = materialise(big.select(*GROUP))
-        usual = _match_arrays(_collect(f.join(big, GROUP, "left_anti"), GROUP), GROUP)
-        matched = usual.unionByName(_match_hot(f.join(big, GROUP, "left_semi"), bucket_us, bucket_rows))
-    return matched.select(
-        "capture_id",
-        F.col("fwd.first_index").alias("pair_id"),
-        "proto",
-        "fwd",
-        "rev",
-        F.col("rev").isNotNull().alias("paired"),
-    )
+def _pair(f: DataFrame, block_flows: int = BLOCK_FLOWS, numbered: int = NUMBERED) -> DataFrame:
+    found = _match(f, block_flows, numbered)
+    both = F.filter(F.array(F.col("first_index"), F.col("partner")), lambda x: x.isNotNull())
+    place = found.select(*GROUP, F.col("first_index").alias("pair_id"), F.explode(both).alias("first_index"))
+    first = F.col("first_index") == F.col("pair_id")
+    matched = f.join(place, [*GROUP, "first_index"]).groupBy("capture_id", "pair_id", "proto").agg(
+        F.max(F.when(first, _flow_struct())).alias("fwd"), F.max(F.when(~first, _flow_struct())).alias("rev"))
+    return matched.select("capture_id", "pair_id", "proto", "fwd", "rev", F.col("rev").isNotNull().alias("paired"))
 
 
 def pair_and_tag(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, tagged packets) of one packet table."""
-    f = materialise(_with_ends(summarise_flows(packets)))
-    pairs = _pair(f, f.count())
+    pairs = _pair(materialise(_with_ends(summarise_flows(packets))))
     return pairs, tag_packets(packets, pairs)
 
 

@@ -81,6 +81,17 @@ def packets_of(e: DataFrame, sequenced: bool = False) -> DataFrame:
     )
 
 
+def crossing_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as packets of many associations at a time: each user is a direction that rekeys every 20 s, at its own phase."""
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts as timestamp_ntz))"
+    p = spread_table(spark, sf_dir, "events").selectExpr("event_id AS index", "user_id", f"({micros}) div 10000 AS ts_us", "value")
+    way = "user_id div 5 % 2"
+    return p.selectExpr(
+        "user_id % 5 AS capture_id", "index", "ts_us", "4 AS ip_version",
+        f"concat('10.0.', user_id % 5, '.', 1 + {way}) AS src", f"concat('10.0.', user_id % 5, '.', 2 - {way}) AS dst", "'esp' AS proto",
+        "user_id * 1000 + (ts_us + user_id * 700000) div 20000000 AS spi", "cast(floor(value) as int) AS ip_payload_len", "false AS udp_encapsulated")
+
+
 def cycle(index: str, values: list) -> str:
     """SQL choosing ``values[index % n]``; the same text serves both engines."""
     arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
