@@ -147,3 +147,14 @@ def test_links_inside_a_large_region_of_one_template(spark):
     assert sum(i != c for i, c in want.items()) == 400
     _, full = result(spark, rows)
     assert {r["doc_id"]: r["component_id"] for r in full} == want
+
+
+def test_removal_goes_by_row_and_spares_clashing_columns(spark):
+    rng = random.Random(3)
+    text, other = corpus.sentence(rng, 60), corpus.sentence(rng, 60)
+    docs = corpus.frame(spark, [(1, text), (5, text), (5, other), (9, other), (None, text), (7, None)])
+    docs = docs.withColumnsRenamed({"label": "_spot", "node": "_gone", "score": "_bucket", "hash": "key0", "part": "_marks"})
+    kept = neardup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["_spot"], r["_gone"], r["key0"]) for r in kept.collect()), key=repr) == sorted(
+        [(i, t, "x", "y", "h") for i, t in [(1, text), (5, other), (None, text), (7, None)]], key=repr)

@@ -31,8 +31,10 @@ def odd_space(text: str) -> bool:
 
 #: Longer pieces are not remembered.
 LONGEST = 128
-#: Pieces that a Python worker remembers from task to task, about 200 bytes each.
-MEMORY = 600_000
+#: Bytes that the pieces a Python worker remembers from task to task may take, in all; it starts anew when they are full.
+MEMORY = 64 << 20
+#: Of a remembered piece besides its characters and ids: two objects and a place in a dictionary.
+OVERHEAD = 200
 
 
 class PerfectHash:
@@ -144,21 +146,35 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 class Pieces(dict):
-    """Ids of a piece of text by the piece, remembered up to a bound; ``lead`` goes before it."""
+    """Ids of a piece of text by the piece, remembered as far as ``room`` allows; ``lead`` goes before it."""
 
-    def __init__(self, code: Codec, lead: str):
+    def __init__(self, code: Codec, lead: str, room: Room):
         super().__init__()
-        self.code, self.lead = code, lead
+        self.code, self.lead, self.room = code, lead, room
+        room.users.append(self)
 
     def __missing__(self, piece: str) -> bytes:
         ids = b"".join(map(self.code.pre_token, self.code.find(self.lead + piece)))
         if len(piece) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
+            self.room.take(len(piece) + len(ids) + OVERHEAD)
             self[piece] = ids
         return ids
 
 
+class Room:
+    """One budget of bytes for several memories, all emptied when it is used up."""
+
+    def __init__(self, size: int):
+        self.size, self.used, self.users = size, 0, []
+
+    def take(self, size: int) -> None:
+        if self.used + size > self.size:
+            for user in self.users:
+                user.clear()
+            self.used = 0
+        self.used += size
+
+
 class Encoder:
     """Encodes whole texts.
 
@@ -169,7 +185,8 @@ class Encoder:
     """
 
     def __init__(self, code: Codec):
-        self.code, self.first, self.spaced = code, Pieces(code, ""), Pieces(code, " ")
+        room = Room(MEMORY)
+        self.code, self.first, self.spaced = code, Pieces(code, "", room), Pieces(code, " ", room)
 
     def encode(self, text: str | None) -> bytes:
         if not text:

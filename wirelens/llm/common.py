@@ -137,30 +137,57 @@ def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
 FILTER_BITS = 1 << 26
 
 
-def maybe_among(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``_maybe``: false only where ``key`` is surely not in the one column of ``ids``.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` is called so in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    The ids become hashed bitmaps of a fixed total size, which are broadcast; wide rows
-    stay where they are. With very many ids the filter lets more rows pass, none less.
+
+def row_key(docs: DataFrame, text: str = "text") -> list[F.Column]:
+    """What tells rows of ``docs`` apart that repeat a doc_id: the id and a hash of the text."""
+    return [docs["doc_id"].cast("long"), F.xxhash64(docs[text])]
+
+
+def _keys(docs: DataFrame, key: str | list[F.Column]) -> list[F.Column]:
+    return [docs[key].cast("long")] if isinstance(key, str) else key
+
+
+def maybe_among(docs: DataFrame, key: str | list[F.Column], ids: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """``docs`` with ``flag``: false only where ``key`` is surely no row of ``ids``.
+
+    ``key`` is a column or columns of numbers as ``ids`` has them, in order. The ids become
+    hashed bitmaps of a fixed total size, which are broadcast; wide rows stay where they
+    are. With very many ids the filter lets more rows pass, none less.
     """
-    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)) + 1
-    name = ids.columns[0]
-    marks = ids.select(spot(name).alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_marks"))
-    rows = docs.withColumn("_spot", spot(key)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
-    rows = rows.join(F.broadcast(marks), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_marks, cast(bitmap_bit_position(_spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_spot) % 8 as int)) & 1")
-    return rows.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).select(*docs.columns, "_maybe")
+    spot, bucket, byte, marks = fresh(docs, "_spot", "_bucket", "_byte", "_marks")
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
+    found = ids.select(place([F.col(c).cast("long") for c in ids.columns]).alias(spot)).groupBy(F.bitmap_bucket_number(spot).alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias(marks))
+    rows = docs.withColumn(spot, place(_keys(docs, key)))
+    rows = rows.withColumn(bucket, F.bitmap_bucket_number(spot)).join(F.broadcast(found), bucket, "left")
+    value = F.expr(f"substring({marks}, cast(bitmap_bit_position({spot}) div 8 as int) + 1, 1)")
+    rows = rows.withColumn(byte, F.conv(F.hex(value), 16, 10).cast("int"))
+    bit = F.expr(f"shiftright({byte}, cast(bitmap_bit_position({spot}) % 8 as int)) & 1")
+    return rows.select(*[rows[f"`{c}`"] for c in docs.columns], F.coalesce(bit == 1, F.lit(False)).alias(flag))
 
 
-def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in the one column of ``gone``; null keys stay.
+def without(docs: DataFrame, key: str | list[F.Column], gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` (see ``maybe_among``) is a row of ``gone``; rows with a null in the key stay.
 
     Only rows that pass the membership filter are shuffled for the exact comparison.
+    All columns stay as they are, whatever their names; repeated rows go or stay together.
     """
-    flagged = maybe_among(docs, key, gone)
-    sure = flagged.filter(~F.col("_maybe")).drop("_maybe")
-    gone = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
-    rest = flagged.filter("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(gone, rest[key].cast("long") == F.col("_gone"), "left_anti"))
+    columns, names = docs.columns, [f"key{i}" for i in range(len(_keys(docs, key)))]
+    flag, *names = fresh(docs, "_maybe", *names)
+    wide = docs.withColumns(dict(zip(names, _keys(docs, key), strict=True)))
+    flagged = maybe_among(wide, [F.col(n) for n in names], gone, flag)
+    sure = flagged.filter(~F.col(flag)).select(*[f"`{c}`" for c in columns])
+    rest = flagged.filter(flag)
+    gone = gone.toDF(*[f"{n}_gone" for n in names]).distinct()
+    same = [rest[n] == gone[f"{n}_gone"].cast("long") for n in names]
+    return sure.unionByName(rest.join(gone, same, "left_anti").select(*[f"`{c}`" for c in columns]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import Scratch, WordIds, in_small_batches, mixed, slices, without
+from wirelens.llm.common import Scratch, WordIds, in_small_batches, mixed, row_key, slices, without
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -76,13 +76,16 @@ def seeds(items: DataFrame, tiling: Tiling) -> DataFrame:
 
 
 def hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
-    """(doc_id, doc_at, hash) of the windows of ``docs`` whose hash is in a sorted array of seeds, by size."""
+    """(doc_id, content, doc_at, hash) of the windows of ``docs`` whose hash is in a sorted array of seeds, by size.
+
+    ``content`` is a hash of the text: rows that repeat an id are matched each on its own.
+    """
 
     def run(batches):
         ids = WordIds()
         for part in slices(batches):
-            names, ats, found = [], [], []
-            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            names, contents, ats, found = [], [], [], []
+            for name, text, content in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 x = tokens(text, ids)
                 for size, known in wanted.items():
                     h = windows(x, size).view(np.int64)
@@ -90,13 +93,15 @@ def hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
                     at = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h)
                     if len(at):
                         names.append(np.full(len(at), name))
+                        contents.append(np.full(len(at), content))
                         ats.append(at)
                         found.append(h[at])
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (names, ats, found)], ["doc_id", "doc_at", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (names, contents, ats, found)], ["doc_id", "content", "doc_at", "hash"])
 
-    rows = in_small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, doc_at long, hash long")
+    rows = in_small_batches(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content"))
+    return rows.mapInArrow(run, "doc_id long, content long, doc_at long, hash long")
 
 
 def tiles(doc_at: np.ndarray, at: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -136,14 +141,24 @@ def tiles(doc_at: np.ndarray, at: np.ndarray, size: int) -> list[tuple[int, int,
 
 FOUND = "doc_id long, item_id long, n_item long, covered long, coverage double, n_tiles int, tiles array<struct<doc_at:long,item_at:long,length:long>>"
 
+ROW = ["doc_id", "content"]
+MATCHED = FOUND.replace("item_id", "content long, item_id", 1)
+
 
 def contaminated(docs: DataFrame, items: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
     """Pairs of ``docs`` (doc_id, text) and ``items`` (item_id, text) whose tiles cover enough of the item.
 
     Positions count tokens. Reordered passages keep their coverage, as tiles lie in any
     order. Null or tokenless texts and null ids match nothing; rows that repeat an id are
-    taken together, as versions of one text. No pair, no row; each pair once.
+    matched each on its own, and the id's best row is told. No pair, no row; each pair once.
     """
+    best = F.max(F.struct("covered", "coverage", "n_item", "n_tiles", "tiles")).alias("best")
+    found = _matched(docs, items, tiling).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", *[f"best.{f.split(' ')[0]}" for f in FOUND.split(", ")[2:]])
+
+
+def _matched(docs: DataFrame, items: DataFrame, tiling: Tiling) -> DataFrame:
+    """``FOUND`` of every text and item, with ``content``, which tells rows of one id apart."""
     scratch = Scratch(docs.sparkSession)
     known = scratch.keep(seeds(items.filter("item_id IS NOT NULL"), tiling), "seeds")
     blocks = -(-max(1, known.count()) // tiling.block)
@@ -160,14 +175,14 @@ def contaminated(docs: DataFrame, items: DataFrame, tiling: Tiling = Tiling()) -
             continue
         pairs = scratch.keep(hits(docs, wanted).join(mine, "hash"), f"hits{block}")
         # Seeds bound the coverage from above: most chance pairs end here, before any grouping of rows.
-        enough = pairs.groupBy("doc_id", "item_id").agg(
+        enough = pairs.groupBy(*ROW, "item_id").agg(
             F.count_distinct("at").alias("k"), F.max("size").alias("s"), F.max("n_item").alias("m")).filter(
-            F.col("k") * F.col("s") >= tiling.coverage * F.col("m")).select("doc_id", "item_id")
-        kept = pairs.join(enough, ["doc_id", "item_id"], "left_semi")
-        found = kept.groupBy("doc_id", "item_id").applyInPandas(_tiler(tiling), FOUND)
+            F.col("k") * F.col("s") >= tiling.coverage * F.col("m")).select(*ROW, "item_id")
+        kept = pairs.join(enough, [*ROW, "item_id"], "left_semi")
+        found = kept.groupBy(*ROW, "item_id").applyInPandas(_tiler(tiling), MATCHED)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return docs.sparkSession.createDataFrame([], FOUND)
+        return docs.sparkSession.createDataFrame([], MATCHED)
     return out
 
 
@@ -180,13 +195,18 @@ def _tiler(tiling: Tiling):
         found = tiles(rows["doc_at"].to_numpy(), rows["at"].to_numpy(), int(rows["size"].iloc[0]))
         covered = sum(t[2] for t in found)
         if covered < tiling.coverage * n:
-            return pd.DataFrame(columns=[f.split(" ")[0] for f in FOUND.split(", ")])
+            return pd.DataFrame(columns=[f.split(" ")[0] for f in MATCHED.split(", ")])
         return pd.DataFrame([[*key, n, covered, covered / n, len(found), [{"doc_at": a, "item_at": b, "length": k} for a, b, k in found]]],
-                            columns=["doc_id", "item_id", "n_item", "covered", "coverage", "n_tiles", "tiles"])
+                            columns=[*ROW, "item_id", "n_item", "covered", "coverage", "n_tiles", "tiles"])
 
     return run
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, tiling: Tiling = Tiling()) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, all columns unchanged."""
-    return without(docs, "doc_id", contaminated(docs, items, tiling).select("doc_id").distinct())
+    """``docs`` without the rows that hold a benchmark item, all columns unchanged.
+
+    Rows are told apart by id and text, so a repeated id loses only the rows whose own
+    text holds an item; equal rows go together. Null texts and null ids stay, and without
+    items all rows do.
+    """
+    return without(docs, row_key(docs), _matched(docs, items, tiling).select(*ROW).distinct())

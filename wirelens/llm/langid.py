@@ -16,13 +16,15 @@ from wirelens.llm.common import bounded, filtered, in_small_batches, remainder,
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
-#: Code points handled at once; longer texts go in pieces of this length.
-PIECE = 1 << 20
+#: Code points handled at once; longer texts go in pieces of at most this length, cut beside a character that is no letter.
+PIECE = 1 << 17
+#: Code points of a training text among which subwords are drawn, at a place that its length gives.
+WINDOW = 1 << 20
 
 
 @dataclass(frozen=True)
 class Training:
-    """``rows`` bounds the labelled sample, ``grams`` what is drawn of each of its texts."""
+    """``rows`` bounds the labelled sample, ``grams`` what is drawn of each of its texts, from ``WINDOW`` code points of it."""
 
     rows: int = 8000
     grams: int = 384
@@ -78,12 +80,26 @@ def subwords(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(where)
 
 
+def _cut(text: str):
+    """Pieces of up to ``PIECE`` code points; only a longer run of letters is cut inside a word."""
+    start = 0
+    while start < len(text):
+        end = start + PIECE
+        if end < len(text):
+            at = end
+            while at > start and text[at - 1].isalpha() and text[at].isalpha():
+                at -= 1
+            end = at if at > start else end
+        yield text[start:end]
+        start = end
+
+
 def _pieces(texts: list[str | None]):
     """Runs of (texts' numbers, their pieces) of about ``PIECE`` code points together."""
     numbers, held, size = [], [], 0
     for i, text in enumerate(texts):
-        for start in range(0, len(text or ""), PIECE):
-            part = text[start : start + PIECE].lower()
+        for part in _cut(text or ""):
+            part = part.lower()
             if size + len(part) > PIECE and held:
                 yield numbers, held
                 numbers, held, size = [], [], 0
@@ -124,8 +140,8 @@ def _sample(docs: DataFrame, training: Training) -> list:
             drawn = []
             for text in part.column(1).to_pylist():
                 rng = np.random.default_rng(len(text))
-                start = int(rng.integers(0, max(1, len(text) - PIECE)))
-                found = subwords(text[start : start + PIECE].lower())[0]
+                start = int(rng.integers(0, max(1, len(text) - WINDOW)))
+                found = subwords(text[start : start + WINDOW].lower())[0]
                 if len(found):  # with repeats, so that every text gives equally many
                     found = rng.choice(found, training.grams)
                 drawn.append(found.astype("<u2").tobytes())
@@ -198,8 +214,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row of ``docs`` (doc_id, text).
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected. Equal
-    texts get equal results. Texts of more than a million code points are read in
-    pieces, between which words end. Other columns are not read.
+    texts get equal results. Longer texts are read in pieces, between which words end
+    (see ``_cut``). Other columns are not read.
     """
 
     def run(batches):

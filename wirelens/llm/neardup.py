@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import Scratch, WordIds, as_bytes, in_small_batches, maybe_among, mixed, slices, without
+from wirelens.llm.common import Scratch, WordIds, as_bytes, in_small_batches, maybe_among, mixed, row_key, slices, without
 from wirelens.llm.graph import components
 
 
@@ -41,7 +41,7 @@ class Forest:
 
 _POWERS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BITS = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-SETS = "n_shingles long, k1 long, k2 long, sig binary, sketch binary"
+SETS = "content long, n_shingles long, k1 long, k2 long, sig binary, sketch binary"
 _SIGNED = np.int64
 
 
@@ -75,7 +75,7 @@ def sketch(sig: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, forest: Forest) -> DataFrame:
-    """doc_id, set size, a 128-bit key of the set, signature and sketch of every document."""
+    """doc_id, a hash of the text, set size, a 128-bit key of the set, signature and sketch of every document."""
     factors = mixed(np.arange(1, forest.values + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
     words = forest.words
 
@@ -92,11 +92,11 @@ def fingerprints(docs: DataFrame, forest: Forest) -> DataFrame:
                 sig.append(None if s is None else s.astype(">u4").tobytes())
                 sk.append(None if s is None else sketch(s))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array(sig, pa.binary()), pa.array(sk, pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "sig", "sketch"])
+                ["doc_id", "content", "n_shingles", "k1", "k2", "sig", "sketch"])
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + SETS)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("content")).mapInArrow(run, "doc_id long, " + SETS)
 
 
 class _Rows:
@@ -294,6 +294,11 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     a doc_id with another text are judged on their own. A null doc_id has a null component and is kept.
     Other columns are not read. Empty tables give an empty result.
     """
+    return _judged(docs, forest).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, forest: Forest) -> DataFrame:
+    """``near_duplicates`` with ``content``, which tells rows of one id apart."""
     scratch = Scratch(docs.sparkSession)
     seen = scratch.keep(fingerprints(docs, forest), "fingerprints")
     full = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -325,11 +330,16 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     out = seen.drop("sig", "sketch").join(named, key, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     scratch.drop("pairs", "sets", "first", "second")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "content", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """``docs`` with one document of each group, all columns unchanged."""
+    """``docs`` with one document of each group, all columns unchanged.
+
+    Rows are told apart by id and text: of a repeated id only the rows go whose own text
+    is not kept. Equal rows go or stay together; null, empty and wordless texts and null
+    ids stay. An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.keep(near_duplicates(docs, forest).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return without(docs, "doc_id", gone)
+    gone = scratch.keep(_judged(docs, forest).filter(~F.col("kept")).select("doc_id", "content").distinct(), "gone")
+    return without(docs, row_key(docs), gone)
