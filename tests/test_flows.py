@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirelens import dims
-from wirelens.operators import constraints, features, flows, ordered, quality, windows
+from wirelens.operators import constraints, features, flows, ordered, panes, quality, windows
 
 PACKET = ("capture_id long, index long, ts_us long, ip_version int, src string, dst string, proto string, spi long, seq long, "
           "ip_payload_len int, esp_payload_len int, captured_len int, orig_len int, udp_encapsulated boolean, ike_message_id long")
@@ -89,7 +89,7 @@ def test_quality_cases(spark):
 def test_windows_step_and_anchor(spark):
     rows = [packet(i, 3_000_000 + i * 100_000) for i in range(400)]
     pairs, tagged = flows.pair_and_tag(table(spark, rows))
-    w = windows.window_counts(windows.assign_windows(tagged)).orderBy("k").collect()
+    w = windows.window_counts(tagged).orderBy("k").collect()
     starts = [r["start_us"] for r in w]
     assert starts[0] == 3_000_000 and {b - a for a, b in zip(starts, starts[1:])} == {5_000_000}
     assert [r["packets"] for r in w][:7] == [100] * 7
@@ -98,12 +98,12 @@ def test_windows_step_and_anchor(spark):
 def test_reverse_only_windows_are_dropped(spark):
     rows = [packet(0, 0)] + [packet(i, 12_000_000 + i, up=False, spi=2) for i in range(1, 9)] + [packet(20, 30_000_000)]
     _, tagged = flows.pair_and_tag(table(spark, rows))
-    assert [r["k"] for r in windows.window_counts(windows.assign_windows(tagged)).orderBy("k").collect()] == [0, 5, 6]
+    assert [r["k"] for r in windows.window_counts(tagged).orderBy("k").collect()] == [0, 5, 6]
 
 
 def test_single_packet_features_have_no_nan(spark):
     _, tagged = flows.pair_and_tag(table(spark, [packet(0, 0, length=64)]))
-    for f in (features.extract_features(windows.assign_windows(tagged)), features.pair_features(tagged)):
+    for f in (panes.window_features(tagged), features.pair_features(tagged)):
         row = f.first()
         assert row["esp_len_std"] == 0.0 and row["iat_mean"] == 0.0 and row["esp_len_modal"] == 64.0
         assert constraints.bad_features(f, dims.FEATURES).count() == 0
@@ -115,7 +115,7 @@ def test_window_and_pair_features_agree_on_one_window(spark):
     rows = [r[:4] + (("10.0.0.1", "10.0.0.2") if r[7] == 1 else ("10.0.0.2", "10.0.0.1")) + r[6:] for r in rows]
     rows.insert(0, packet(0, 0, spi=1))
     _, tagged = flows.pair_and_tag(table(spark, rows))
-    a = features.extract_features(windows.assign_windows(tagged)).filter("k = 0").first()
+    a = panes.window_features(tagged).filter("k = 0").first()
     b = features.pair_features(tagged).first()
     for name in dims.FEATURES:
         assert a[name] == pytest.approx(b[name], rel=1e-9, abs=1e-9), name
@@ -155,3 +155,33 @@ def test_spans_merge_touching_windows_only(spark):
     got = [(r["label"], r["probability"], r["window_start_us"], r["window_end_us"], r["top_features"])
            for r in windows.merge_spans(df, bucket_us=7).orderBy("window_start_us").collect()]
     assert got == [("web", 0.7, 0, 15, 0), ("voip", 0.8, 10, 20, 10), ("voip", 0.6, 40, 50, 40)]
+
+
+def test_window_features_do_not_depend_on_how_panes_are_cut(spark):
+    """Small batches split panes and windows; other window shapes equal a computation over the packets."""
+    rng = random.Random(8)
+    rows = [packet(i, rng.randrange(60_000_000), spi=7, length=rng.choice([0, 40, 41, 900, 1400])) for i in range(1, 900)]
+    rows.insert(0, packet(0, 0, spi=7))
+    _, tagged = flows.pair_and_tag(table(spark, rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    for shape in ((10_000_000, 5_000_000), (6_000_000, 4_000_000), (3_000_000, 5_000_000)):
+        whole = sorted(map(tuple, panes.window_features(tagged, 2, *shape).collect()))
+        try:
+            spark.conf.set(name, "7")
+            cut = sorted(map(tuple, panes.window_features(tagged, 2, *shape).collect()))
+        finally:
+            spark.conf.set(name, kept)
+        assert cut == whole and len(whole) > 8
+        times = sorted((r[2], r[1], r[10]) for r in rows)
+        got = {r["k"]: r for r in panes.window_features(tagged, 1, *shape).collect()}
+        for k in range(60_000_000 // shape[1]):
+            mine = [t for t in times if k * shape[1] <= t[0] < k * shape[1] + shape[0]]
+            assert (k in got) == bool(mine)
+            if mine:
+                sizes, gaps = sorted(x for *_, x in mine), [b[0] - a[0] for a, b in zip(mine, mine[1:])]
+                assert got[k]["packet_count"] == len(mine) and got[k]["byte_count"] == sum(sizes)
+                assert got[k]["esp_len_p50"] == sizes[((len(sizes) - 1) * 50 + 50) // 100]
+                assert got[k]["iat_max"] == max(gaps, default=0) / 1e6 and got[k]["esp_len_distinct"] == len(set(sizes))
+        counts = {r["k"]: r["packets"] for r in windows.window_counts(tagged, *shape).collect()}
+        assert counts == {k: r["packet_count"] for k, r in got.items()}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from wirelens import dims
 from wirelens.catalog import sqlviews
 from wirelens.catalog.registry import query
-from wirelens.catalog.traffic import rounded, tagged, windowed
+from wirelens.catalog.traffic import rounded, tagged
 from wirelens.functions import scalars
-from wirelens.operators import (calibrate, catalogue, dataset, evalm, external, features, flows, verify,
+from wirelens.operators import (calibrate, catalogue, dataset, evalm, external, features, flows, panes, verify,
                                 windows)
 from wirelens.plans import adapters
 
@@ -80,7 +80,7 @@ def absent_classes(spark, sf):
 @query("comparable_features", "P11 U3", views="features", sql="SELECT capture_id, pair_id, k, start_us, "
        + ", ".join(f for f in dims.FEATURES if f not in dims.NOT_COMPARABLE) + " FROM features")
 def comparable_features(spark, sf):
-    return rounded(dataset.select_comparable(features.extract_features(windowed(spark, sf), windows.MIN_PACKETS)))
+    return rounded(dataset.select_comparable(panes.window_features(tagged(spark, sf), windows.MIN_PACKETS)))
 
 
 sqlviews.view("labelled", "", "SELECT doc_id, CASE WHEN quality = 1 THEN 'voip' END AS traffic_class FROM labels")
@@ -301,7 +301,7 @@ SELECT capture_id, pair_id, CAST(span_no AS BIGINT) AS span_no, CAST(any_value(l
        min(start_us) AS window_start_us, max(end_us) AS window_end_us, count(*) AS windows, CAST(min(start_us) AS VARCHAR) AS top_features
 FROM b GROUP BY capture_id, pair_id, span_no""")
 def prediction_spans(spark, sf):
-    w = windows.scorable(windows.window_counts(windowed(spark, sf)))
+    w = windows.scorable(windows.window_counts(tagged(spark, sf)))
     p = w.select("capture_id", "pair_id", "start_us", "end_us", F.expr("cast(packets % 3 as string)").alias("label"),
                  F.expr("packets % 100 / 100D").alias("probability"), F.col("start_us").cast("string").alias("top_features"))
     return rounded(windows.merge_spans(p))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from wirelens import dims
 from wirelens.catalog import sqlviews
 from wirelens.catalog.registry import query
-from wirelens.catalog.traffic import rounded, windowed
-from wirelens.operators import dataset, external, features, models, windows
+from wirelens.catalog.traffic import rounded, tagged
+from wirelens.operators import dataset, external, features, models, panes, windows
 from wirelens.plans import adapters
 from wirelens.session import materialise
 
@@ -17,8 +17,9 @@ CLASS_OF_CAPTURE = {0: "web", 1: "file_transfer", 2: "voip", 3: "email", 4: "vid
 
 def window_matrix(spark, sf):
     """Scorable windows with features and sequence; five-window stretches are the configurations."""
-    w = materialise(windowed(spark, sf))
-    m = features.extract_features(w, windows.MIN_PACKETS).join(windows.sequence_vector(w), windows.WINDOW_KEYS)
+    t = materialise(tagged(spark, sf))
+    heads = windows.sequence_vector(windows.assign_windows(windows.pane_heads(t)))
+    m = panes.window_features(t, windows.MIN_PACKETS).join(heads, windows.WINDOW_KEYS)
     m = m.withColumns({
         "traffic_class": dims.lookup(CLASS_OF_CAPTURE, F.col("capture_id")),
         "config_name": F.concat_ws("-", "capture_id", "pair_id", F.expr("k div 5")),

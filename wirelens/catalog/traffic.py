@@ -9,7 +9,7 @@ from wirelens import dims
 from wirelens.catalog import sqlviews
 from wirelens.catalog.registry import query
 from wirelens.functions import scalars
-from wirelens.operators import features, flows, quality, windows
+from wirelens.operators import features, flows, panes, quality, windows
 from wirelens.plans import adapters
 
 
@@ -23,14 +23,15 @@ def tagged(spark, sf):
 
 
 def windowed(spark, sf):
-    return windows.assign_windows(tagged(spark, sf))
+    """What the sequences of windows need."""
+    return windows.assign_windows(windows.pane_heads(tagged(spark, sf)))
 
 
 @query("window_features", "A5 A6 A7 A8 A9 A10 A11 A12 A13 W1 W2 W3 J6 U2", views="features", sql="""
 SELECT * FROM features""")
 def window_features(spark, sf, min_packets: int = windows.MIN_PACKETS):
     """The flagship: packets to flows, pairs, sliding windows and 74 features."""
-    return rounded(features.extract_features(windowed(spark, sf), min_packets))
+    return rounded(panes.window_features(tagged(spark, sf), min_packets))
 
 
 @query("packet_protocol_counts", "P1 P2", views="packets", sql="""
@@ -174,17 +175,14 @@ def session_admission(spark, sf):
 @query("window_counts", "W1 W2 J6", views="window_counts", sql="""
 SELECT capture_id, pair_id, k, start_us, packets, up_packets, end_us, packets >= 20 AS scorable FROM window_counts""")
 def window_counts(spark, sf):
-    return windows.window_counts(windowed(spark, sf)).withColumn("scorable", F.col("packets") >= 20)
+    return windows.window_counts(tagged(spark, sf)).withColumn("scorable", F.col("packets") >= 20)
 
 
 @query("window_gaps", "W3", views="gapped", sql="""
 SELECT capture_id, pair_id, k, count(gap_us) AS gaps, CAST(coalesce(sum(gap_us), 0) AS BIGINT) AS total_us,
        coalesce(max(gap_us), 0) AS longest_us FROM gapped GROUP BY capture_id, pair_id, k""")
 def window_gaps(spark, sf):
-    g = windows.inter_arrival(windowed(spark, sf))
-    return g.groupBy("capture_id", "pair_id", "k").agg(
-        F.count("gap_us").alias("gaps"), F.coalesce(F.sum("gap_us"), F.lit(0)).alias("total_us"),
-        F.coalesce(F.max("gap_us"), F.lit(0)).alias("longest_us"))
+    return windows.gap_summary(tagged(spark, sf))
 
 
 sqlviews.view("sequences", "windowed", """
@@ -236,4 +234,4 @@ def pair_features(spark, sf):
        + ", ".join(dims.FEATURES) + " FROM features) ON COLUMNS(*) INTO NAME feature VALUE v) WHERE v IS NULL OR isnan(v) OR isinf(v) GROUP BY feature")
 def feature_anomalies(spark, sf):
     from wirelens.operators import constraints
-    return constraints.bad_features(features.extract_features(windowed(spark, sf), windows.MIN_PACKETS), dims.FEATURES)
+    return constraints.bad_features(panes.window_features(tagged(spark, sf), windows.MIN_PACKETS), dims.FEATURES)

@@ -1,8 +1,4 @@
-"""The 74 window features, and the six mode features.
-
-All window features come from one shuffle: packets are clustered by window once,
-and every sort, rank and aggregate below runs on that clustering.
-"""
+"""The 74 features over whole pairs, and the six mode features; windows are in ``panes``."""
 
 from __future__ import annotations
 
@@ -12,83 +8,16 @@ from pyspark.sql import functions as F
 from wirelens import dims
 from wirelens.functions import scalars
 from wirelens.operators import ordered
-from wirelens.operators.windows import WINDOW_KEYS
+from wirelens.operators.panes import BURST_GAP_US
 from wirelens.session import materialise
 
-BURST_GAP_US = 200_000
 PATH_MTU = 1500
 
 
-def _stats_sql(prefix: str, value: str, rank: str, n: str, use: str | None = None, scale: float = 1.0) -> list[str]:
-    """Ten statistics of ``value`` where ``use`` holds; zero when there is none.
-
-    As SQL text: one parse per statistic instead of a dozen column calls.
-    """
-    v = value if use is None else f"if({use}, {value}, null)"
-    cond = "" if use is None else f"{use} and "
-    parts = {"mean": f"avg({v})", "std": f"stddev_samp({v})", "min": f"min({v})", "max": f"max({v})"}
-    for p in dims.PERCENTILES:
-        # Nearest rank: round((n-1)*q)+1 in integers.
-        parts[f"p{p}"] = f"max(if({cond}{rank} = (({n} - 1) * {p} + 50) div 100 + 1, {value}, null))"
-    return [f"coalesce(cast({e} as double), 0.0D) / {scale}D AS {prefix}_{name}" for name, e in parts.items()]
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / F.when(b != 0, b)).otherwise(F.lit(0.0))
 
 
-def extract_features(windowed: DataFrame, min_packets: int = 1) -> DataFrame:
-    """One row per (pair, window) with the 74 features in model order."""
-    key = ", ".join(WINDOW_KEYS)
-    rows = (
-        windowed.repartition(*WINDOW_KEYS)
-        .selectExpr("*", f"count(*) over (partition by {key}) AS n", f"count_if(up) over (partition by {key}) AS n_up")
-        .filter(f"n_up > 0 and n >= {min_packets}")
-        .selectExpr(
-            *WINDOW_KEYS, "paired", "start_us", "ts_us", "length", "up", "n",
-            f"ts_us - lag(ts_us) over (partition by {key} order by ts_us, index) AS gap_us",
-            f"row_number() over (partition by {key} order by length) AS len_rank",
-            f"dense_rank() over (partition by {key} order by length) AS len_no",
-            f"count(*) over (partition by {key}, length) AS len_n",
-            f"count(*) over (partition by {key}, up) AS dir_n",
-            f"row_number() over (partition by {key}, up order by length) AS dir_rank")
-        .selectExpr("*", f"row_number() over (partition by {key} order by gap_us nulls last) AS gap_rank")
-    )
-    burst = f"gap_us > {BURST_GAP_US}"
-    agg = [
-        "min(start_us) AS start_us", "max(paired) AS paired",
-        *_stats_sql("esp_len", "length", "len_rank", "n"),
-        *[f"cast(count_if(length % 16 = {r}) as double) / count(*) AS esp_len_mod16_{r}" for r in range(16)],
-        "cast(max(len_no) as double) AS esp_len_distinct",
-        # Most frequent, then smallest: one number, since a length is below 2^20.
-        "max(len_n * 1048576L + 1048575L - length) AS _modal",
-        "cast(count(*) as double) AS packet_count", "cast(sum(length) as double) AS byte_count",
-        "greatest(0.000001D, (max(ts_us) - min(ts_us)) / 1000000D) AS duration_s",
-        *_stats_sql("iat", "gap_us", "gap_rank", "(n - 1)", "gap_us is not null", 1e6),
-        f"cast(count_if({burst}) as double) AS burst_count",
-        f"coalesce(sum(if({burst}, gap_us, null)) / 1000000D, 0D) AS idle_total_s",
-        f"coalesce(avg(if({burst}, gap_us, null)) / 1000000D, 0D) AS idle_mean_s",
-        "cast(count_if(up) as double) AS up_packets", "cast(count_if(not up) as double) AS down_packets",
-        "cast(coalesce(sum(if(up, length, null)), 0) as double) AS _ub",
-        "cast(coalesce(sum(if(not up, length, null)), 0) as double) AS _db",
-        *_stats_sql("up_len", "length", "dir_rank", "dir_n", "up"),
-        *_stats_sql("down_len", "length", "dir_rank", "dir_n", "not up"),
-    ]
-    wide = rows.groupBy(*WINDOW_KEYS).agg(*[F.expr(a) for a in agg])
-    late = {
-        "esp_len_modal": "cast(1048575L - _modal % 1048576L as double)",
-        "esp_len_modal_share": "(_modal div 1048576L) / packet_count",
-        "packets_per_s": "packet_count / duration_s",
-        "bytes_per_s": "byte_count / duration_s",
-        "iat_cv": "coalesce(iat_std / nullif(iat_mean, 0D), 0D)",
-        "up_down_byte_ratio": "coalesce(_ub / nullif(_db, 0D), 0D)",
-        "up_down_packet_ratio": "coalesce(up_packets / nullif(down_packets, 0D), 0D)",
-        "sa_spi_count": "if(paired, 2D, 1D)",
-        "sa_paired": "if(paired, 1D, 0D)",
-    }
-    return wide.selectExpr(*WINDOW_KEYS, "start_us", *[f"{late[f]} AS {f}" if f in late else f for f in dims.FEATURES])
-
-
 def _moments(prefix: str, value: Column, scale: float = 1.0) -> list[Column]:
     """Mean, std, min and max: mergeable, so reduced on the map side."""
     parts = {"mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.operators import (features, flows, ike, lattice, models, pfs, policy, quality, replay, scoring,
+from wirelens.operators import (flows, ike, lattice, models, panes, pfs, policy, quality, replay, scoring,
                                 windows)
 from wirelens.session import materialise
 
@@ -55,7 +55,7 @@ def infer(packets: DataFrame, pairs: DataFrame, rollup: DataFrame, flow_table: D
     if model is None:
         spans = models.no_predictions(packets.sparkSession)
     else:
-        matrix = features.extract_features(windows.assign_windows(tagged), windows.MIN_PACKETS)
+        matrix = panes.window_features(tagged, windows.MIN_PACKETS)
         spans = models.score_windows(model, matrix)
     out = rollup.select(*keys)
     # One row per association each; written once, so the joins below stay a short plan.
