@@ -1,7 +1,9 @@
 """Policy, scores, exposure, constraints, verification, folds and calibration."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,11 +142,49 @@ def test_isotonic_absent_class_keeps_rows_normal(spark):
     rows = [([0.7, 0.2, 0.1], 0), ([0.4, 0.5, 0.1], 1), ([0.6, 0.3, 0.1], 0), ([0.3, 0.6, 0.1], 1)]
     df = spark.createDataFrame(rows, "probabilities array<double>, label int")
     knots = calibrate.fit_isotonic(df, 3)
-    assert knots[2] == {"x": [0.0, 1.0], "y": [0.0, 1.0]}
+    assert sorted((r["x"], r["y"]) for r in knots.filter("cls = 2").collect()) == [(0.0, 0.0), (1.0, 1.0)]
     for r in calibrate.apply_knots(df, knots).collect():
         assert sum(r["probabilities"]) == pytest.approx(1.0)
 
 
+def pooled(points):
+    """Plain pooling of (x, hits, weight) in order: (first x, last x, mean) of each block."""
+    stack = []
+    for x, hits, weight in sorted(points):
+        stack.append([x, x, hits, weight])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+            last = stack.pop()
+            stack[-1][1:] = [last[1], stack[-1][2] + last[2], stack[-1][3] + last[3]]
+    return [(a, b, h / w) for a, b, h, w in stack]
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising"])
+def test_isotonic_in_ranges_equals_one_pass(spark, shape):
+    rng = random.Random(shape)
+    chance = {"noise": lambda x: x, "falling": lambda x: 1 - x, "rising": lambda x: 1.0 * (x > 0.5)}[shape]
+    points = {c: [(x / 3000, int(rng.random() < chance(x / 3000)), 1 + x % 3) for x in rng.sample(range(3000), 700)] for c in (0, 1)}
+    rows = [(c, *p) for c, own in points.items() for p in own]
+    df = spark.createDataFrame(rows, "cls int, x double, hits long, weight long")
+    got = calibrate.pooled_blocks(df, at_once=90).collect()
+    for c, own in points.items():
+        assert sorted((r["x0"], r["x1"], r["hits"] / r["weight"]) for r in got if r["cls"] == c) == pooled(own)
+
+
+def test_lookup_equals_interpolation(spark):
+    rng = np.random.default_rng(4)
+    knots = [{"x": np.sort(rng.random(60)).tolist(), "y": np.sort(rng.random(60)).tolist()}, {"x": [0.4], "y": [0.7]}, {"x": [0.0, 1.0], "y": [0.0, 1.0]}]
+    rows = [([float(v) for v in rng.random(3)],) for _ in range(200)] + [([0.0, 1.0, 0.5],)] * 50 + [(knots[0]["x"][:3],), (None,)]
+    df = spark.createDataFrame(rows, "probabilities array<double>")
+    want = []
+    for (p,) in rows:
+        v = None if p is None else [float(np.interp(x, k["x"], k["y"])) for x, k in zip(p, knots)]
+        want.append(None if p is None else [x / sum(v) for x in v] if sum(v) else p)
+    got = [r[0] for r in calibrate.apply_knots(df, calibrate.knot_table(spark, knots)).collect()]
+    key = lambda v: (v is None, [round(x, 9) for x in v or []])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a == b or a == pytest.approx(b, abs=1e-12)
+
+
 def test_manifest_and_pending(spark):
     log = spark.createDataFrame([("a", 1, "failed", 0, 0.0, "x" * 3000), ("a", 2, "completed", 5, 1.26, ""), ("b", 1, "completed", 5, 1.0, "")],
                                 "name string, finished_at long, status string, packet_count long, duration_s double, error string")

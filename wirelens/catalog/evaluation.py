@@ -318,7 +318,7 @@ WITH c AS (SELECT event_id, CASE WHEN {P0} >= 0.45 THEN 0.6 WHEN {P0} >= 0.2 THE
 SELECT event_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2 FROM c""")
 def calibrated_probabilities(spark, sf):
     s = adapters.table(spark, sf, "events").selectExpr("event_id", f"{PROBS} AS probabilities")
-    c = calibrate.apply_knots(s, KNOTS)
+    c = calibrate.apply_knots(s, calibrate.knot_table(spark, KNOTS))
     return rounded(c.select("event_id", *[F.get("probabilities", F.lit(i)).alias(f"p{i}") for i in range(3)]))
 
 
@@ -361,16 +361,45 @@ def fitted_temperature(spark, sf):
     return calibrate.nll_by_temperature(df, [math.log(t)]).withColumn("temperature", F.exp("log_t"))
 
 
-@query("isotonic_knots", "M5")
-def isotonic_knots(spark, sf):
-    """Monotone fit per class over the events' scores, as knot rows."""
+# The largest over all starts of the smallest over all ends of the mean in between.
+ISOTONIC = """
+WITH c AS (SELECT unnest(TYPES) AS cls),
+e AS (SELECT event_type AS truth, CASE WHEN event_id % 7 = 0 THEN NEXT ELSE event_type END AS predicted, EXACT FROM events),
+s AS (SELECT cls, CASE WHEN predicted = cls THEN confidence ELSE (1 - confidence) / DIVISOR END AS x, truth = cls AS hit FROM e, c),
+g AS (SELECT cls, x, count(*) FILTER (hit) AS hits, count(*) AS weight FROM s GROUP BY cls, x),
+n AS (SELECT *, sum(hits) OVER w AS upto_hits, sum(weight) OVER w AS upto_weight FROM g WINDOW w AS (PARTITION BY cls ORDER BY x)),
+p AS (SELECT b.cls, b.x, min((d.upto_hits - a.upto_hits + a.hits)::DOUBLE / (d.upto_weight - a.upto_weight + a.weight)) AS low
+      FROM n b JOIN n a ON a.cls = b.cls AND a.x <= b.x JOIN n d ON d.cls = b.cls AND d.x >= b.x GROUP BY b.cls, b.x, a.x),
+f AS (SELECT cls, x, max(low) AS y FROM p GROUP BY cls, x),
+k AS (SELECT cls, y, min(x) AS x0, max(x) AS x1 FROM f GROUP BY cls, y)
+SELECT cls AS label, round(x0, 9) AS x, round(y, 9) AS y FROM k UNION SELECT cls, round(x1, 9), round(y, 9) FROM k"""
+
+
+def _isotonic(exact: str, divisor: str) -> str:
+    kinds = "[" + ", ".join(repr(t) for t in adapters.EVENT_TYPES) + "]"
+    return ISOTONIC.replace("TYPES", kinds).replace("NEXT", adapters.NEXT_TYPE).replace("EXACT", exact).replace("DIVISOR", divisor)
+
+
+def _knots(spark, sf, confidence: str, at_once: int):
     codes = dims.lookup({t: i for i, t in enumerate(adapters.EVENT_TYPES)}, F.col("truth")).cast("int")
     picked = dims.lookup({t: i for i, t in enumerate(adapters.EVENT_TYPES)}, F.col("predicted")).cast("int")
-    p = adapters.event_predictions(spark, sf)
+    p = adapters.event_predictions(spark, sf).withColumn("confidence", F.expr(confidence))
     probs = F.array(*[F.when(picked == i, F.col("confidence")).otherwise((1 - F.col("confidence")) / 4) for i in range(5)])
-    knots = calibrate.fit_isotonic(p.select(codes.alias("label"), probs.alias("probabilities")), 5)
-    rows = [(c, float(x), float(y)) for c, k in zip(adapters.EVENT_TYPES, knots) for x, y in zip(k["x"], k["y"])]
-    return spark.createDataFrame(rows, "label string, x double, y double")
+    knots = calibrate.fit_isotonic(p.select(codes.alias("label"), probs.alias("probabilities")), 5, at_once)
+    names = F.array(*[F.lit(t) for t in adapters.EVENT_TYPES])
+    return knots.select(F.get(names, F.col("cls")).alias("label"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query("isotonic_knots", "M5", sql=_isotonic("0.5 + (event_id % 50) / 100.0::DOUBLE AS confidence", "4.0::DOUBLE"))
+def isotonic_knots(spark, sf):
+    """Monotone fit per class over the events' scores, as knot rows."""
+    return _knots(spark, sf, "confidence", calibrate.POOLED)
+
+
+@query("isotonic_knots_in_ranges", "M5", sql=_isotonic("0.5 + (event_id * 37 % 151) / 400.0::DOUBLE AS confidence", "4.0::DOUBLE"))
+def isotonic_knots_in_ranges(spark, sf):
+    """The same over finer scores, pooled in many small ranges whose borders have to be mended."""
+    return _knots(spark, sf, "0.5D + (event_id * 37 % 151) / 400D", 50)
 
 
 # --- external corpora ------------------------------------------------------------

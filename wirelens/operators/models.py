@@ -29,7 +29,7 @@ class TrafficModel:
     labels: list[str]
     names: list[str]
     kind: str
-    knots: calibrate.Knots = field(default_factory=list)
+    knots: DataFrame | None = None
     temperature: float = 1.0
     means: dict[str, float] = field(default_factory=dict)
 
