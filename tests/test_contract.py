@@ -13,7 +13,7 @@ def test_twins_belong_to_queries():
     queries, twins = contract.queries(), contract.oracle_sql()
     assert set(twins) <= set(queries)
     assert set(queries) & set(catalog.load()) - set(twins) == {
-        "fitted_temperature", "model_metrics", "scored_spans", "occlusion_attributions", "mode_predictions",
+        "fitted_temperature", "model_metrics", "tree_attributions", "scored_spans", "occlusion_attributions", "mode_predictions",
         "external_evaluation"}
 
 

@@ -1,14 +1,18 @@
 """Classifiers on a separable set, the no-model state and a whole small assessment."""
 
+import itertools
 import json
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from test_flows import packet, table
 from test_inference import proposal
 from wirelens import dims
-from wirelens.operators import ike, models, quality
+from wirelens.operators import boosting, ike, models, quality
 from wirelens.plans import assess, verification
 from wirelens.sources import sinks
 
@@ -35,9 +39,77 @@ def test_train_calibrate_score_explain(spark):
     assert model.labels == ["voip", "web"]
     spans = models.score_windows(model, m).collect()
     assert {(r["pair_id"], r["label"]) for r in spans} == {(0, "voip"), (1, "web")}
-    top = models.occlusion_attribution(model, m.filter("fold = 'test'")).first()["top_features"]
-    sizes = [abs(t["contribution"]) for t in top]
-    assert len(top) == 5 and sizes == sorted(sizes, reverse=True)
+    for explain in (models.occlusion_attribution, models.attribution):
+        top = explain(model, m.filter("fold = 'test'")).first()["top_features"]
+        sizes = [abs(t["contribution"]) for t in top]
+        assert len(top) == 5 and sizes == sorted(sizes, reverse=True)
+    assert sizes[0] > 0 and models.train_traffic(m, model.labels, kind="forest").kind == "forest"
+
+
+def several(spark, n=420, classes=4, seed=3):
+    """Classes that need two features together; the others are noise."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x = [rng.random() for _ in range(5)]
+        rows.append((i, int(x[0] > 0.5) * 2 + int(x[1] > 0.4 + 0.2 * (x[0] > 0.5)), *x))
+    return spark.createDataFrame(rows, "id long, label int, a double, b double, c double, d double, e double")
+
+
+@pytest.fixture(scope="module")
+def boosted(spark):
+    rows = several(spark)
+    return rows, boosting.fit(rows.filter("id % 4 <> 0"), 4, list("abcde"), boosting.Shape(rounds=5, depth=3))
+
+
+def test_boosting_holds_out(boosted):
+    rows, trees = boosted
+    held = rows.filter("id % 4 = 0").withColumn("z", boosting.logits(trees, F.array(*"abcde"))).collect()
+    right = [r["z"].index(max(r["z"])) == r["label"] for r in held]
+    assert len(right) == 105 and sum(right) >= 0.9 * len(right)
+    none = boosting.fit(rows.limit(0), 4, list("abcde"), boosting.Shape(rounds=2))
+    assert set(boosting.margins(none, np.random.default_rng(1).random((5, 5))).ravel()) == {0.0}
+
+
+def test_boosting_equals_a_plain_first_tree(boosted):
+    """The first split of each class is the best of all, by a search over the rows."""
+    rows, trees = boosted
+    train = rows.filter("id % 4 <> 0").collect()
+    x, y = np.array([[r[c] for c in "abcde"] for r in train]), np.array([r["label"] for r in train])
+    p = np.exp(trees.prior) / np.exp(trees.prior).sum()
+    for c in range(4):
+        g, h = p[c] - (y == c), np.full(len(y), p[c] * (1 - p[c]))
+        gain = lambda j, cut: sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (x[:, j] <= cut, x[:, j] > cut))
+        j, cut = trees.feature[0, c, 0], trees.threshold[0, c, 0]
+        best = max(gain(k, v) for k in range(5) for v in x[:, k])
+        assert gain(j, cut) > 0.9 * best and trees.cover[0, c, 0] == len(y)
+
+
+def test_attributions_are_shapley_values(boosted):
+    rows, trees = boosted
+    x = np.array([[r[c] for c in "abcde"] for r in rows.limit(12).collect()])
+
+    def value(row, held, c):  # the score when only the features of `held` are known
+        def below(t, node):
+            if node >= trees.feature.shape[2]:
+                return trees.leaf[t, c, node - trees.feature.shape[2]]
+            j = trees.feature[t, c, node]
+            if j in held:
+                return below(t, 2 * node + 2 - (row[j] <= trees.threshold[t, c, node]))
+            n = trees.cover[t, c, node]
+            return sum(trees.cover[t, c, k] / n * below(t, k) for k in (2 * node + 1, 2 * node + 2)) if n else 0.0
+
+        return trees.prior[c] + sum(below(t, 0) for t in range(len(trees.leaf)))
+
+    for c in (0, 3):
+        phi = boosting.contributions(trees, x, c)
+        assert np.allclose(phi.sum(axis=1) + boosting.expected(trees, c), boosting.margins(trees, x)[:, c])
+        for row, own in zip(x, phi):
+            for j in range(5):
+                rest = [i for i in range(5) if i != j]
+                want = sum(math.factorial(len(s)) * math.factorial(4 - len(s)) / 120 * (value(row, {*s, j}, c) - value(row, set(s), c))
+                           for k in range(5) for s in itertools.combinations(rest, k))
+                assert own[j] == pytest.approx(want, abs=1e-9)
 
 
 def test_network_reads_the_sequence(spark):

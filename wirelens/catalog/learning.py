@@ -55,6 +55,15 @@ def occlusion_attributions(spark, sf):
         "capture_id", "pair_id", "k", "place", "f.*"))
 
 
+@query("tree_attributions", "M9 O3")
+def tree_attributions(spark, sf):
+    """Top five features of each test window by their exact share of the winning class's score."""
+    m, model = trained(spark, sf)
+    top = models.tree_attribution(model, m.filter("fold = 'test'"))
+    return rounded(top.select("capture_id", "pair_id", "k", F.posexplode("top_features").alias("place", "f")).select(
+        "capture_id", "pair_id", "k", "place", "f.*"))
+
+
 @query("top_contributions", "O3", sql="""
 SELECT l_orderkey, feature, place, contribution FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(contribution) DESC, feature) AS place FROM (

@@ -5,8 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wirelens import dims
 from wirelens.functions import attrs
-from wirelens.operators import calibrate, dataset, evalm, external, windows
+from wirelens.operators import boosting, calibrate, dataset, evalm, external, windows
 from wirelens.session import materialise
 
 SEED = 20260906
@@ -23,9 +22,9 @@ NO_MODEL = "no classifier is installed"
 
 @dataclass
 class TrafficModel:
-    """A fitted pipeline with its label order, inputs, calibration and training means."""
+    """A fitted pipeline, or boosted trees, with its label order, inputs, calibration and training means."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | boosting.Trees
     labels: list[str]
     names: list[str]
     kind: str
@@ -48,17 +47,16 @@ def training_means(matrix: DataFrame, names: list[str]) -> dict[str, float]:
     return {r["feature"]: r["mean"] for r in evalm.feature_means(matrix, names).collect()}
 
 
-def train_traffic(train: DataFrame, labels: list[str], names: list[str] | None = None, kind: str = "forest",
-                  trees: int = 20, depth: int = 5) -> TrafficModel:
-    """Multi-class tree model over the tabular features; ``kind`` forest or boosted."""
+def train_traffic(train: DataFrame, labels: list[str], names: list[str] | None = None, kind: str = "boosted",
+                  shape: boosting.Shape = boosting.Shape(), trees: int = 20, depth: int = 5) -> TrafficModel:
+    """Multi-class tree model over the tabular features: softmax boosting, or a ``forest`` of so many trees."""
     names = names or dims.FEATURES
+    rows = _indexer(labels).transform(train)
     if kind == "boosted":
-        learner = OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED), parallelism=4)
+        fitted = boosting.fit(rows, len(labels), names, shape)
     else:
         learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
-    stages = [VectorAssembler(inputCols=names, outputCol="features"), learner]
-    rows = _indexer(labels).transform(train)
-    fitted = Pipeline(stages=stages).fit(rows)
+        fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(rows)
     return TrafficModel(fitted, labels, names, kind, means=training_means(train, names))
 
 
@@ -92,15 +90,13 @@ def train_sequence(train: DataFrame, labels: list[str], names: list[str] | None
 
 def raw_scores(model: TrafficModel, rows: DataFrame) -> DataFrame:
     """Add ``logits`` and uncalibrated ``probabilities`` arrays in label order."""
+    if model.kind == "boosted":
+        found = rows.withColumn("logits", boosting.logits(model.pipeline, F.array(*[F.col(n).cast("double") for n in model.names])))
+        return found.withColumn("probabilities", calibrate.softmax(F.col("logits")))
     if model.kind == "network":
         rows = rows.withColumn("seq_vector", array_to_vector("seq"))
     out = model.pipeline.transform(rows).withColumn("logits", vector_to_array("rawPrediction"))
-    if model.kind == "boosted":
-        # One-vs-rest margins: logistic per class, then scaled to sum one.
-        p = F.transform("logits", lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        out = out.withColumn("probabilities", calibrate.normalise(p, p))
-    else:
-        out = out.withColumn("probabilities", vector_to_array("probability"))
+    out = out.withColumn("probabilities", vector_to_array("probability"))
     drop = [c for c in ("features", "raw", "rawPrediction", "probability", "prediction", "seq_vector") if c in out.columns]
     return out.drop(*drop)
 
@@ -150,7 +146,7 @@ def score_windows(model: TrafficModel | None, matrix: DataFrame, explain: bool =
     at = ["capture_id", "pair_id", "start_us"]
     first = spans.select("capture_id", "pair_id", F.col("window_start_us").alias("start_us"))
     heads = matrix.join(first, at, "left_semi")
-    top = occlusion_attribution(model, heads).join(heads.select(*at, "k"), ["capture_id", "pair_id", "k"])
+    top = attribution(model, heads).join(heads.select(*at, "k"), ["capture_id", "pair_id", "k"])
     top = top.withColumnRenamed("start_us", "window_start_us").drop("k")
     return spans.drop("top_features").join(top, ["capture_id", "pair_id", "window_start_us"], "left").select(*spans.columns)
 
@@ -165,6 +161,21 @@ def mode_unavailable(sas: DataFrame) -> DataFrame:
     return sas.withColumn("operating_mode", attrs.unavailable(NO_MODEL, "string"))
 
 
+def attribution(model: TrafficModel, matrix: DataFrame, top: int = 5) -> DataFrame:
+    """(capture_id, pair_id, k, top_features): exact for boosted trees, else by occlusion."""
+    if model.kind != "boosted":
+        return occlusion_attribution(model, matrix, top)
+    return tree_attribution(model, matrix, top)
+
+
+def tree_attribution(model: TrafficModel, matrix: DataFrame, top: int = 5) -> DataFrame:
+    """The features with the largest Shapley values for the score of the predicted class, in one pass over the windows."""
+    scored = score(model, matrix)
+    cls = (F.array_position("probabilities", F.col("confidence")) - 1).cast("int")
+    values = F.array(*[F.col(n).cast("double") for n in model.names])
+    return scored.select("capture_id", "pair_id", "k", boosting.attributions(model.pipeline, values, cls, top).alias("top_features"))
+
+
 def occlusion_attribution(model: TrafficModel, matrix: DataFrame, top: int = 5) -> DataFrame:
     """The features whose replacement by the training mean moves the top class most.
 
@@ -257,7 +268,7 @@ def evaluate_rows(scored: DataFrame, labels: list[str], model: str) -> DataFrame
     return metrics.select(F.lit(model).alias("model"), "metric", "value")
 
 
-def train_all(matrix: DataFrame, kind: str = "forest", sequence: bool = True) -> tuple[dict[str, TrafficModel], DataFrame]:
+def train_all(matrix: DataFrame, kind: str = "boosted", sequence: bool = True) -> tuple[dict[str, TrafficModel], DataFrame]:
     """Fit on train, calibrate on calibration, evaluate on test; metrics as a table.
 
     ``matrix`` carries fold, traffic_class, the features and ``seq``; it is
