@@ -1,12 +1,14 @@
 """Capture files, frame bytes, dissector JSON, sidecars and sinks."""
 
+import hashlib
 import json
+import random
 import struct
 
 from pyspark.sql import functions as F
 
 from wirelens.functions import scalars
-from wirelens.operators import dataset
+from wirelens.operators import catalogue, dataset
 from wirelens.sources import captures, decode, dissector, sidecars, sinks
 
 
@@ -114,6 +116,37 @@ def test_capture_files(spark, tmp_path):
     assert decode.decode_frames(got).groupBy("proto").count().count() == 2
 
 
+def test_splits_equal_the_walk(spark, tmp_path):
+    """Payloads that imitate chains of headers mislead guesses, not the frames; any split size gives the same."""
+    rng = random.Random(5)
+    lure = b"".join(struct.pack("<IIII", 12 + i, 500_000, 4, 4) + b"abcd" for i in range(40))
+    frames = [rng.choice([lure, lure[7:], rng.randbytes(rng.randrange(0, 90)), b"", ip4(ESP, 50)]) for _ in range(400)]
+    frames[200] = rng.randbytes(5000)
+    (tmp_path / "a.pcap").write_bytes(capture_file(frames))
+    (tmp_path / "b.pcap").write_bytes(capture_file(frames[::-1], ">", True))
+    (tmp_path / "c.pcap").write_bytes(capture_file(frames[:50])[:-1])
+    (tmp_path / "d.pcap").write_bytes(capture_file([]))
+    for size in (1500, 4000, 1 << 20):
+        got, rejects = captures.read_frames(spark, str(tmp_path), chunk_bytes=size)
+        rows = got.collect()
+        for name, own in (("a", frames), ("b", frames[::-1])):
+            assert [(r["index"], bytes(r["frame"])) for r in sorted((r for r in rows if r["capture_id"] == name), key=lambda r: r["index"])] == list(enumerate(own))
+        assert len(rows) == 800 and [r["reason"] for r in rejects.collect()] == ["truncated record body"]
+
+
+def test_files_over_two_gigabytes_are_registered(spark, tmp_path):
+    with open(tmp_path / "large.pcap", "wb") as fh:
+        fh.write(capture_file([]))
+        fh.truncate((1 << 31) + 5)
+    (tmp_path / "other.pcap").write_bytes(b"text, not a capture")
+    want = hashlib.sha256()
+    with open(tmp_path / "large.pcap", "rb") as fh:
+        while data := fh.read(1 << 24):
+            want.update(data)
+    got = catalogue.register_captures(captures.scan_captures(spark, str(tmp_path))).collect()
+    assert [(r["sha256"], r["size_bytes"], r["magic"]) for r in got] == [(want.hexdigest(), (1 << 31) + 5, "d4c3b2a1")]
+
+
 def packet(isakmp, frame="7"):
     return {"_source": {"layers": {"frame": {"frame.number": frame, "frame.time_epoch": "1.500000000"},
                                    "ip": {"ip.src": "10.0.0.1", "ip.dst": "10.0.0.2"}, "isakmp": isakmp}}}

@@ -6,19 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens import dims
+from wirelens.sources import captures
 
 MAX_ERROR = 2000
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """path, sha256, size_bytes, magic of ``files`` (path, content); for files themselves see ``captures.digest_files``."""
+    return files.select(
+        "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"),
+        F.lower(F.hex(F.substring("content", 1, 4))).alias("magic"))
+
+
 def register_captures(files: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
-    """New captures: recognised by magic, hashed, one row per content.
+    """New captures: recognised by magic, one row per content.
 
-    ``files``: path, content. The content is read once and only its hash, size
-    and first bytes leave the scan.
+    ``files``: path, content; or path alone, or digests as ``captures.digest_files`` takes
+    them. Only hash, size and first bytes leave the scan, and a file at a path is
+    hashed block by block, whatever its size.
     """
-    facts = files.select(
-        "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size_bytes"),
-        F.lower(F.hex(F.substring("content", 1, 4))).alias("magic"))
+    if "sha256" in files.columns:
+        facts = files
+    else:
+        facts = digests(files) if "content" in files.columns else captures.digest_files(files)
     new = facts.filter(F.col("magic").isin(*dims.PCAP_MAGICS))
     if catalogue is not None:
         new = new.join(catalogue.select("sha256"), "sha256", "left_anti")

@@ -60,6 +60,14 @@ def checkpoint_ready(spark: SparkSession) -> None:
 _KEPT: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder; ``release`` removes it."""
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    _KEPT.append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +114,39 @@ def write_metrics(rows: DataFrame, folder: str, title: str) -> None:
     rows.withColumn("title", F.lit(title)).coalesce(1).write.mode("overwrite").json(folder)
 
 
+
+
+def write_captures(frames: DataFrame, folder: str, part_frames: int = 1_000_000) -> DataFrame:
+    """(path, frames) of classic capture files below ``folder``, written by tasks: one a capture, link type and ``part_frames`` indexes.
+
+    ``frames``: capture_id, index, ts_us, linktype, frame, orig_len. A file's name does not
+    depend on the attempt that writes it, so a repeated task replaces what it left.
+    """
+    from pyarrow import fs
+
+    key = ["capture_id", "linktype", "part"]
+    rows = frames.select("capture_id", "linktype", F.expr(f"index div {part_frames}").alias("part"), "index", "ts_us", "orig_len", "frame")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "ts_us", "index")
+
+    def run(batches):
+        name, out, count = None, None, 0
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        system.create_dir(root, recursive=True)
+        done = []
+        for batch in batches:
+            for capture, linktype, part, _, ts, length, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != (capture, linktype, part):
+                    if out is not None:
+                        out.close()
+                        done.append((path, count))
+                    name, count, path = (capture, linktype, part), 0, f"{root}/{capture}-{linktype}-{part}.pcap"
+                    out = system.open_output_stream(path)
+                    out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 0, linktype))
+                out.write(struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), length) + frame)
+                count += 1
+        if out is not None:
+            out.close()
+            done.append((path, count))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "frames"])
+
+    return rows.mapInArrow(run, "path string, frames long")
