@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import in_small_batches, slices
+from wirelens.llm.common import FORGET, in_small_batches, slices
 
 #: A space with white space (or a border of the text) on both sides: the text can't be cut there.
 ODD_SPACE = re.compile(r"\s \s|^ \s|\s $|^ $")
@@ -31,8 +31,8 @@ def odd_space(text: str) -> bool:
 
 #: Longer pieces are not remembered.
 LONGEST = 128
-#: Bytes that the pieces a Python worker remembers from task to task may take, in all; it starts anew when they are full.
-MEMORY = 64 << 20
+#: Bytes that the pieces a Python worker remembers from task to task may take, in all.
+MEMORY = 160 << 20
 #: Of a remembered piece besides its characters and ids: two objects and a place in a dictionary.
 OVERHEAD = 200
 
@@ -145,36 +145,54 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec.load(path, pattern)
 
 
+class Room:
+    """One budget of bytes for several memories.
+
+    When half of it is used up, what the memories hold becomes their older half, and the
+    older half before is forgotten; pieces asked for again move to the new one.
+    """
+
+    def __init__(self, size: int):
+        self.half, self.used, self.users = size // 2, 0, []
+
+    def take(self, size: int) -> None:
+        self.used += size
+        if self.used > self.half:
+            for user in self.users:
+                user.old = dict(user)
+                user.clear()
+            self.used = size
+
+    def forget(self) -> None:
+        self.used = 0
+        for user in self.users:
+            user.old = {}
+            user.clear()
+
+
 class Pieces(dict):
     """Ids of a piece of text by the piece, remembered as far as ``room`` allows; ``lead`` goes before it."""
 
     def __init__(self, code: Codec, lead: str, room: Room):
         super().__init__()
-        self.code, self.lead, self.room = code, lead, room
+        self.code, self.lead, self.room, self.old = code, lead, room, {}
         room.users.append(self)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.code.pre_token, self.code.find(self.lead + piece)))
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.code.find(self.lead + piece)
+            if len(found) > 1 and self.lead and len(found[0]) > 1 and not found[0][1].isspace():
+                # A word before a mark is a piece of its own, and likely known.
+                ids = self[found[0][1:]] + b"".join(map(self.code.pre_token, found[1:]))
+            else:
+                ids = b"".join(map(self.code.pre_token, found))
         if len(piece) <= LONGEST:
             self.room.take(len(piece) + len(ids) + OVERHEAD)
             self[piece] = ids
         return ids
 
 
-class Room:
-    """One budget of bytes for several memories, all emptied when it is used up."""
-
-    def __init__(self, size: int):
-        self.size, self.used, self.users = size, 0, []
-
-    def take(self, size: int) -> None:
-        if self.used + size > self.size:
-            for user in self.users:
-                user.clear()
-            self.used = 0
-        self.used += size
-
-
 class Encoder:
     """Encodes whole texts.
 
@@ -185,8 +203,8 @@ class Encoder:
     """
 
     def __init__(self, code: Codec):
-        room = Room(MEMORY)
-        self.code, self.first, self.spaced = code, Pieces(code, "", room), Pieces(code, " ", room)
+        self.room = Room(MEMORY)
+        self.code, self.first, self.spaced = code, Pieces(code, "", self.room), Pieces(code, " ", self.room)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -199,8 +217,10 @@ class Encoder:
 
 @functools.lru_cache(1)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One a worker process: later tasks find what earlier ones have learnt."""
-    return Encoder(codec(path, pattern))
+    """One a worker process: later tasks find what earlier ones have learnt, until other work comes to the process."""
+    found = Encoder(codec(path, pattern))
+    FORGET["bpe"] = found.room.forget
+    return found
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -212,7 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         known = encoder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, "bpe"):
             ids = [known.encode(text) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -224,7 +244,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         code = codec(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, "bpe"):
             data = [code.decode(ids or b"") for ids in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"])
 

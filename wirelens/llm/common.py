@@ -95,7 +95,15 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: How to empty what a worker process remembers between tasks, by the operator that does.
+FORGET: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of ``SLICE`` rows. A process that did other work before empties its memories, but for those of ``keep``."""
+    for name, forget in FORGET.items():
+        if name != keep:
+            forget()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
