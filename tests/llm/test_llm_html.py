@@ -1,4 +1,6 @@
-"""Main text of hand-written pages."""
+"""Main text of hand-written pages, and of generated ones whose text is known."""
+
+import random
 
 from wirelens.llm import html
 
@@ -51,11 +53,78 @@ def test_pages_in_languages_without_stop_words():
 def test_broken_markup():
     assert html.main_text(f"<article><p><b>{LONG}<p>Second</i></div> part<footer>no") == LONG.strip() + "\nSecond\npart"
     assert html.main_text("<article><p>a < b &lt; c &#x41; &bogus; <!-- no --> x <!-- open") == "a < b < c A &bogus; x"
-    assert html.main_text("<p>" + "word " * 50_000) == ""
+    assert html.main_text("<p>" + "word " * 50_000) == "word " * 49_999 + "word"
     assert html.main_text("<article>" + "word " * 50_000) == "word " * 49_999 + "word"
     assert html.main_text("<script>never closed <p>x") == html.main_text(None) == html.main_text("") == html.main_text("<") == ""
 
 
+def test_marked_parts_of_an_article_go():
+    for mark in ('class="post-comments"', 'id="comments"', 'class="comment-list"', 'class="cookie-banner"', 'class="ad-box"', 'class="newsletter-signup"',
+                 'class="related-posts"', 'id="disqus_thread"', 'id="respond"', 'class="sponsored_content"', 'class="entry-share-buttons"', 'class="notice"'):
+        for tag in ("div", "section"):
+            assert html.main_text(f"<article><p>{LONG}</p><{tag} {mark}><p>{LONG}</p></{tag}><p>End.</p></article>") == LONG.strip() + "\nEnd.", mark
+
+
+def test_unmarked_parts_of_an_article_stay():
+    parts = ["<p>See <a href=a>most of it is a link</a>.</p>", "<p><a href=a>short link</a></p>", f"<p>© is a sign. {LONG}</p>",
+             f'<aside class="pullquote">{LONG}</aside>', '<h2 class="notice">On notices</h2>', '<p>With <span class="tags">some words</span> inside.</p>']
+    lines = ["See most of it is a link.", "short link", f"© is a sign. {LONG}".strip(), LONG.strip(), "On notices", "With some words inside."]
+    page = f"<article><p>{LONG}</p>" + "".join(f"{p}<p>{LONG}</p>" for p in parts) + "<h2>Sources</h2><ul>" + "".join(
+        f"<li><a href=x>Source {i}</a></li>" for i in range(6)) + "</ul></article>"
+    want = [LONG.strip()] + [x for line in lines for x in (line, LONG.strip())] + ["Sources"] + [f"Source {i}" for i in range(6)]
+    assert html.main_text(page).split("\n") == want
+    run = "<p><a href=a>Home</a></p><p><a href=b>News</a></p><p><a href=c>Shop</a></p>"
+    assert html.main_text(f"<article>{run}<p>{LONG}</p></article>") == LONG.strip()
+
+
+TONGUES = {"en": html.STOP_WORDS & set("the of and to in a is that for it as was with be by on not".split()), "de": set("der die das und in zu den von mit sich des auf für".split()),
+           "fr": set("le la les de des du à un une en que qui est dans pour".split()), "es": set("el los las que y del se un una por con no su para".split())}
+JUNK = ['<nav>{}</nav>', '<div class="comments">{}</div>', '<aside>{}</aside>', '<div class="cookie-consent">{}</div>', '<form>{}</form>', '<div class="ad-slot">{}</div>',
+        '<script>var x = "{}";</script>', '<style>p {{}} /* {} */</style>', '<!-- {} -->', '<div id="comment-thread"><p>{}</div>', '<div class="widget">{}</div>', '<div hidden>{}</div>']
+
+
+def made(rng):
+    """A page and its main text: nested, sometimes unclosed, with references and what surrounds articles."""
+    lang = rng.choice(sorted(TONGUES))
+    stop = sorted(TONGUES[lang])
+    words = lambda n: " ".join(rng.choice(stop) if rng.random() < 0.5 else "".join(rng.choice("bcdfgl") + rng.choice("aeiouéü") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    junk = lambda: rng.choice(JUNK).format(words(rng.randint(1, 60)))
+    parts, lines = [], []
+    for _ in range(rng.randint(1, 9)):
+        kind = rng.randrange(6)
+        text = words(rng.randint(15, 80))
+        if kind == 0:
+            parts.append(f"<h2>{text}</h2>")
+        elif kind == 1:
+            parts.append(f"<p>{text}" if rng.random() < 0.5 else f"<p>{text}</p>")
+        elif kind == 2:
+            items = [words(rng.randint(1, 9)) for _ in range(rng.randint(1, 4))]
+            parts.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+            lines += items
+            continue
+        elif kind == 3:
+            parts.append(f"<div><div><blockquote>{text}</blockquote></div></div>")
+        elif kind == 4:
+            other = words(12)
+            parts.append(f"<p>{text} &amp;\n\t <b>{other}</b> &#233;&nbsp;<a href='u'>x</a></p>")
+            text = f"{text} & {other} é x"
+        else:
+            parts.append(f"<table><tr><td>{text}</td></tr></table>")
+        lines.append(text)
+        if rng.random() < 0.5:
+            parts.append(junk())
+    page = f"<!doctype html><html lang={lang}><head><title>{words(4)}</title></head><body>" + "".join(junk() for _ in range(rng.randint(0, 4)))
+    page += "<article>" + "".join(parts) + "</article>" + "".join(junk() for _ in range(rng.randint(0, 4))) + f"<footer>{words(30)}</footer></body></html>"
+    return page, "\n".join(lines)
+
+
+def test_generated_pages():
+    rng = random.Random(20)
+    for n in range(600):
+        page, want = made(rng)
+        assert html.main_text(page) == want, (n, page)
+
+
 def test_rows(spark):
     rows = [(1, "u", f"<article>{LONG}</article>", "t"), (None, None, None, "t"), (2, "u", "", "t"), (1, "u", f"<article>{LONG}</article>", "t")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -27,6 +27,7 @@ BLOCKS = frozenset(
     form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section
     summary table tbody td tfoot th thead title tr ul""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("li dt dd".split())
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
 #: Elements that hold what surrounds an article.
@@ -39,18 +40,33 @@ MARKS = frozenset(
     navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer footnav masthead topbar
     toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond replies
     pagination pager tags copyright legal disclaimer skip""".split())
+#: Of the marks those that never name a part of an article: adverts, consent, sign-up, comments, links to other pages.
+STRONG = frozenset(
+    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup
+    modal overlay newsletter subscribe subscription signup login nav navbar menu menus breadcrumb breadcrumbs sidebar
+    sidebars share sharing related recommended recommendations comment comments commentlist disqus respond replies
+    pagination pager""".split())
+#: Words that say how a marked element is built; an id of marks and these alone is no heading's.
+BUILT = frozenset(
+    """list box wrapper wrap banner section area container block inner outer item items thread form title header content panel
+    unit slot bar bottom top group holder body count row col column link links button buttons posts""".split())
+#: An aside of an article that repeats its words.
+QUOTES = frozenset("pullquote pull quote blockquote".split())
 #: Beside these a mark speaks of the page's layout ("has-sidebar", "comments-enabled").
 LAYOUT = frozenset("has no with without enabled disabled free ready".split())
 SITE_HEADS = frozenset("header site-header page-header topnav".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=/]|$)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 _LATIN = re.compile(r"[a-zà-öø-ÿœß]")
-#: Languages that STOP_WORDS holds; so many distinct words with hardly a stop word are another one.
+#: Languages that STOP_WORDS holds.
 LISTED = frozenset("en de fr es".split())
-DISTINCT = 30
+#: So many blocks of links in a row, outside lists, are no part of an article.
+RUN = 3
 
 
 @dataclass(frozen=True)
@@ -74,37 +90,49 @@ class Block:
     heading: bool
     label: str = ""
     marked: int = 0
+    in_list: bool = False
+
+
+def _kinds(word: str) -> tuple[set[str], set[str]]:
+    """The marks of one class or id name, and what else it consists of; none for names that speak of layout."""
+    parts = set(re.split(r"[-_]+", word)) | ({word} & MARKS)
+    return (set(), parts) if parts & LAYOUT else (parts & MARKS, parts - MARKS - BUILT - {""})
 
 
 def _in_doubt(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether, inside an article, an id or a compound class name has a mark: ids are often made from headings."""
-    if not in_article or not attributes or tag in HEADINGS:
+    """Whether, inside an article, a block may be what its mark says: ids are often made from headings."""
+    if not in_article or not attributes or tag in HEADINGS or tag not in BLOCKS:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         for word in (a or b or c).lower().split() if name.lower() in ("class", "id") else ():
-            parts = set(re.split(r"[-_]+", word)) | {word}
-            if parts & MARKS and not parts & LAYOUT and (tag in BLOCKS or name.lower() == "class"):
+            if _kinds(word)[0]:
                 return True
     return False
 
 
 def _framed(tag: str, attributes: str, in_article: bool) -> bool:
+    given = [(name.lower(), (a or b or c).lower()) for name, a, b, c in _ATTRIBUTE.findall(attributes or "")]
     if tag in FRAMES and not (tag == "header" and in_article):
-        return True
-    if not attributes or tag in ("body", "html", "main", "article"):
+        words = {p for name, value in given if name == "class" for p in re.split(r"[-_\s]+", value)}
+        return not (tag == "aside" and in_article and words & QUOTES)
+    if tag in ("body", "html", "main", "article"):
         return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
-        name = name.lower()
+    if attributes and _HIDDEN.search(_QUOTED.sub("", attributes)):
+        return True
+    for name, value in given:
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = set(re.split(r"[-_]+", word)) | {word}
-                if in_article and name == "class" and word in MARKS:
-                    return True
-                if not in_article and (parts & MARKS and not parts & LAYOUT or word in SITE_HEADS):
+        if name not in ("class", "id"):
+            continue
+        for word in value.split():
+            marks, rest = _kinds(word)
+            if not in_article:
+                if marks or word in SITE_HEADS:
                     return True
+            elif marks & STRONG and (name == "class" or not rest):
+                return True
+            elif marks and name == "class" and word in MARKS and tag in BLOCKS and tag not in HEADINGS:
+                return True
     return False
 
 
@@ -125,7 +153,8 @@ def blocks(page: str) -> list[Block]:
         if whole:
             inner = " ".join(references.unescape(" ".join(linked)).split())
             top = stack[-1] if stack else ("", False, 0, 0)
-            found.append(Block(whole, len(inner), top[1], top[2], any(s[0] in HEADINGS for s in stack[-3:]), marked=top[3]))
+            found.append(Block(whole, len(inner), top[1], top[2], any(s[0] in HEADINGS for s in stack[-3:]), marked=top[3],
+                               in_list=any(s[0] in LISTS for s in stack)))
         text, linked = [], []
 
     def put(piece: str):
@@ -165,10 +194,6 @@ def blocks(page: str) -> list[Block]:
             if not closing and m[4] and _framed(tag, m[4], inside):
                 flush()
                 stack.append((tag, True, stack[-1][2] if stack else 0, 0))
-            elif not closing and m[4] and _in_doubt(tag, m[4], inside):
-                flush()
-                marks += 1
-                stack.append((tag, stack[-1][1], stack[-1][2], marks))
             elif closing and any(s[0] == tag for s in stack[-1:]):
                 flush()
                 stack.pop()
@@ -211,7 +236,7 @@ def has_stop_words(found: list[Block], lang: str, rules: Rules) -> bool:
     words = _LETTERS.findall(text)
     if 2 * len(_LATIN.findall(text)) < sum(map(len, words)):
         return False
-    return len(set(words)) < DISTINCT or sum(w in STOP_WORDS for w in words) >= rules.low / 2 * len(words)
+    return sum(w in STOP_WORDS for w in words) >= rules.low / 2 * len(words)
 
 
 def settle(found: list[Block], rules: Rules) -> None:
@@ -228,14 +253,25 @@ def settle(found: list[Block], rules: Rules) -> None:
 
 
 def classify(found: list[Block], rules: Rules, listed: bool = True) -> None:
-    """First pass: good, bad, or still open (near-good, short). Without a list of stop words length decides."""
-    for b in found:
+    """First pass: good, bad, or still open (near-good, short). Without a list of stop words length decides.
+
+    In an article a block of links is a source or a reference, unless it is one of a run outside lists.
+    """
+    dense = [b.linked > rules.links * len(b.text) for b in found]
+    runs, at = [0] * len(found), 0
+    while at < len(found):
+        end = at
+        while end < len(found) and dense[end] and not found[end].in_list and found[end].article == found[at].article:
+            end += 1
+        runs[at:end] = [end - at] * (end - at)
+        at = max(end, at + 1)
+    for b, many, run in zip(found, dense, runs, strict=True):
         n = len(b.text)
         words = _LETTERS.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.framed or b.linked > rules.links * n:
+        if b.framed or (run >= RUN if b.article else many):
             b.label = "bad"
-        elif b.text[0] == "©" or not b.article and re.match(r"(?i)copyright\b|all rights reserved", b.text):
+        elif not b.article and re.match(r"(?i)©|copyright\b|all rights reserved", b.text):
             b.label = "bad"
         elif n < rules.short or b.heading:
             b.label = "short" if not b.linked or b.article else "bad"
@@ -300,7 +336,8 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     A null or empty page, or one without an article, has the empty text. Blocks come in
-    page order, one a line; nothing else is dropped or cut. Other columns are not read.
+    page order, one a line; nothing else is dropped or cut. Repeated rows give repeated
+    rows, a null id or url stays null, an empty table gives none. Other columns are not read.
     """
 
     def run(batches):
