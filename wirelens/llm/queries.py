@@ -98,6 +98,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressor.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-@query("op13_target_resampling")
+@query("op13_target_resampling", sql=twins.TARGET_RESAMPLING)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -37,6 +37,33 @@ p AS (SELECT *, CAST(least(7, (2 * before + size) * 8 // (2 * total)) AS INTEGER
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
 
+# Checksums of distinct features only, byte by byte as above.
+TARGET_RESAMPLING = r"""
+WITH t AS (SELECT list(v ORDER BY n) AS steps FROM (
+  SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS n))),
+x AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') AS ws FROM x),
+f AS (SELECT side, doc_id, ws, list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS fs FROM w),
+u AS (SELECT side, doc_id, unnest(fs) AS feature FROM f),
+g AS (SELECT side, doc_id, feature, count(*) AS n FROM u GROUP BY ALL),
+h AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM g)),
+b AS (SELECT feature, list_transform(range(0, len(x) // 2), lambda i: CAST((position(x[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(x[2 * i + 2] IN '0123456789ABCDEF') - 1 AS BIGINT)) AS bytes FROM h),
+c AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, steps[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM b, t),
+k AS (SELECT side, doc_id, bucket, CAST(sum(n) AS BIGINT) AS n FROM g JOIN c USING (feature) GROUP BY ALL),
+m AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM k GROUP BY bucket),
+z AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM m),
+p AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM m, z),
+q AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS total FROM k JOIN p USING (bucket) WHERE side = 0 GROUP BY doc_id),
+d AS (SELECT f.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(fs) AS BIGINT) AS n_features,
+             CASE WHEN len(fs) = 0 THEN 0 ELSE CAST(floor(CAST(total AS DOUBLE) / len(fs)) AS BIGINT) END AS weight,
+             CAST('0x' || substr(sha256('7:' || coalesce(CAST(f.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+      FROM f LEFT JOIN q ON q.doc_id = f.doc_id WHERE side = 0),
+e AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM e WHERE n_words >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM e LEFT JOIN r USING (doc_id)"""
+
 
 def quality_rules(limits: Limits = Limits()) -> str:
     """The counts, histograms, summed references and distances, by lists."""
