@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_flows import packet, table
 from test_inference import proposal
 from wirelens import dims
-from wirelens.operators import boosting, ike, models, quality
+from wirelens.operators import boosting, ike, models, network, quality
 from wirelens.plans import assess, verification
 from wirelens.sources import sinks
 
@@ -119,6 +119,30 @@ def test_network_reads_the_sequence(spark):
     assert all(r["traffic_class"] == r["predicted"] for r in rows)
 
 
+def test_network_gradients_equal_finite_differences():
+    rng = np.random.default_rng(2)
+    layers = network.Layers(kernels=3, width=4, stride=3, hidden=5)
+    x, s, y, w = rng.normal(size=(6, 4)), rng.normal(size=(6, 20)), rng.integers(0, 3, 6), rng.random(6)
+    theta = rng.normal(size=sum(int(np.prod(q)) for q in network.shapes(4, 3, layers)))
+    g, _ = network.gradient(theta, x, s, y, w, 3, layers)
+    for i in range(0, len(theta), 3):
+        step = np.zeros(len(theta))
+        step[i] = 1e-6
+        up, down = (network.gradient(theta + d, x, s, y, w, 3, layers)[1] for d in (step, -step))
+        assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    # A weight is as good as repeats, and sums of parts are the sum.
+    twice = network.gradient(theta, np.repeat(x, 2, axis=0), np.repeat(s, 2, axis=0), np.repeat(y, 2), np.repeat(w / 2, 2), 3, layers)[0]
+    parts = sum(network.gradient(theta, x[k], s[k], y[k], w[k], 3, layers)[0] for k in (slice(0, 2), slice(2, 6)))
+    assert np.allclose(twice, g) and np.allclose(parts, g)
+
+
+def test_a_rare_class_is_learnt_without_repeats(spark):
+    m = separable(spark, 40).filter("traffic_class = 'web' OR k < 4")
+    model = models.train_sequence(m, ["voip", "web"], steps=25)
+    rows = models.score(model, m).select("traffic_class", "predicted").collect()
+    assert len(rows) == 44 and all(r["traffic_class"] == r["predicted"] for r in rows)
+
+
 def test_no_model_state(spark):
     assert models.score_windows(None, separable(spark, 2)).count() == 0
     r = models.mode_unavailable(spark.range(1)).first()["operating_mode"]

@@ -5,15 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelens import dims
 from wirelens.functions import attrs
-from wirelens.operators import boosting, calibrate, dataset, evalm, external, windows
+from wirelens.operators import boosting, calibrate, dataset, evalm, external, network, windows
 from wirelens.session import materialise
 
 SEED = 20260906
@@ -24,7 +24,7 @@ NO_MODEL = "no classifier is installed"
 class TrafficModel:
     """A fitted pipeline, or boosted trees, with its label order, inputs, calibration and training means."""
 
-    pipeline: PipelineModel | boosting.Trees
+    pipeline: PipelineModel | boosting.Trees | network.Network
     labels: list[str]
     names: list[str]
     kind: str
@@ -60,32 +60,13 @@ def train_traffic(train: DataFrame, labels: list[str], names: list[str] | None =
     return TrafficModel(fitted, labels, names, kind, means=training_means(train, names))
 
 
-def balanced(train: DataFrame) -> DataFrame:
-    """Rows of rarer classes repeated towards the largest class's count.
-
-    The network takes no row weights, so a class's weight becomes its repeats.
-    """
-    c = train.groupBy("traffic_class").agg(F.count(F.lit(1)).alias("_n"))
-    top = c.agg(F.max("_n")).scalar()
-    w = c.select("traffic_class", F.greatest(F.lit(1), F.bround(top / F.col("_n"), 0)).cast("int").alias("_copies"))
-    # At most one row per class.
-    return train.join(F.broadcast(w), "traffic_class").withColumn(
-        "_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_i", "_copies")
-
-
 def train_sequence(train: DataFrame, labels: list[str], names: list[str] | None = None, hidden: int = 32,
                    steps: int = 60) -> TrafficModel:
-    """Network over the 128-slot sequence and the tabular features, standardised."""
+    """Convolutional network over the 128-slot sequence and the tabular features, classes weighted exactly."""
     names = names or dims.FEATURES
-    rows = _indexer(labels).transform(balanced(train)).withColumn("seq_vector", array_to_vector("seq"))
-    width = len(names) + 128
-    stages = [
-        VectorAssembler(inputCols=[*names, "seq_vector"], outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        MultilayerPerceptronClassifier(layers=[width, hidden, len(labels)], maxIter=steps, seed=SEED),
-    ]
-    return TrafficModel(Pipeline(stages=stages).fit(rows), labels, names, "network",
-                        means=training_means(train, names))
+    rows = _indexer(labels).transform(train)
+    fitted = network.fit(rows, len(labels), names, network.Layers(hidden=hidden, steps=steps))
+    return TrafficModel(fitted, labels, names, "network", means=training_means(train, names))
 
 
 def raw_scores(model: TrafficModel, rows: DataFrame) -> DataFrame:
@@ -94,10 +75,11 @@ def raw_scores(model: TrafficModel, rows: DataFrame) -> DataFrame:
         found = rows.withColumn("logits", boosting.logits(model.pipeline, F.array(*[F.col(n).cast("double") for n in model.names])))
         return found.withColumn("probabilities", calibrate.softmax(F.col("logits")))
     if model.kind == "network":
-        rows = rows.withColumn("seq_vector", array_to_vector("seq"))
+        found = rows.withColumn("logits", network.logits(model.pipeline, F.array(*[F.col(n).cast("double") for n in model.names]), F.col("seq")))
+        return found.withColumn("probabilities", calibrate.softmax(F.col("logits")))
     out = model.pipeline.transform(rows).withColumn("logits", vector_to_array("rawPrediction"))
     out = out.withColumn("probabilities", vector_to_array("probability"))
-    drop = [c for c in ("features", "raw", "rawPrediction", "probability", "prediction", "seq_vector") if c in out.columns]
+    drop = [c for c in ("features", "raw", "rawPrediction", "probability", "prediction") if c in out.columns]
     return out.drop(*drop)
 
 
