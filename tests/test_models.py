@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_flows import packet, table
 from test_inference import proposal
 from wirelens import dims
-from wirelens.operators import boosting, ike, models, network, quality
+from wirelens.operators import boosting, flows, ike, models, network, panes, quality
 from wirelens.plans import assess, verification
 from wirelens.sources import sinks
 
@@ -175,6 +175,23 @@ def test_whole_assessment(spark):
     assert doc["security_associations"][0]["first_seen"] == "1970-01-01T00:00:02.000000Z"
 
 
+def test_assessment_with_models_tells_mode_traffic_and_reasons(spark):
+    rows = [packet(i, 2_000_000 + i * 10_000, up=i % 2 == 0, spi=1 + i % 2, seq=i // 2, length=28 + 16 * (1 + i % 40)) for i in range(400)]
+    packets = table(spark, rows)
+    _, tagged = flows.pair_and_tag(packets)
+    matrix = panes.window_features(tagged, 2).withColumn("traffic_class", F.when(F.col("k") % 2 == 0, "web").otherwise("voip"))
+    traffic = models.train_traffic(matrix, ["voip", "web"], shape=boosting.Shape(rounds=1, depth=1, least=1))
+    baseline = spark.createDataFrame([(c, 4, 28.0, 300.0) for c in ("voip", "web")], "traffic_class string, ip_version int, base_min double, base_modal double")
+    known = spark.createDataFrame([(m, *[0.4, 1.0, 0.0, 20.0 * (m == "tunnel"), 20.0 * (m == "tunnel"), 20.0]) for m in ("tunnel", "transport") for _ in range(10)],
+                                  "mode string, " + ", ".join(f"{n} double" for n in dims.MODE_FEATURES))
+    a = assess.assess(packets, messages(spark), model=traffic, mode_model=models.train_mode(known, baseline, trees=3))
+    mode = a.sas.first()["operating_mode"]
+    assert mode["provenance"] == "inferred" and mode["value"] in ("tunnel", "transport") and 0.5 <= mode["confidence"] <= 1
+    spans = a.predictions.collect()
+    assert spans and all(len(s["top_features"]) == 5 for s in spans)
+    assert a.exposure.first()["score"] > 0 and len(a.sas.first()["inner_traffic"]) == len(spans)
+
+
 def test_key_exchange_only_capture_is_assessed_without_associations(spark):
     a = assess.assess(table(spark, [packet(0, 0, proto="isakmp", message=0)]), messages(spark))
     assert a.sas.count() == 0 and a.scores.first()["total"] == 100 and a.quality.first()["ike_complete"]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.operators import (flows, ike, lattice, models, panes, pfs, policy, quality, replay, scoring,
+from wirelens.operators import (evalm, features, flows, ike, lattice, models, panes, pfs, policy, quality, replay, scoring,
                                 windows)
 from wirelens.session import materialise
 
@@ -34,8 +34,12 @@ def inner_traffic(spans: DataFrame) -> DataFrame:
 
 def infer(packets: DataFrame, pairs: DataFrame, rollup: DataFrame, flow_table: DataFrame, quality_table: DataFrame,
           negotiations: DataFrame, correlated: DataFrame, messages: DataFrame,
-          model: models.TrafficModel | None = None) -> tuple[DataFrame, DataFrame]:
-    """(inferences per association, spans): everything packets alone can tell."""
+          model: models.TrafficModel | None = None, mode_model: models.ModeModel | None = None) -> tuple[DataFrame, DataFrame]:
+    """(inferences per association, spans): everything packets alone can tell.
+
+    Spans carry the features behind their first window. The operating mode needs the
+    traffic model too: the class decides which lengths are to be expected.
+    """
     keys = ["capture_id", "pair_id"]
     tagged = flows.tag_packets(packets, pairs)
     sieve = lattice.detect_suite(lattice.suite_survivors(lattice.length_histogram(tagged)), quality_table)
@@ -52,20 +56,25 @@ def infer(packets: DataFrame, pairs: DataFrame, rollup: DataFrame, flow_table: D
         verdict.select("capture_id", "lo", "hi", F.col("dh_group").alias("_g"), "pfs_enabled"), ["capture_id", "lo", "hi"]
     ).filter(F.col("_g").eqNullSafe(F.col("dh_group"))).select(*keys, "pfs_enabled")
 
+    modes = []
     if model is None:
         spans = models.no_predictions(packets.sparkSession)
     else:
-        matrix = panes.window_features(tagged, windows.MIN_PACKETS)
-        spans = models.score_windows(model, matrix)
+        matrix = materialise(panes.window_features(tagged, windows.MIN_PACKETS))
+        spans = materialise(models.score_windows(model, matrix, explain=True))
+        if mode_model is not None:
+            classes = evalm.class_distribution(models.score(model, matrix), keys, model.labels)
+            rows = features.mode_classifier_features(tagged, packets, classes, mode_model.baseline)
+            modes = [models.predict_mode(mode_model, rows).select(*keys, "operating_mode")]
     out = rollup.select(*keys)
     # One row per association each; written once, so the joins below stay a short plan.
-    for part in (sieve.drop("suite"), health, rekey, pfs_rows, inner_traffic(spans)):
+    for part in (sieve.drop("suite"), health, rekey, pfs_rows, inner_traffic(spans), *modes):
         out = out.join(materialise(part), keys, "left")
     return out, spans
 
 
 def assess(packets: DataFrame, messages: DataFrame, rules: list[dict] | None = None,
-           model: models.TrafficModel | None = None) -> Assessment:
+           model: models.TrafficModel | None = None, mode_model: models.ModeModel | None = None) -> Assessment:
     """One plan over any number of captures.
 
     Flow summaries, negotiations, associations and findings are written to the
@@ -80,7 +89,7 @@ def assess(packets: DataFrame, messages: DataFrame, rules: list[dict] | None = N
     negotiations = materialise(ike.build_negotiations(messages))
     correlated = materialise(ike.correlate(rollup, negotiations))
     sas = ike.assemble_sas(rollup, correlated)
-    inferred, spans = infer(packets, pairs, rollup, flow_table, quality_table, negotiations, correlated, messages, model)
+    inferred, spans = infer(packets, pairs, rollup, flow_table, quality_table, negotiations, correlated, messages, model, mode_model)
     sas = materialise(ike.overlay(sas, inferred))
     findings = materialise(policy.dedupe_findings(policy.evaluate_policy(sas, rules)))
     predictions = sas.select("capture_id", "pair_id", F.explode("inner_traffic").alias("p")).select("capture_id", "pair_id", "p.*")
