@@ -13,23 +13,28 @@ NEAR = neardup.Forest(percent=80, trees=16, agree=0.70)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without toxic texts; null and empty ones are judged as unmarked. Equal texts go or stay together."""
     model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     return toxicity.tolerable(docs, model)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` in a language that the labelled ones have; texts that are null or have no letter go."""
     return langid.accepted(docs, langid.train(langid.learnable(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one document of each group; rows of a repeated id are judged each by its own text, null ids stay."""
     return neardup.without_near_duplicates(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark item; null texts and null ids stay."""
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of digests for every row of ``docs``; null and empty texts have no ids."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
 
@@ -47,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is kept in the shared folder and read again."""
-    scratch = Scratch(spark)
+    """All stages over ``documents``; each result is kept in the shared folder until the next one is."""
+    scratch, before = Scratch(spark), []
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
