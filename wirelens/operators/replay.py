@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions import attrs
 from wirelens.operators import ordered
+from wirelens.session import materialise
 
 GAP_TOLERANCE = 0.02
 CONFIDENCE = 0.95
@@ -17,23 +18,31 @@ FLOW = ["capture_id", "pair_id", "src", "dst", "spi"]
 def sequence_stats(tagged: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
     """Duplicates, reordering and gaps of each directed flow, in capture order.
 
-    Distinct numbers are counted exactly in bitmaps of 32,768 numbers, which the
-    map side merges, so the shuffle carries bitmaps instead of packets; the
-    previous number crosses bucket borders by a carry. A flow of any size is
-    spread by both.
+    Packets are scanned and shuffled once, by flow and bucket of indexes, so a flow of
+    any size is spread. What is kept of a bucket merges: its numbers as bitmaps of 32,768,
+    its first and last number, and how often a number fell. Falls between buckets are
+    those from a last to the next first number.
     """
-    rows = tagged.filter(F.col("seq").isNotNull()).select(*FLOW, "index", "seq")
+    part = [*FLOW, "bucket"]
+    rows = tagged.filter(F.col("seq").isNotNull()).select(*FLOW, "index", "seq", F.expr(f"index div {bucket_rows}").alias("bucket"))
+    rows = rows.withColumn("_prev", F.lag("seq").over(Window.partitionBy(*part).orderBy("index")))
     # Bitmap positions start at one, sequence numbers at zero.
     one = (F.col("seq") + 1).cast("bigint")
-    spans = rows.groupBy(*FLOW, F.bitmap_bucket_number(one).alias("span")).agg(
+    place = F.struct("index", "seq")
+    states = materialise(rows.groupBy(*part, F.bitmap_bucket_number(one).alias("span")).agg(
         F.count(F.lit(1)).alias("c"), F.min("seq").alias("lo"), F.max("seq").alias("hi"),
-        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(one))).alias("d"))
+        F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"), F.count_if(F.col("seq") < F.col("_prev")).alias("falls"),
+        F.min(place).alias("first"), F.max(place).alias("last")))
+    spans = states.groupBy(*FLOW, "span").agg(
+        F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("d"))
     counts = spans.groupBy(*FLOW).agg(
         F.sum("c").alias("packets"), F.sum(F.col("c") - F.col("d")).alias("duplicates"),
         F.sum("d").alias("distinct_seqs"), F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"),
     )
-    prev = ordered.lagged(rows, FLOW, ["index"], F.expr(f"index div {bucket_rows}"), ["seq"])
-    late = prev.groupBy(*FLOW).agg(F.count_if(F.col("seq") < F.col("prev_seq")).alias("out_of_order"))
+    buckets = states.groupBy(*part).agg(F.sum("falls").alias("falls"), F.min("first").alias("first"), F.max("last").alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*FLOW).orderBy("bucket"))  # a row a bucket
+    late = buckets.withColumn("_before", before).groupBy(*FLOW).agg(
+        (F.sum("falls") + F.count_if(F.col("first.seq") < F.col("_before.seq"))).alias("out_of_order"))
     span = F.col("last_seq") - F.col("first_seq") + 1
     return (
         counts.join(late, FLOW)
