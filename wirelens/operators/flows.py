@@ -126,19 +126,19 @@ def _sweep(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, FATE)
 
 
-def _blocks(f: DataFrame, block_flows: int, numbered: int) -> DataFrame:
-    """``f`` narrow, with its block (so many flows of a group in arrival order) and what later blocks of the group span."""
+def _blocks(f: DataFrame, block_flows: int, numbered: int) -> tuple[DataFrame, bool]:
+    """``f`` narrow, with its block (so many flows of a group in arrival order) and what later blocks of the group span; whether there are later ones."""
     rows = f.select(*GROUP, "first_index", "start_ts_us", "end_ts_us", (F.col("src") == F.col("lo")).alias("up"))
+    if f.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_flows).isEmpty():  # every group is one block
+        return rows.select("*", F.lit(0).cast("long").alias("block"), *[F.lit(None).cast("long").alias(c) for c in LATER]), False
     rows = ordered.numbered(rows, GROUP, ["first_index"], F.expr(f"first_index div {numbered}"), "place")
     rows = materialise(rows.withColumn("block", F.expr(f"(place - 1) div {block_flows}")).drop("place"))
-    if rows.filter("block > 0").isEmpty():  # no group fills a block
-        return rows.select("*", *[F.lit(None).cast("long").alias(c) for c in LATER])
     spans = rows.groupBy(*BLOCK).agg(*[
         fn(F.when(F.col("up") == way, F.col(f"{edge}_ts_us"))).alias(f"{name}_{to}")
         for way, name in ((True, "up"), (False, "down")) for fn, edge, to in ((F.min, "start", "from"), (F.max, "end", "to"))])
     after = Window.partitionBy(*GROUP).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(*BLOCK, *[(F.min if c.endswith("from") else F.max)(c).over(after).alias(c) for c in LATER])
-    return materialise(rows.join(spans, BLOCK))
+    return materialise(rows.join(spans, BLOCK)), True
 
 
 def _arrivals(fates: DataFrame) -> DataFrame:
@@ -160,10 +160,11 @@ def _match(f: DataFrame, block_flows: int = BLOCK_FLOWS, numbered: int = NUMBERE
     one block and the flows handed to it. A repeated sweep is the same sweep, so a lost
     executor costs its tasks only.
     """
-    rows = _blocks(f, block_flows, numbered)
-    fates = materialise(_sweep(rows))
+    rows, several = _blocks(f, block_flows, numbered)
     names = [*GROUP, "first_index", "partner"]
-    used = None
+    if not several:
+        return _sweep(rows).select(*names)
+    fates, used = materialise(_sweep(rows)), None
     # Only groups of several blocks hand anything on; the others are done.
     given = materialise(_arrivals(fates))
     if given.isEmpty():
