@@ -124,15 +124,21 @@ def best_match(passages: Column, vectors: Vectors) -> Column:
     idf = _literal(vectors.idf)
 
     def product(terms: Column, weights: dict[str, float]) -> Column:
-        return F.aggregate(terms, zero, lambda s, t: s + F.coalesce(F.element_at(idf, t) * F.element_at(_literal(weights), t), zero))
+        return F.aggregate(terms, zero, lambda s, t: s + F.coalesce(t["idf"] * F.element_at(_literal(weights), t["term"]), zero))
 
-    def one(passage: Column) -> Column:
-        terms = F.array_distinct(F.regexp_extract_all(F.lower(passage), F.lit(TERM), F.lit(0)))
-        norm = F.sqrt(F.aggregate(terms, zero, lambda s, t: s + F.pow(F.coalesce(F.element_at(idf, t), F.lit(vectors.unseen)), F.lit(2.0))))
-        scores = [F.struct(F.round(product(terms, w) / norm, 9).alias("score"), F.lit(-i).alias("minus")) for i, w in enumerate(vectors.weights)]
+    def read(terms: Column) -> Column:
+        norm = F.sqrt(F.aggregate(terms, zero, lambda s, t: s + F.pow(F.coalesce(t["idf"], F.lit(vectors.unseen)), F.lit(2.0))))
+        return F.struct(norm.alias("norm"), F.filter(terms, lambda t: t["idf"].isNotNull()).alias("known"))
+
+    def best(passage: Column) -> Column:
+        scores = [F.struct(F.round(product(passage["known"], w) / passage["norm"], 9).alias("score"), F.lit(-i).alias("minus"))
+                  for i, w in enumerate(vectors.weights)]
         return F.array_max(F.array(*scores))
 
-    return F.array_max(F.transform(passages, one))
+    # Each step is a list of its own: terms are cut and looked up once, not once a template.
+    terms = F.transform(passages, lambda p: F.array_distinct(F.regexp_extract_all(F.lower(p), F.lit(TERM), F.lit(0))))
+    looked_up = F.transform(terms, lambda ts: F.transform(ts, lambda t: F.struct(t.alias("term"), F.element_at(idf, t).alias("idf"))))
+    return F.array_max(F.transform(F.transform(looked_up, read), best))
 
 
 def own_licences(files: DataFrame, vectors: Vectors, threshold: float) -> DataFrame:
