@@ -240,7 +240,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with the bytes that the ids stand for; null ids give none."""
+    """``encoded`` (doc_id, ids) with the bytes that the ids stand for.
+
+    Null and empty ids give no bytes, a null doc_id stays null, repeated rows are decoded
+    each; an empty table stays empty. An id outside the vocabulary is an error.
+    """
 
     def run(batches):
         code = codec(path, pattern)
@@ -252,6 +256,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and both digests of every row of ``decode``'s result; no ids have the digest of nothing."""
     return decoded.select(
         "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

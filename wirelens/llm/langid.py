@@ -230,5 +230,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rejected rows, all columns unchanged."""
+    """``docs`` without the rejected rows, all columns unchanged.
+
+    Texts that are null, empty or without a letter are rejected; equal rows go or stay
+    together, whatever their ids; an empty table stays empty.
+    """
     return filtered(docs, "text", lambda: lambda texts: list(~judge(model, texts)[2]))

@@ -198,6 +198,7 @@ def corpus_files(docs: DataFrame) -> DataFrame:
     """A file tree from ``docs`` (doc_id, text, source): a source is a top directory, hundreds of ids nest below it.
 
     A document whose first line is a licence statement is its directory's licence file.
+    A null id has a null path; repeated ids are files of one path; null texts stay null.
     """
     number = F.col("doc_id").cast("long")
     name = F.when(F.regexp_extract("text", r"^[^\n]*", 0).rlike(CUE), F.concat(F.lit("LICENSE."), number.cast("string"))).otherwise(

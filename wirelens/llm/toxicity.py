@@ -286,7 +286,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def tolerable(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows predicted toxic, all columns unchanged."""
+    """``docs`` without the rows predicted toxic, all columns unchanged.
+
+    Null and empty texts are judged as texts that no voter marks; equal rows go or stay
+    together, whatever their ids; an empty table stays empty.
+    """
 
     def keep():
         hits = Hits(model.words)

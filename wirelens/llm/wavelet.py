@@ -297,7 +297,7 @@ def placed(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def occurrences(files: DataFrame, value: int) -> DataFrame:
-    """Shards that have the id ``value`` with its count and its positions in the whole corpus."""
+    """Shards that have the id ``value`` with its count and its positions in the whole corpus; no row for shards without it."""
 
     def run(batches):
         for batch in batches:
